@@ -74,7 +74,7 @@ class DriverTables:
         start = F.hour(ts) * 60 + F.minute(ts)
         one_off = value > ONE_OFF_VALUE
         end = (F.when(seq % 10 == 0, F.lit(None))
-               .when(seq % 7 == 0, start - 5)
+               .when(seq % 7 == 0, F.greatest(start - 5, F.lit(0)))
                .otherwise(F.least(F.lit(1439), start + F.floor(value).cast("int"))))
         note = (F.when(seq % 4 == 0, F.concat(F.lit("done /* private "), seq.cast("string"),
                                               F.lit(" */ well")))
