@@ -11,7 +11,7 @@ from ..functions.clock import parse_hhmm
 from ..functions.names import blank_to_null, page_trim
 from ..functions.rows import several_rows
 from ..sources.readers import one_offs, recurring
-from .ranking import with_positions
+from .ranking import activity_levels, feed_levels, with_positions
 
 
 def clean_category(text: Column) -> Column:
@@ -51,8 +51,7 @@ def place_one_offs(new: DataFrame, activities: DataFrame) -> DataFrame:
         .agg(F.max("sort_order").alias("_single_top"))
     numbered = with_positions(
         new.withColumn("day_type", D.day_type(F.col("entry_date"))),
-        ["owner_id", "entry_date"], [F.col("created_at"), F.col("seq")],
-        [F.date_trunc("hour", F.col("created_at"))], "_pos")
+        ["owner_id", "entry_date"], [F.col("created_at"), F.col("seq")], feed_levels(), "_pos")
     top = F.greatest(F.coalesce("_template_top", F.lit(0)),
                      F.coalesce("_single_top", F.lit(0)), F.lit(0))
     return (numbered.join(template, ["owner_id", "day_type"], "left")
@@ -66,8 +65,8 @@ def place_in_template(new: DataFrame, activities: DataFrame) -> DataFrame:
     top = recurring(activities).groupBy("owner_id", "day_type") \
         .agg(F.max("sort_order").alias("_top"))
     numbered = with_positions(
-        new, ["owner_id", "day_type"], [F.col("created_at"), F.col("seq")],
-        [F.date_trunc("hour", F.col("created_at"))], "_pos")
+        new, ["owner_id", "day_type"], [F.col("created_at"), F.col("seq")], feed_levels(),
+        "_pos")
     return (numbered.join(top, ["owner_id", "day_type"], "left")
             .withColumn("sort_order", (F.greatest(F.coalesce("_top", F.lit(0)), F.lit(0))
                                        + 1 + F.col("_pos")).cast("int"))
@@ -107,8 +106,7 @@ def list_positions(activities: DataFrame) -> DataFrame:
     """Each recurring activity's place in its owner's list of a day type."""
     order = [F.col("sort_order"), F.col("created_at"), F.col("activity_id")]
     return with_positions(recurring(activities), ["owner_id", "day_type"], order,
-                          [F.col("sort_order"), F.to_date("created_at")], "position",
-                          size="list_size")
+                          activity_levels(), "position", size="list_size")
 
 
 def reorder_changes(activities: DataFrame, moves: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from ..functions import names as N
 from ..functions.private import hide_blocks
 from ..model import Horizon
 from ..operators import adherence, goals as G, occurrences as O
-from ..operators.ranking import part_numbers
+from ..operators.ranking import activity_levels, feed_levels, part_numbers
 from ..operators.reflections import redacted
 
 PART_SIZE = 1000
@@ -41,13 +41,13 @@ def _agenda_items(activities: DataFrame, logs: DataFrame, people: DataFrame,
     kept = activities.join(people.select("owner_id"), "owner_id", "left_semi") \
         .where(F.col("entry_date").isNull()
                | F.col("entry_date").between(horizon.start, horizon.end))
-    routine = F.when(F.col("entry_date").isNull(), F.col("day_type"))
+    # A day's agenda joins the template of its day type and its own one-offs.
     numbered = part_numbers(
-        kept.withColumn("_routine", routine), "owner_id", "activity_id",
-        [["owner_id", "_routine"], ["owner_id", "entry_date"]],
-        [F.col("sort_order"), F.col("created_at"), F.col("activity_id")],
-        [F.col("sort_order"), F.date_trunc("hour", F.col("created_at"))], part_size)
-    rows = O.agenda(numbered.drop("_routine"), redacted(logs, "note"), horizon)
+        kept, "owner_id", "activity_id",
+        F.coalesce(D.iso_date(F.col("entry_date")), F.col("day_type")),
+        [F.col("sort_order"), F.col("created_at"), F.col("activity_id")], activity_levels(),
+        part_size, lists_per_array=2)
+    rows = O.agenda(numbered, redacted(logs, "note"), horizon)
     shown = F.struct(
         "title", "category",
         C.hhmm(F.col("planned_start_min")).alias("planned_start"),
@@ -137,9 +137,9 @@ def _goal_items(goals: DataFrame, activities: DataFrame, logs: DataFrame,
                 people: DataFrame, as_of: dt.date, part_size: int) -> DataFrame:
     shared = goals.join(people.select("owner_id"), "owner_id", "left_semi")
     numbered = part_numbers(
-        shared, "owner_id", "goal_id", [["owner_id"]],
+        shared, "owner_id", "goal_id", F.lit("goals"),
         [F.col("created_at"), F.col("goal_id")],
-        [F.date_trunc("hour", F.col("created_at"))], part_size)
+        feed_levels("created_at", "goal_id"), part_size)
     shown = F.struct("title", F.col("period_type").alias("period"), "metric",
                      F.col("target").cast("double").alias("target"), "actual")
     return G.goals_at(numbered, activities, logs, as_of).select(
@@ -153,35 +153,39 @@ def public_progress(profiles: DataFrame, activities: DataFrame, logs: DataFrame,
     """A document for every owner with a code, as seen on day ``as_of``."""
     people = _people(profiles)
     today = Horizon(as_of, as_of)
-    month = today.widened_to_months()
+    week, month = today.widened_to_weeks(), today.widened_to_months()
+    wide = Horizon(min(week.start, month.start), max(week.end, month.end))
     zero = F.lit(0).alias("part_no")
 
     texts = reflections.where(
         F.col("period_date") == D.period_start(F.col("period_type"), F.lit(as_of))).select(
         "owner_id", "period_type", hide_blocks(F.col("content")).alias("_text"))
-    totals = F.struct("done", "planned")
-    day = F.col("d")
     pieces = [
         people.select("owner_id", zero, F.struct("share_code", "owner_name").alias("head")),
         _agenda_items(activities, logs, people, today, part_size)
         .select("owner_id", "part_no", F.col("item").alias("today")),
-        adherence.week_adherence(people, activities, logs, today)
-        .select("owner_id", zero, totals.alias("week")),
-        adherence.month_adherence(people, activities, logs, today)
-        .select("owner_id", zero, totals.alias("month")),
-        adherence.calendar_days(people, activities, logs, month)
-        .select("owner_id", zero, F.struct(day, F.struct(
-            D.iso_date(day).alias("d"), "planned", "done").alias("shown")).alias("cell")),
+        # The days serve the calendar and, added up, the week and the month.
+        adherence.calendar_days(people, activities, logs, wide)
+        .select("owner_id", zero, "d", "planned", "done"),
         _goal_items(goals, activities, logs, people, as_of, part_size),
         texts.join(people.select("owner_id"), "owner_id", "left_semi")
         .select("owner_id", zero, *[
             F.when(F.col("period_type") == p, F.col("_text")).alias(f"{p}_text")
             for p in ("daily", "weekly", "monthly")]),
     ]
+    day = F.col("d")
+
+    def total(span: Horizon) -> Column:
+        inside = day.between(span.start, span.end)
+        return F.struct(*[F.sum(F.when(inside, F.col(c))).alias(c) for c in ("done", "planned")])
+
+    cell = F.struct(D.iso_date(day).alias("d"), "planned", "done")
     merged = _merged(pieces, ["owner_id", "part_no"], {
         "head": F.max("head"), "today": _in_order(F.col("today")),
-        "week": F.max("week"), "month": F.max("month"),
-        "calendar": _in_order(F.col("cell")), "goals": _in_order(F.col("goal")),
+        "week": total(week), "month": total(month),
+        "calendar": _in_order(F.when(day.between(month.start, month.end),
+                                     F.struct(day, cell.alias("shown")))),
+        "goals": _in_order(F.col("goal")),
         "daily": F.max("daily_text"), "weekly": F.max("weekly_text"),
         "monthly": F.max("monthly_text")})
     return merged.select("owner_id", F.col("head.share_code"), "part_no", F.struct(

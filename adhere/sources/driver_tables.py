@@ -128,10 +128,12 @@ class DriverTables:
 
     @cached_property
     def logs(self) -> DataFrame:
-        return latest_per_key(self.edits, ["owner_id", "activity_id", "log_date"],
-                              ["ts", "seq"]).select(
-            "owner_id", "activity_id", "log_date", "completed", "note",
-            "actual_start_min", "actual_end_min", F.col("ts").alias("updated_at"))
+        # Only the columns of a log: whole rows are carried through the aggregate.
+        words = self.edits.select(
+            "owner_id", "activity_id", "log_date", "ts", "seq", "completed", "note",
+            "actual_start_min", "actual_end_min")
+        return latest_per_key(words, ["owner_id", "activity_id", "log_date"], ["ts", "seq"]) \
+            .withColumnRenamed("ts", "updated_at").drop("seq")
 
     @cached_property
     def goals(self) -> DataFrame:

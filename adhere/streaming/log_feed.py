@@ -58,8 +58,15 @@ def current_logs(deltas: DataFrame) -> DataFrame:
         *[F.col(f"{f}.value").alias(f) for f in LOG_PATCH_FIELDS if f != "completed"])
 
 
-def read_deltas(spark: SparkSession, path: str) -> DataFrame:
-    return read_batches(spark, path, DELTA_SCHEMA)
+def read_deltas(spark: SparkSession, path: str,
+                compacted: tuple[str, int] | None = None) -> DataFrame:
+    """All deltas; with a compacted copy, that copy and the batches after it."""
+    deltas = read_batches(spark, path, DELTA_SCHEMA)
+    if compacted is None:
+        return deltas
+    base, through = compacted
+    return read_batches(spark, base, DELTA_SCHEMA).unionByName(
+        deltas.where(F.col("batch") > through))
 
 
 def follow_logs(patches: DataFrame, deltas_path: str, checkpoint: str) -> None:
@@ -70,10 +77,13 @@ def follow_logs(patches: DataFrame, deltas_path: str, checkpoint: str) -> None:
     run_available(patches, each, checkpoint)
 
 
-def compact(spark: SparkSession, deltas_path: str, into: str) -> None:
-    """Rewrite all deltas as a single batch in a new folder."""
-    merged = merge_deltas(read_deltas(spark, deltas_path))
-    write_batch(merged.hint("rebalance", "log_month"), into, 0, "log_month")
+def compact(spark: SparkSession, deltas_path: str, into: str, through: int) -> None:
+    """Fold the batches up to ``through`` into one, in another folder.
+
+    The stream keeps writing meanwhile; ``read_deltas`` puts both together.
+    """
+    old = read_deltas(spark, deltas_path).where(F.col("batch") <= through)
+    write_batch(merge_deltas(old).hint("rebalance", "log_month"), into, through, "log_month")
 
 
 def touched_tallies(touched: DataFrame, deltas: DataFrame,
