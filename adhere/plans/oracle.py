@@ -114,7 +114,7 @@ _PIECES: dict[str, str] = {
         FROM events""",
     "activities": f"""
         SELECT activity_id, owner_id, event_type AS title,
-               (SELECT {_day_type('b.log_date')} FROM (SELECT 1)) AS day_type,
+               CASE WHEN 3 * weekend_cents > cents THEN 'weekend' ELSE 'weekday' END AS day_type,
                390 + {_KIND} * 90 AS planned_start_min, 450 + {_KIND} * 90 AS planned_end_min,
                CASE WHEN {_KIND} IN (2, 5) THEN 'focus' WHEN {_KIND} = 4 THEN 'move'
                     ELSE 'rest' END AS category,
@@ -122,11 +122,11 @@ _PIECES: dict[str, str] = {
                CASE WHEN {_KIND} = 2 THEN '#3f6fb0' END AS color,
                CASE WHEN {_KIND} IN (2, 5) THEN owner_id * 2 WHEN {_KIND} = 4 THEN owner_id * 2 + 1
                END AS goal_id, created_at
-        FROM (SELECT activity_id, owner_id, event_type, log_date,
-                     min(ts) OVER (PARTITION BY activity_id) AS created_at,
-                     row_number() OVER (PARTITION BY activity_id ORDER BY value DESC, seq DESC) AS rn
-              FROM edits WHERE NOT one_off) b
-        WHERE rn = 1
+        FROM (SELECT activity_id, owner_id, event_type, min(ts) AS created_at,
+                     sum(CAST(round(value * 100) AS BIGINT)) AS cents,
+                     sum(CASE WHEN dayofweek(log_date) IN (0, 6) THEN CAST(round(value * 100) AS BIGINT)
+                              ELSE 0 END) AS weekend_cents
+              FROM edits WHERE NOT one_off GROUP BY ALL)
         UNION ALL
         SELECT activity_id, owner_id, 'extra ' || event_type, {_day_type('log_date')}, NULL, NULL,
                'rest', 100, log_date, NULL,

@@ -59,13 +59,14 @@ class DriverTables:
     def edits(self) -> DataFrame:
         return self._as_edits(self.raw("events"))
 
-    def edit_stream(self, files_per_batch: int | None = None) -> DataFrame:
-        """The same edits as a stream over the events files of the folder."""
+    def edit_stream(self, batch_bytes: int = 256 << 30) -> DataFrame:
+        """The same edits as a stream over the events files of the folder.
+
+        ``batch_bytes`` bounds a micro-batch; a backlog becomes several.
+        """
         reader = self.spark.readStream.schema(self.raw("events").schema) \
-            .option("pathGlobFilter", "events*.parquet")
-        if files_per_batch:
-            reader = reader.option("maxFilesPerTrigger", files_per_batch)
-        return self._as_edits(reader.parquet(self.folder))
+            .option("maxBytesPerTrigger", batch_bytes)
+        return self._as_edits(reader.parquet(f"{self.folder}/events*.parquet"))
 
     @staticmethod
     def _as_edits(events: DataFrame) -> DataFrame:
@@ -95,18 +96,22 @@ class DriverTables:
 
     @cached_property
     def activities(self) -> DataFrame:
-        """A routine per owner and event type, on the day type of its event of
-        highest value, and a one-off per event above ``ONE_OFF_VALUE``."""
+        """A routine per owner and event type, and a one-off per event above
+        ``ONE_OFF_VALUE``. A routine is for weekends when these hold over a
+        third of its value, counted in whole cents."""
         kind = _type_number(F.col("event_type"))
         owner = F.col("owner_id")
+        cents = F.round(F.col("value") * 100).cast("long")
+        at_weekends = F.when(D.day_type(F.col("log_date")) == "weekend", cents).otherwise(0)
         routine = (
             self.edits.where(~F.col("one_off"))
             .groupBy("owner_id", "event_type", "activity_id")
             .agg(F.min("ts").alias("created_at"),
-                 F.max_by("log_date", F.struct("value", "seq")).alias("_best_day"))
+                 F.sum(cents).alias("_cents"), F.sum(at_weekends).alias("_at_weekends"))
             .select(
                 "activity_id", "owner_id", F.col("event_type").alias("title"),
-                D.day_type(F.col("_best_day")).alias("day_type"),
+                F.when(F.col("_at_weekends") * 3 > F.col("_cents"), "weekend")
+                 .otherwise("weekday").alias("day_type"),
                 (390 + kind * 90).alias("planned_start_min"),
                 (450 + kind * 90).alias("planned_end_min"),
                 F.when(kind.isin(2, 5), "focus").when(kind == 4, "move")
