@@ -132,3 +132,19 @@ def shared_template(activities: DataFrame, granted: DataFrame,
     """The signed-in view of somebody else's template: recurring rows only."""
     others = granted.where(F.col("viewer_id") != F.col("owner_id"))
     return visible_to(recurring(activities), others, viewers)
+
+
+def with_permission(edits: DataFrame, granted: DataFrame, own_only: bool = False) -> DataFrame:
+    """Whether the author of each edit may write its owner's rows.
+
+    Owners may, and those they gave ``edit``. Shares and profiles are for
+    their owner alone (``own_only``). ``edits`` names the writer ``author_id``.
+    """
+    own = F.col("author_id") == F.col("owner_id")
+    if own_only:
+        return edits.withColumn("permitted", F.coalesce(own, F.lit(False)))
+    editors = editable(granted).where(F.col("viewer_id") != F.col("owner_id")).select(
+        F.col("viewer_id").alias("author_id"), "owner_id", F.lit(True).alias("_may")).distinct()
+    joined = edits.join(editors, ["author_id", "owner_id"], "left")
+    return joined.select(*edits.columns,
+                         F.coalesce(own | F.col("_may"), F.lit(False)).alias("permitted"))

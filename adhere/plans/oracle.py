@@ -515,6 +515,12 @@ _STATEMENTS: dict[str, str] = {
             (SELECT count(*) FROM shares s WHERE s.owner_id = p.owner_id OR s.viewer_id = p.owner_id) AS shares
         FROM profiles p""",
     "editable_owners": "SELECT viewer_id, owner_id FROM grants WHERE permission = 'edit'",
+    "edit_permissions": """
+        SELECT event_id AS seq, user_id AS owner_id, user_id + event_id % 6 AS author_id,
+               EXISTS (SELECT 1 FROM grants g WHERE g.owner_id = e.user_id AND g.permission = 'edit'
+                       AND g.viewer_id = e.user_id + e.event_id % 6) AS may_write_logs,
+               event_id % 6 = 0 AS may_write_shares
+        FROM events e""",
     "shared_templates": """
         SELECT g.viewer_id, a.owner_id, a.activity_id, a.title, a.day_type, a.sort_order
         FROM activities a JOIN shares g ON g.owner_id = a.owner_id WHERE a.entry_date IS NULL""",

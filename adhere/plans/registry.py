@@ -246,6 +246,16 @@ def editable_owners(t):
         .select("viewer_id", "owner_id")
 
 
+@_query
+def edit_permissions(t):
+    """For every edit, whether its author may write logs, and shares."""
+    granted = sharing.grants(t.profiles, t.shares)
+    checked = sharing.with_permission(t.edit_authors, granted)
+    own = sharing.with_permission(checked.withColumnRenamed("permitted", "may_write_logs"),
+                                  granted, own_only=True)
+    return own.withColumnRenamed("permitted", "may_write_shares")
+
+
 @_query
 def shared_templates(t):
     viewers = t.profiles.select(F.col("owner_id").alias("viewer_id"))

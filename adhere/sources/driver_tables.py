@@ -94,6 +94,13 @@ class DriverTables:
             (seq % 3 == 0).alias("sets_completed"), (seq % 3 == 1).alias("sets_times"),
             (seq % 3 == 2).alias("sets_note"))
 
+    @cached_property
+    def edit_authors(self) -> DataFrame:
+        """Who sent each edit: its owner, or one of the next few keys."""
+        seq, owner = F.col("event_id"), F.col("user_id")
+        return self.raw("events").select(
+            seq.alias("seq"), owner.alias("owner_id"), (owner + seq % 6).alias("author_id"))
+
     @cached_property
     def activities(self) -> DataFrame:
         """A routine per owner and event type, and a one-off per event above

@@ -222,3 +222,14 @@ def test_public_schedule(spark):
     assert S.public_schedule(t["profiles"], t["activities"], recurring_only=False).count() == 2
     codes = spark.createDataFrame([(" code2",)], "code string")
     assert values(S.of_codes(t["profiles"], codes), "owner_id") == [(2,)]
+
+
+def test_who_may_write(spark):
+    t = _tables(spark)
+    granted = S.grants(t["profiles"], t["shares"])
+    edits = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (3, 1), (3, 3), (1, None)],
+                                  "owner_id long, author_id long")
+    assert values(S.with_permission(edits, granted).where("permitted"), "owner_id", "author_id") \
+        == [(1, 1), (1, 2), (3, 3)]
+    assert values(S.with_permission(edits, granted, own_only=True).where("permitted"), "owner_id") \
+        == [(1,), (3,)]
