@@ -25,7 +25,7 @@ from . import publish, reports
 HORIZON = Horizon(dt.date(2024, 1, 1), dt.date(2024, 1, 31))
 AS_OF = dt.date(2024, 1, 17)
 # Edits from this moment on are the feed; those before it made the current tables.
-FEED_START = dt.datetime(2024, 1, 16)
+FEED_START = "2024-01-16 00:00:00"
 
 Query = Callable[[DriverTables], DataFrame]
 _queries: dict[str, Query] = {}
@@ -278,12 +278,16 @@ def _log_rows(edits: DataFrame) -> DataFrame:
                         "actual_start_min", "actual_end_min", "ts", "seq")
 
 
+def _split(edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edits before the feed, and the feed."""
+    start = F.lit(FEED_START).cast("timestamp_ntz")
+    return edits.where(F.col("ts") < start), edits.where(F.col("ts") >= start)
+
+
 @_query
 def logs_upsert(t):
-    edits = _log_rows(t.edits)
-    before = edits.where(F.col("ts") < F.lit(FEED_START))
+    before, feed = _split(_log_rows(t.edits))
     current = upserts.latest_per_key(before, upserts.LOG_KEY, ["ts", "seq"])
-    feed = edits.where(F.col("ts") >= F.lit(FEED_START))
     return upserts.upsert(current, feed, upserts.LOG_KEY, ["ts", "seq"]).drop("ts")
 
 
@@ -295,10 +299,8 @@ def logs_patch_merge(t):
 @_query
 def logs_patched(t):
     """Patches of the feed over whole rows that were there before."""
-    edits = t.edits
-    before = edits.where(F.col("ts") < F.lit(FEED_START))
+    before, feed = _split(t.edits)
     current = upserts.latest_per_key(_log_rows(before), upserts.LOG_KEY, ["ts", "seq"])
-    feed = edits.where(F.col("ts") >= F.lit(FEED_START))
     return upserts.patch_current_logs(current, feed)
 
 

@@ -136,14 +136,17 @@ WEEK_COUNT_SCHEMA = T.StructType([
 def weekly_edit_counts(patches: DataFrame, lateness: str = "7 days") -> DataFrame:
     """Edits per owner and Monday-based week; state ends with the watermark.
 
-    Windows are aligned to the epoch, a Thursday, hence the four days. The
-    session time zone must be UTC for windows to begin at midnight.
+    Windows are aligned to the epoch, a Thursday, hence the four days. Edit
+    times carry no zone; they are read as UTC for the windows, whatever the
+    session's zone is.
     """
-    timed = patches.withColumn("at", F.col("ts").cast("timestamp")) \
-        .withWatermark("at", lateness)
+    zone = F.current_timezone()
+    timed = patches.withColumn("at", F.convert_timezone(F.lit("UTC"), zone, F.col("ts"))
+                               .cast("timestamp")).withWatermark("at", lateness)
     week = F.window("at", "7 days", startTime="4 days")
+    monday = F.to_date(F.to_utc_timestamp(F.col("window.start"), zone))
     return (timed.groupBy("owner_id", week).agg(F.count(F.lit(1)).alias("edits"))
-            .select("owner_id", F.to_date("window.start").alias("week_start"), "edits"))
+            .select("owner_id", monday.alias("week_start"), "edits"))
 
 
 def follow_weekly_counts(patches: DataFrame, counts_path: str, checkpoint: str,

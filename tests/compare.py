@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 import sys
 import time
 from decimal import Decimal
@@ -59,6 +60,7 @@ if __name__ == "__main__":
     from adhere import session
     folder, only = sys.argv[1], sys.argv[2:]
     spark = session.build(8, 8)
+    spark.conf.set("spark.sql.session.timeZone", os.environ.get("COMPARE_ZONE", "UTC"))
     con = duck(folder)
     sqls = entry.oracle_sql()
     bad = 0
