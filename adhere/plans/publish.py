@@ -66,9 +66,6 @@ def _in_order(items: Column) -> Column:
 
 
 def _merged(pieces: list[DataFrame], keys: list[str], result: dict[str, Column]) -> DataFrame:
-    columns: dict[str, None] = {}
-    for piece in pieces:
-        columns.update(dict.fromkeys(piece.columns))
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), pieces)
     return stacked.groupBy(*keys).agg(*[c.alias(n) for n, c in result.items()])
 
