@@ -28,12 +28,6 @@ def is_planned(d: Column) -> Column:
         .otherwise(F.col("entry_date") == d)
 
 
-def owner_days(profiles: DataFrame, horizon: Horizon) -> DataFrame:
-    """Every owner with every day, made by a generator, not a join."""
-    return profiles.select(
-        "owner_id", F.explode(D.days_between(_first(horizon), _last(horizon))).alias("d"))
-
-
 def occurrences(activities: DataFrame, horizon: Horizon) -> DataFrame:
     """One row per planned (owner, activity, day): two disjoint branches."""
     kept = [c for c in activities.columns]

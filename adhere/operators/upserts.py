@@ -78,6 +78,16 @@ def patch_current_logs(current: DataFrame, patches: DataFrame) -> DataFrame:
     return untouched.select(*columns).unionByName(merged.select(*columns))
 
 
+def note_changes(current: DataFrame, patches: DataFrame) -> DataFrame:
+    """Notes that a feed really changes; an empty and a missing note are the same."""
+    newest = fold_patches(patches.where("sets_note"), LOG_KEY, {"note": "sets_note"},
+                          ["ts", "seq"])
+    old = current.select(*LOG_KEY, F.col("note").alias("old_note"))
+    blank = F.lit("")
+    return newest.join(old, LOG_KEY, "left").where(
+        F.coalesce("note", blank) != F.coalesce("old_note", blank))
+
+
 def changed_rows(old: DataFrame, new: DataFrame, keys: list[str],
                  fields: list[str]) -> DataFrame:
     """Rows whose fields differ, with the old and the new values."""

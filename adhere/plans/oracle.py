@@ -539,6 +539,17 @@ _STATEMENTS: dict[str, str] = {
                max(CASE WHEN sets_times AND rt = 1 THEN actual_end_min END) AS actual_end_min,
                max(CASE WHEN sets_note AND rn = 1 THEN note END) AS note
         FROM ranked_words GROUP BY ALL""",
+    "note_changes": f"""
+        SELECT n.owner_id, n.activity_id, n.log_date, o.note AS old_note, n.note
+        FROM (SELECT *, row_number() OVER (PARTITION BY owner_id, activity_id, log_date
+                                           ORDER BY ts DESC, seq DESC) AS k
+              FROM edits WHERE sets_note AND ts >= {_FEED}) n
+        LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY owner_id, activity_id, log_date
+                                                ORDER BY ts DESC, seq DESC) AS k
+                   FROM edits WHERE ts < {_FEED}) o
+          ON o.owner_id = n.owner_id AND o.activity_id = n.activity_id AND o.log_date = n.log_date
+             AND o.k = 1
+        WHERE n.k = 1 AND coalesce(n.note, '') <> coalesce(o.note, '')""",
     "reflections_upsert": "SELECT * FROM reflections",
     "shares_upsert": """
         SELECT owner_id, viewer_id, permission FROM (

@@ -304,6 +304,13 @@ def logs_patched(t):
     return upserts.patch_current_logs(current, feed)
 
 
+@_query
+def note_changes(t):
+    before, feed = _split(t.edits)
+    current = upserts.latest_per_key(_log_rows(before), upserts.LOG_KEY, ["ts", "seq"])
+    return upserts.note_changes(current, feed)
+
+
 @_query
 def reflections_upsert(t):
     nothing_yet = t.reflections.where(F.lit(False))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -29,6 +29,6 @@ def write_documents(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("ignoreNullFields", "false").json(path)
 
 
-def as_json(column) -> "F.Column":
+def as_json(column: str) -> Column:
     """A nested value as JSON text; null fields are kept."""
     return F.to_json(column, {"ignoreNullFields": "false"})

@@ -111,15 +111,16 @@ def touched_tallies(touched: DataFrame, deltas: DataFrame,
 
 
 def follow_tallies(patches: DataFrame, activities: DataFrame, deltas_path: str,
-                   tallies_path: str, checkpoint: str) -> None:
+                   tallies_path: str, checkpoint: str,
+                   compacted: tuple[str, int] | None = None) -> None:
     """Append deltas and, from them, the tallies of every touched day."""
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         write_batch(to_deltas(batch), deltas_path, batch_id, "log_month")
-        # A replayed batch must not see batches after it.
-        deltas = read_deltas(spark, deltas_path).where(F.col("batch") <= batch_id)
         fresh = read_deltas(spark, deltas_path).where(F.col("batch") == batch_id)
-        write_batch(touched_tallies(fresh, deltas, activities), tallies_path, batch_id)
+        # A replayed batch must not see batches after it.
+        known = read_deltas(spark, deltas_path, compacted).where(F.col("batch") <= batch_id)
+        write_batch(touched_tallies(fresh, known, activities), tallies_path, batch_id)
 
     run_available(patches, each, checkpoint)
 

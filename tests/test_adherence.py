@@ -1,5 +1,3 @@
-import datetime as dt
-
 from helpers import D, routine, table, values
 from pyspark.sql import functions as F
 

@@ -1,5 +1,4 @@
 import datetime as dt
-import random
 
 import pytest
 from helpers import D, table, values
@@ -199,3 +198,16 @@ def test_seeding_twice_adds_nothing(spark):
     assert seeded.count() == 11 and values(seeded.select("owner_id").distinct()) == [(2,)]
     both = acts.unionByName(seeded, allowMissingColumns=True)
     assert TE.seed_defaults(people, both).isEmpty()
+
+
+def test_unchanged_notes_do_not_come_out(spark):
+    day = D(2024, 1, 3)
+    current = table(spark, "logs", [
+        dict(owner_id=1, activity_id=k, log_date=day, note=n)
+        for k, n in (("a", "same"), ("b", "old"), ("c", None), ("d", "gone"))])
+    feed = spark.createDataFrame([
+        patch(1, 0, key="a", note="same"), patch(2, 0, key="b", note="new"),
+        patch(3, 0, key="c", note=""), patch(4, 0, key="d", note="x"), patch(5, 1, key="d", note=""),
+        patch(6, 0, key="e", note="first"), patch(7, 0, key="a", completed=True)], PATCH)
+    assert values(U.note_changes(current, feed), "activity_id", "old_note", "note") == [
+        ("b", "old", "new"), ("d", "gone", ""), ("e", None, "first")]

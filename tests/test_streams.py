@@ -1,8 +1,7 @@
 import datetime as dt
 
 from helpers import D, table, values
-from pyspark.sql import functions as F
-from test_feeds import PATCH, T0, folded, patch
+from test_feeds import PATCH, T0, patch
 
 from adhere.operators import upserts as U
 from adhere.streaming import log_feed as L
@@ -98,3 +97,13 @@ def test_rows_behind_the_watermark_are_left_out(spark, tmp_path):
         L.follow_weekly_counts(_stream(spark, src), f"{tmp_path}/counts", f"{tmp_path}/cp", "1 day")
     got = dict(values(L.current_weekly_counts(spark, f"{tmp_path}/counts"), "week_start", "edits"))
     assert got[D(2024, 1, 1)] == 1
+
+
+def test_touched_months_prune_the_deltas(spark, tmp_path):
+    rows = [patch(1, 1, completed=True)]
+    _drop(spark, str(tmp_path / "in"), "f0", rows)
+    L.follow_logs(_stream(spark, str(tmp_path / "in")), f"{tmp_path}/deltas", f"{tmp_path}/cp")
+    deltas = L.read_deltas(spark, f"{tmp_path}/deltas")
+    out = L.touched_tallies(deltas.where("batch = 0"), deltas, table(spark, "activities", []))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruningexpression(log_month" in plan

@@ -53,6 +53,14 @@ def test_logs_round_trip_and_month_pruning(spark, tmp_path):
         sinks.write_logs(logs, path)  # a written table is never overwritten
 
 
+def test_a_page_reads_one_owner_and_a_range(spark):
+    logs = _tables(spark)["logs"]
+    mine = readers.in_horizon(readers.of_owner(logs, 1), "log_date",
+                              Horizon(D(2024, 2, 5), D(2024, 2, 5)))
+    assert values(mine, "log_date") == [(D(2024, 2, 5),)]
+    assert readers.of_owner(logs, 2).isEmpty()
+
+
 @pytest.mark.parametrize("fmt", ["parquet", "json", "orc", "csv"])
 @pytest.mark.parametrize("name", list(model.TABLES))
 def test_every_table_reads_back(spark, tmp_path, name, fmt):
