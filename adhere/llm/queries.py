@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing
+from . import bpe, exact_dedup, mixing
 
 QUERIES = (
+    bpe.op2_byte_bpe,
     exact_dedup.op3_exact_dedup,
     mixing.op7_source_mix,
 )
