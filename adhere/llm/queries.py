@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing
+from . import bpe, exact_dedup, mixing, warc
 
 QUERIES = (
     bpe.op2_byte_bpe,
     exact_dedup.op3_exact_dedup,
+    warc.op6_warc_transactions,
     mixing.op7_source_mix,
 )
 SQL = {
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "op6_warc_transactions": warc.ORACLE,
     "op7_source_mix": mixing.ORACLE,
 }
 
