@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, warc
+from . import bpe, exact_dedup, mixing, simhash, warc
 
 QUERIES = (
     bpe.op2_byte_bpe,
     exact_dedup.op3_exact_dedup,
     warc.op6_warc_transactions,
     mixing.op7_source_mix,
+    simhash.op8_simhash_vptree,
 )
 SQL = {
     "op3_exact_dedup": exact_dedup.ORACLE,
