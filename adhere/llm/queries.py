@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, mixing, simhash, warc
+from . import bpe, exact_dedup, langid, mixing, pii, simhash, warc
 
 QUERIES = (
     bpe.op2_byte_bpe,
     exact_dedup.op3_exact_dedup,
+    pii.op4_pii_spans,
     langid.op5_language_id,
     warc.op6_warc_transactions,
     mixing.op7_source_mix,
