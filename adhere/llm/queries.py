@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, mixing, pii, simhash, warc
+from . import bpe, exact_dedup, langid, mixing, pii, simhash, toxicity, warc
 
 QUERIES = (
     bpe.op2_byte_bpe,
@@ -16,6 +16,7 @@ QUERIES = (
     warc.op6_warc_transactions,
     mixing.op7_source_mix,
     simhash.op8_simhash_vptree,
+    toxicity.op10_toxicity_ftrl,
 )
 SQL = {
     "op3_exact_dedup": exact_dedup.ORACLE,
