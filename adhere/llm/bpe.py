@@ -274,35 +274,33 @@ def encode_texts(docs: DataFrame, ranks: str = RANKS, keep_ids: bool = False) ->
 
     One row per row of ``docs`` (doc_id, text): doc_id, n_tokens, ids_sha256 (of
     the decimal ids joined by one space), decoded_sha256; with ``keep_ids`` also
-    ``ids`` and ``decoded``. A null text is an empty one and has no tokens. Strings
+    ``ids``. A null text is an empty one and has no tokens. Strings
     of special tokens are ordinary text. The decoded bytes come from the ids alone.
     Rows are independent of each other: repeated rows give repeated results, null
     ids stay null, other columns are not read, and an empty table gives no rows.
     """
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (
-        ", ids array<int>, decoded binary" if keep_ids else "")
+        ", ids array<int>" if keep_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = encoder(*_public(ranks))
         name = made.text_of.__getitem__
         for batch in batches:
-            columns: list[list] = [[] for _ in range(5 if keep_ids else 3)]
+            columns: list[list] = [[] for _ in range(4 if keep_ids else 3)]
             texts = (text.as_py() or "" for text in batch.column(1))
             for steps in made.encode_many(texts):
                 n, of_ids, of_bytes = 0, hashlib.sha256(), hashlib.sha256()
-                all_ids, all_bytes = [], []
+                all_ids: list[int] = []
                 for ids in steps:
                     of_ids.update(((" " if n else "") + " ".join(map(name, ids))).encode())
-                    raw = made.decode(ids)
-                    of_bytes.update(raw)
+                    of_bytes.update(made.decode(ids))
                     n += len(ids)
                     if keep_ids:
                         all_ids += ids
-                        all_bytes.append(raw)
-                row = (n, of_ids.hexdigest(), of_bytes.hexdigest(), all_ids, b"".join(all_bytes))
+                row = (n, of_ids.hexdigest(), of_bytes.hexdigest(), all_ids)
                 for column, value in zip(columns, row):
                     column.append(value)
-            types = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.binary())
+            types = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))],
                 names=[f.split()[0] for f in schema.split(", ")])

@@ -14,6 +14,7 @@ import hashlib
 import re
 import sys
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -229,13 +230,17 @@ def disguised_spans(text: str, plain: list[Span]) -> list[Span]:
         step(rewritten)
     if rewritten.text is text:
         return []
-    taken = {kind: [s[1:] for s in plain if s[0] == kind] for kind in KINDS}
+    ends = {kind: [b for k, _, b in plain if k == kind] for kind in KINDS}
+    starts = {kind: [a for k, a, _ in plain if k == kind] for kind in KINDS}
     found = []
     for kind, start, end in plain_spans(rewritten.text):
         span = rewritten.source(start, end)
-        if span and not any(a < span[1] and span[0] < b for a, b in taken[kind]):
+        if not span:
+            continue
+        # The first plain span that ends behind this one's start begins behind its end.
+        next_ = bisect_right(ends[kind], span[0])
+        if next_ == len(ends[kind]) or starts[kind][next_] >= span[1]:
             found.append((kind, *span))
-            taken[kind].append(span)
     return found
 
 

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, mixing, pii, simhash, toxicity, warc
+import corpus_pipeline
+
+from . import bpe, exact_dedup, langid, mixing, pii, projection_dedup, simhash, toxicity, warc
 
 QUERIES = (
     bpe.op2_byte_bpe,
@@ -16,6 +18,7 @@ QUERIES = (
     warc.op6_warc_transactions,
     mixing.op7_source_mix,
     simhash.op8_simhash_vptree,
+    projection_dedup.op9_projection_neighbours,
     toxicity.op10_toxicity_ftrl,
 )
 SQL = {
@@ -26,8 +29,9 @@ SQL = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in QUERIES}
+    return {q.__name__: q for q in QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    pipeline = corpus_pipeline.ORACLE_SQL
+    return SQL | ({"pipeline": pipeline} if pipeline else {})
