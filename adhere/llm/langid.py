@@ -5,9 +5,9 @@ own most frequent n-grams are compared to each profile by the out-of-place
 distance: the sum of how far each n-gram's rank is from its rank in the profile,
 with the profile's length for n-grams it lacks. The nearest profile wins.
 
-N-grams of one to three characters are taken from the lower-cased letters, runs
-of anything else counting as one blank. They are counted per batch on numpy
-arrays; training sends one count per language, n-gram and task.
+Words are runs of lower-cased letters with a blank before and behind; n-grams of
+one to three characters lie inside them. They are counted for many texts at once
+on numpy arrays; training sends one count per language, n-gram and task.
 """
 
 from __future__ import annotations
@@ -26,11 +26,14 @@ from .common import held_out, stored, table
 
 PROFILE, LONGEST = 400, 3
 UNKNOWN = "und"
-#: Characters counted together; longer texts are counted in steps and summed.
+#: Characters counted together. A longer text is cut at its last blank before this
+#: and counted in steps; a word of that length would count as several words.
 STEP_CHARS = 1 << 20
+#: Counting space (texts x possible n-grams) up to which counts are direct, without a sort.
+DIRECT = 1 << 23
 #: Code points up to here fit three times into a bigint.
 BITS = 21
-BLANK = np.int64(0x20)
+BLANK = 0x20
 
 
 @lru_cache(maxsize=1)
@@ -38,77 +41,107 @@ def letters() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
-def _codes(text: str) -> np.ndarray:
-    """Lower-cased letters with single blanks between words and around; empty without letters."""
-    raw = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = np.where(letters()[raw], raw, BLANK).astype(np.int64)
-    codes = np.concatenate([[BLANK], codes, [BLANK]])
-    blank = codes == BLANK
-    codes = codes[~(blank & np.concatenate([[False], blank[:-1]]))]
-    return codes if len(codes) > 1 else codes[:0]
-
-
-def _grams(codes: np.ndarray) -> np.ndarray:
-    """Every n-gram of a code sequence as an integer; blanks alone are no n-gram."""
-    found, gram = [codes[codes != BLANK]], codes
-    for n in range(2, LONGEST + 1):
-        gram = gram[:-1] << BITS | codes[n - 1:]
-        found.append(gram)
-    return np.concatenate(found)
-
-
-def count_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, n-gram, count) of all n-grams of the texts, sorted by both."""
-    docs, grams, counts = [], [], []
-    held, chars = [], 0
-
-    def flush() -> None:
-        if not held:
-            return
-        gram = np.concatenate([g for _, g in held])
-        doc = np.repeat(np.array([d for d, _ in held]), [len(g) for _, g in held])
-        distinct, code = np.unique(gram, return_inverse=True)
-        # Text and n-gram in one integer, so that one plain sort counts both.
-        key = np.sort(doc.astype(np.int64) * len(distinct) + code)
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        key, n = key[first], np.diff(np.append(first, len(key)))
-        docs.append(key // len(distinct))
-        grams.append(distinct[key % len(distinct)])
-        counts.append(n)
-        held.clear()
-
+def _pieces(texts: list[str]) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Groups of (pieces, text numbers): several whole texts, or one piece of a long text."""
+    pieces, numbers, size = [], [], 0
     for number, text in enumerate(texts):
-        codes = _codes(text)
-        for start in range(0, len(codes), STEP_CHARS):
-            part = _grams(codes[start:start + STEP_CHARS + LONGEST - 1])
-            if start + STEP_CHARS < len(codes):
-                part = _step_grams(codes, start)
-            held.append((number, part))
-            chars += len(part)
-            if chars > 3 * STEP_CHARS:
-                flush()
-                chars = 0
-    flush()
-    if not docs:
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    doc, gram, n = np.concatenate(docs), np.concatenate(grams), np.concatenate(counts)
-    # A long text came in several steps: sum what is there twice.
-    order = np.lexsort((gram, doc))
-    doc, gram, n = doc[order], gram[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1])]))
-    return doc[first], gram[first], np.add.reduceat(n, first)
-
-
-def _step_grams(codes: np.ndarray, start: int) -> np.ndarray:
-    """N-grams that begin in one step of a long text."""
-    found, end = [], start + STEP_CHARS
-    for n in range(1, LONGEST + 1):
-        gram = codes[start:end]
-        for k in range(1, n):
-            gram = gram << BITS | codes[start + k:end + k]
-        found.append(gram[gram != BLANK] if n == 1 else gram)
-    return np.concatenate(found)
+        at, long = 0, len(text) > STEP_CHARS
+        if long and pieces:
+            yield pieces, np.array(numbers)
+            pieces, numbers, size = [], [], 0
+        while at < len(text):
+            end = min(len(text), at + STEP_CHARS)
+            if end < len(text):
+                cut = max(text.rfind(" ", at + 1, end), text.rfind("\n", at + 1, end))
+                end = cut if cut > at else end
+            pieces.append(text[at:end])
+            numbers.append(number)
+            size += end - at
+            at = end
+            if size >= STEP_CHARS or long:
+                yield pieces, np.array(numbers)
+                pieces, numbers, size = [], [], 0
+    if pieces:
+        yield pieces, np.array(numbers)
+
+
+def _count_step(pieces: list[str], numbers: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(number, n-gram, count), sorted by both, of the pieces of one step."""
+    lowered = [piece.lower() for piece in pieces]
+    raw = np.frombuffer((" " + "  ".join(lowered) + " ").encode("utf-32-le", "surrogatepass"),
+                        np.uint32)
+    names, place = np.unique(numbers, return_inverse=True)
+    owner = np.repeat(place.astype(np.int64), [len(t) + 2 for t in lowered])
+    letter = letters()[raw]
+    # One blank stands before and behind each word; pieces have their own blanks.
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]
+    keep[:-1] |= letter[1:]
+    raw, letter, owner = raw[keep], letter[keep], owner[keep]
+    if not len(raw):
+        return owner, owner, owner
+    seen = np.zeros(0x110000, bool)
+    seen[raw[letter]] = True
+    alphabet = np.concatenate([[BLANK], np.flatnonzero(seen)])
+    index = np.zeros(0x110000, np.int64)
+    index[alphabet[1:]] = np.arange(1, len(alphabet))
+    code, k = np.where(letter, index[raw], 0), len(alphabet)
+    # Codes of one, two and three characters follow each other: c, k + ck + c, ...
+    # Neighbouring blanks, of two words or two pieces, and blanks inside end a word.
+    two = letter[1:] | letter[:-1]
+    three = two[1:] & two[:-1] & letter[1:-1]
+    space = k + k * k + k ** 3
+    pair = code[:-1] * k + code[1:]
+    key = np.concatenate([
+        owner[letter] * space + code[letter],
+        owner[1:][two] * space + k + pair[two],
+        owner[2:][three] * space + k + k * k + (pair[:-1] * k + code[2:])[three]])
+    if len(names) * space <= DIRECT:
+        n = np.bincount(key)
+        key = np.flatnonzero(n)
+        n = n[key]
+    else:
+        key = np.sort(key.astype(np.uint32) if len(names) * space < 2 ** 32 else key)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        key, n = key[first].astype(np.int64), np.diff(np.append(first, len(key)))
+    text, gram = names[key // space], key % space
+    long = gram >= k + k * k
+    mid = ~long & (gram >= k)
+    gram = gram - k * (mid | long) - k * k * long
+    packed = alphabet[gram % k]
+    packed = packed | np.where(mid | long, alphabet[gram // k % k] << BITS, 0)
+    return text, packed | np.where(long, alphabet[gram // (k * k)] << 2 * BITS, 0), n
+
+
+def _summed(steps: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Counts of several steps put together."""
+    if len(steps) == 1:
+        return steps[0]
+    text, gram, n = map(np.concatenate, zip(*steps))
+    order = np.lexsort((gram, text))
+    text, gram, n = text[order], gram[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (gram[1:] != gram[:-1])]))
+    return text[first], gram[first], np.add.reduceat(n, first)
+
+
+def count_grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text number, n-gram, count), sorted by both, a few texts at a time, each text whole.
+
+    An n-gram is the integer of its code points; texts without letters do not come.
+    """
+    held: list[tuple[np.ndarray, ...]] = []
+    for now in (_count_step(*step) for step in _pieces(texts)):
+        if not len(now[0]):
+            continue
+        if held and held[0][0][0] != now[0][0]:
+            yield _summed(held)
+            held = []
+        # Only pieces of one long text begin with the same text.
+        held.append(now)
+        if len(held) == 16:
+            held = [_summed(held)]
+    if held:
+        yield _summed(held)
 
 
 def learn_profiles(docs: DataFrame, size: int = PROFILE) -> DataFrame:
@@ -121,12 +154,12 @@ def learn_profiles(docs: DataFrame, size: int = PROFILE) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[str, pd.Series] = {}
         for pdf in batches:
-            langs, names = pd.factorize(pdf["lang"])
-            doc, gram, n = count_grams(pdf["text"].tolist())
-            for number, name in enumerate(names):
-                own = langs[doc] == number
-                counted = pd.Series(n[own]).groupby(gram[own]).sum()
-                totals[name] = totals[name].add(counted, fill_value=0) if name in totals else counted
+            for name, texts in pdf.groupby("lang")["text"]:
+                for pieces, _ in _pieces(texts.tolist()):
+                    _, gram, n = _count_step(pieces, np.zeros(len(pieces), np.int64))
+                    counted = pd.Series(n, index=gram)
+                    totals[name] = (totals[name].add(counted, fill_value=0)
+                                    if name in totals else counted)
         for name, counted in totals.items():
             yield pd.DataFrame({"lang": name, "gram": counted.index.to_numpy(np.int64),
                                 "n": counted.to_numpy(np.int64)})
@@ -153,14 +186,14 @@ class Profiles:
     def classify(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text."""
         best, score = np.full(len(texts), -1), np.zeros(len(texts))
-        doc, gram, n = count_grams(texts)
-        if len(doc) and self.langs:
-            order = np.lexsort((gram, -n, doc))
-            doc, gram = doc[order], gram[order]
+        for doc, gram, n in count_grams(texts) if self.langs else ():
+            # In order of text, count and n-gram: one plain sort, the place as last digits.
+            base, most, m = doc[0], int(n.max()), len(doc)
+            order = np.sort(((doc - base) * (most + 1) + most - n) * m + np.arange(m)) % m
             starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-            place = np.arange(len(doc)) - np.repeat(starts, np.diff(np.append(starts, len(doc)))) + 1
+            place = np.arange(m) - np.repeat(starts, np.diff(np.append(starts, m))) + 1
             top = place <= self.size
-            doc, gram, place = doc[top], gram[top], place[top]
+            doc, gram, place = doc[top], gram[order][top], place[top]
             at = np.minimum(np.searchsorted(self.grams, gram), len(self.grams) - 1)
             known = self.places[np.where(self.grams[at] == gram, at, len(self.grams))]
             away = np.where(known < 0, self.size,
