@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, exact_dedup, langid, mixing, pii, projection_dedup, simhash, toxicity, warc
+from . import bpe, exact_dedup, langid, mixing, pii, projection_dedup, simhash, suffix_dedup, toxicity, warc
 
 QUERIES = (
+    suffix_dedup.op1_suffix_dedup,
     bpe.op2_byte_bpe,
     exact_dedup.op3_exact_dedup,
     pii.op4_pii_spans,
