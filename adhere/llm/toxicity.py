@@ -182,7 +182,7 @@ def fit(shards: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray
     """
     spark = shards.sparkSession
     size = (1 << BITS) + 1
-    z, n = np.zeros(size), np.zeros(size)
+    z, n = np.zeros(size, np.float32), np.zeros(size, np.float32)
     for _ in range(rounds):
         state = spark.sparkContext.broadcast((z, n))
 
@@ -192,7 +192,7 @@ def fit(shards: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray
                     label = np.frombuffer(labels, np.int8)
                     doc = np.repeat(np.arange(len(label)), np.frombuffer(counts, np.int32))
                     z0, n0 = state.value
-                    z1, n1 = z0.copy(), n0.copy()
+                    z1, n1 = z0.astype(np.float64), n0.astype(np.float64)
                     train_shard(doc, np.frombuffer(places, np.int32), label, z1, n1)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([(x1 - x0).astype(np.float32).tobytes()], pa.binary())
@@ -202,8 +202,10 @@ def fit(shards: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray
         for move in moves:
             z = z + np.frombuffer(move.dz, np.float32) / len(moves)
             n = n + np.frombuffer(move.dn, np.float32) / len(moves)
-        state.unpersist()
-    w = weights(z, np.maximum(n, 0))
+        # One state at a time is kept, on the driver as on the executors.
+        del moves
+        state.destroy()
+    w = weights(z.astype(np.float64), np.maximum(n, 0).astype(np.float64))
     at = np.flatnonzero(w[:-1])
     return at, w[at], float(w[-1])
 
