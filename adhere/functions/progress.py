@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..model import TARGET_TYPE
 from .clock import duration_label
 
 
@@ -45,7 +46,7 @@ def goal_percent(actual: Column, metric: Column, target: Column) -> Column:
 
 def plain_number(target: Column) -> Column:
     """A decimal without trailing zeros: 2.50 is ``2.5``, 3.00 is ``3``."""
-    return F.regexp_replace(target.cast("decimal(10,2)").cast("string"), r"\.?0+$", "")
+    return F.regexp_replace(target.cast(TARGET_TYPE).cast("string"), r"\.?0+$", "")
 
 
 def goal_label(actual: Column, metric: Column, target: Column) -> Column:

@@ -16,7 +16,8 @@ from . import fixed_values as V
 
 _long, _int, _str = T.LongType(), T.IntegerType(), T.StringType()
 _date, _bool, _ts = T.DateType(), T.BooleanType(), T.TimestampNTZType()
-TARGET_TYPE = T.DecimalType(10, 2)
+# As wide as a decimal gets; targets come without a bound on their digits.
+TARGET_TYPE = T.DecimalType(38, 10)
 
 
 def _schema(*cols) -> T.StructType:

@@ -1,115 +1,53 @@
-"""Row positions inside groups that may be very large."""
+"""Row positions inside groups of any size."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-
-# Groups up to this size are numbered by one task.
-GROUP_LIMIT = 1_000_000
-
-
-def number_slice(x: Column) -> Column:
-    """A never decreasing, slowly growing slice of a number.
-
-    Numbers up to 1023 are a slice each; beyond, a slice is about one percent
-    wide, so even a full integer range makes only some thousand slices.
-    """
-    size = F.abs(x)
-    wide = F.lit(1024) + F.floor(F.log2(F.greatest(size, F.lit(1024))) * 64)
-    return F.when(size < 1024, x.cast("long")).when(x < 0, -wide).otherwise(wide)
-
-
-def activity_levels() -> list[Column]:
-    """Ever finer cuts along (sort_order, created_at, activity_id)."""
-    return [number_slice(F.col("sort_order")), F.col("sort_order"),
-            *_time_levels(F.col("created_at")), F.substr(F.col("activity_id"), F.lit(1), F.lit(2))]
-
-
-def feed_levels(at: str = "created_at", number: str = "seq") -> list[Column]:
-    """Ever finer cuts along a time and a number."""
-    return [*_time_levels(F.col(at)), F.floor(F.col(number) / 65536)]
-
+from ..session import store
 
-def _time_levels(at: Column) -> list[Column]:
-    return [F.to_date(at), F.date_trunc("second", at), at]
+_PART_BITS = 33
 
 
 def with_positions(df: DataFrame, keys: list[str], order: list[Column],
-                   levels: list[Column], name: str = "position", size: str | None = None,
-                   limit: int = GROUP_LIMIT) -> DataFrame:
-    """Exact positions, from 0, by ``order`` inside each ``keys`` group.
-
-    Groups of up to ``limit`` rows are numbered by a window, one task each.
-    Larger ones are numbered by many tasks, cut by ``levels``: expressions
-    that, compared one after the other, never decrease along ``order``.
-
-    A count of the groups runs first, so that the plan holds the second way
-    only when it is needed. The keys of large groups are broadcast then; there
-    is at most one per ``limit`` rows. Their rows go to the shared folder,
-    since every level reads them.
-
-    ``size`` names a column for the size of the whole group, if wanted.
-    """
-    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")) \
-        .where(F.col("_size") > limit)
-    some_large = not large.isEmpty()
-    small = df.join(F.broadcast(large.select(*keys)), keys, "left_anti") if some_large else df
-    group = W.partitionBy(*keys)
-    out = small.select(
-        *df.columns, (F.row_number().over(group.orderBy(*order)) - 1).cast("long").alias(name),
-        F.count(F.lit(1)).over(group).alias("_size"))
-    if some_large:
-        big = cut_lineage(df.join(F.broadcast(large), keys).select(*df.columns, "_size"))
-        out = out.unionByName(_number_large(big, keys, order, levels, name))
-    return out.withColumnRenamed("_size", size) if size else out.drop("_size")
-
-
-def _number_large(df: DataFrame, keys: list[str], order: list[Column],
-                  levels: list[Column], name: str) -> DataFrame:
-    """Number rows inside the finest cuts, then add what lies before them.
-
-    The rows before a cut are summed level by level, each time only over the
-    cuts under the same coarser one, so no task sees all cuts of a group.
-    """
-    cuts = [f"_cut{i}" for i in range(len(levels))]
-    cut = df.withColumns(dict(zip(cuts, levels)))
-    finest = W.partitionBy(*keys, *cuts).orderBy(*order)
-    numbered = cut.withColumn(name, (F.row_number().over(finest) - 1).cast("long"))
-    counts = cut.groupBy(*keys, *cuts).agg(F.count(F.lit(1)).alias("_n"))
-    for depth in range(len(cuts)):
-        parent, here = keys + cuts[:depth], keys + cuts[:depth + 1]
-        before = W.partitionBy(*parent).orderBy(cuts[depth]) \
-            .rowsBetween(W.unboundedPreceding, -1)
-        ahead = counts.groupBy(*here).agg(F.sum("_n").alias("_n")).select(
-            *here, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
-        same = [F.col(f"r.{c}").eqNullSafe(F.col(f"a.{c}")) for c in here]
-        numbered = numbered.alias("r").join(ahead.alias("a"), same).select(
-            *[F.col(f"r.{c}") for c in numbered.columns if c != name],
-            (F.col(f"r.{name}") + F.col("a._ahead")).alias(name))
-    return numbered.select(*[c for c in df.columns if c != "_size"], name, "_size")
-
-
-def part_numbers(df: DataFrame, group: str, row_key: str, list_key: Column,
-                 order: list[Column], levels: list[Column], part_size: int,
-                 lists_per_array: int = 1) -> DataFrame:
-    """Add ``part_no`` so that no array holds over ``part_size`` rows of a part.
-
-    ``list_key`` tells the lists of a group apart; up to ``lists_per_array``
-    of them meet in one array. A group whose lists all fit is part 0
-    throughout, which one count run in advance tells. Only groups with a larger list are
-    numbered by ``order``; their parts follow each other in that order and may
-    have gaps. No row is left out.
+                   name: str = "position", size: str | None = None) -> DataFrame:
+    """Exact positions, from 0, by ``order`` inside each ``keys`` group; nulls come first.
+
+    One plan for every size: all rows are sorted by group and order over range
+    partitions, so a group that is large simply covers several of them. A row's
+    place in the whole less the place of its group's first row is its position.
+    Rows that tie in ``order`` get different positions in any order, so ``order``
+    should end in a key.
+
+    The sorted rows go to the shared folder when this is called, since range
+    bounds are sampled and must not change between uses; of them only the row
+    count per partition comes to the driver. ``size`` names a column for the size
+    of the group, if wanted.
     """
-    large = (df.groupBy(group, list_key.alias("_list")).agg(F.count(F.lit(1)).alias("_n"))
-             .where(F.col("_n") * lists_per_array > part_size).select(group))
-    if large.isEmpty():
-        return df.withColumn("part_no", F.lit(0))
-    placed = with_positions(df.join(large, group, "left_semi"), [group], order, levels, "_pos")
-    numbers = placed.select(
-        F.col(row_key), F.floor(F.col("_pos") / part_size).cast("int").alias("_part"))
-    return (df.join(numbers, row_key, "left")
-            .withColumn("part_no", F.coalesce("_part", F.lit(0))).drop("_part"))
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by = [f"_order{i}" for i in range(len(order))]
+    sort = [*keys, *by]
+    placed = store(
+        df.withColumns(dict(zip(by, order))).repartitionByRange(parts, *sort)
+        .sortWithinPartitions(*sort).drop(*by)
+        .withColumn("_at", F.monotonically_increasing_id()), "positions")
+    part = F.shiftright("_at", _PART_BITS)
+    counts = dict(placed.groupBy(part.alias("_part")).count().collect())
+    starts, before = [], 0
+    for p in range(parts):
+        starts.append(before)
+        before += counts.get(p, 0)
+    place = F.element_at(F.lit(starts), (part + 1).cast("int")) \
+        + F.col("_at").bitwiseAND((1 << _PART_BITS) - 1)
+    rows = placed.withColumn("_place", place.cast("long")).drop("_at")
+    groups = rows.groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).agg(
+        F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_size"))
+    same = reduce(lambda a, b: a & b, [
+        F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)])
+    return rows.join(groups, same).select(
+        *df.columns, (F.col("_place") - F.col("_first")).alias(name),
+        *([F.col("_size").alias(size)] if size else []))

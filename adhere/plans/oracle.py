@@ -139,11 +139,11 @@ _PIECES: dict[str, str] = {
         WHERE rn = 1""",
     "goals": """
         SELECT c_custkey * 2 AS goal_id, c_custkey AS owner_id, 'Focus time' AS title,
-               'weekly' AS period_type, 'hours' AS metric, CAST(2.5 AS DECIMAL(10,2)) AS target,
+               'weekly' AS period_type, 'hours' AS metric, CAST(2.5 AS DECIMAL(38,10)) AS target,
                TIMESTAMP '2024-01-01 10:00:00' AS created_at FROM customer
         UNION ALL
         SELECT c_custkey * 2 + 1, c_custkey, 'Moves', 'monthly', 'count',
-               CAST(c_custkey % 9 AS DECIMAL(10,2)), TIMESTAMP '2024-01-01 09:00:00' FROM customer""",
+               CAST(c_custkey % 9 AS DECIMAL(38,10)), TIMESTAMP '2024-01-01 09:00:00' FROM customer""",
     "reflection_edits": """
         SELECT doc_id AS seq, doc_id // 6 AS owner_id,
                CASE doc_id % 3 WHEN 0 THEN 'daily' WHEN 1 THEN 'weekly' ELSE 'monthly' END AS period_type,
@@ -277,14 +277,16 @@ _PIECES: dict[str, str] = {
                CASE WHEN event_id % 13 = 0 THEN '' ELSE ' ' || event_type END AS title,
                CASE WHEN event_id % 2 = 0 THEN 'weekly' ELSE 'monthly' END AS period_type,
                CASE WHEN event_id % 2 = 0 THEN 'hours' ELSE 'count' END AS metric,
-               CASE event_id % 7 WHEN 0 THEN 'many' WHEN 1 THEN '0' WHEN 2 THEN '-1.5'
+               CASE WHEN event_id % 7 = 0 THEN 'many' WHEN event_id % 7 = 1 THEN '0'
+                    WHEN event_id % 7 = 2 THEN '-1.5' WHEN event_id % 21 = 3 THEN '123456789.125'
+                    WHEN event_id % 21 = 10 THEN '0.004' WHEN event_id % 21 = 17 THEN '0.000000000004'
                     ELSE CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) END AS target
         FROM events""",
     "untidy": """
         SELECT seq AS goal_id, owner_id, nullif(title, '') AS title,
                CASE WHEN seq % 9 = 0 THEN 'daily' ELSE period_type END AS period_type,
                CASE WHEN seq % 10 = 0 THEN 'words' ELSE metric END AS metric,
-               TRY_CAST(target AS DECIMAL(10,2)) AS target FROM goal_texts""",
+               TRY_CAST(target AS DECIMAL(38,10)) AS target FROM goal_texts""",
     "broken": """
         SELECT *, list_filter([
                CASE WHEN owner_id IS NULL THEN 'owner_id missing' END,
@@ -296,15 +298,54 @@ _PIECES: dict[str, str] = {
                CASE WHEN metric NOT IN ('hours', 'count') THEN 'metric not allowed' END
                ], lambda x: x IS NOT NULL) AS violations
         FROM untidy""",
+    "patches": f"""
+        SELECT activity_id, ts, seq, seq % 6 AS kind,
+               CASE WHEN seq % 4 <> 0 THEN 'new ' || event_type END AS title,
+               CASE WHEN seq % 4 = 1 THEN 'rest' ELSE 'focus' END AS category,
+               CASE WHEN seq % 8 >= 4 THEN '#112233' END AS color,
+               CASE WHEN seq % 6 <> 5 AND seq % 5 <> 0 THEN owner_id * 2 END AS goal_id,
+               CASE WHEN seq % 10 <> 3 THEN CASE WHEN value >= 20 THEN 'weekend' ELSE 'weekday' END
+               END AS day_type,
+               CAST(hour(ts) * 60 + minute(ts) AS INTEGER) AS planned_start_min
+        FROM edits""",
+    "newest": """
+        SELECT a.activity_id, a.owner_id, a.sort_order, a.title AS old_title, a.category AS old_category,
+               a.color AS old_color, a.goal_id AS old_goal_id, a.day_type AS old_day_type,
+               a.planned_start_min AS old_planned_start_min, a.planned_end_min AS old_planned_end_min,
+               (SELECT max({'ts': ts, 'seq': seq, 'v': title}) FROM patches p
+                WHERE p.activity_id = a.activity_id AND kind IN (0, 5) AND p.title IS NOT NULL) AS t,
+               (SELECT max({'ts': ts, 'seq': seq, 'v': category}) FROM patches p
+                WHERE p.activity_id = a.activity_id AND kind = 1) AS c,
+               (SELECT max({'ts': ts, 'seq': seq, 'v': color}) FROM patches p
+                WHERE p.activity_id = a.activity_id AND kind = 1) AS k,
+               (SELECT max({'ts': ts, 'seq': seq, 'v': goal_id}) FROM patches p
+                WHERE p.activity_id = a.activity_id AND kind IN (2, 5)) AS g,
+               (SELECT max({'ts': ts, 'seq': seq, 'v': goal_id}) FROM patches p
+                WHERE p.activity_id = a.activity_id AND kind = 2) AS tag,
+               (SELECT max({'ts': ts, 'seq': seq, 'v': day_type}) FROM patches p
+                WHERE p.activity_id = a.activity_id AND kind = 3 AND p.day_type IS NOT NULL) AS y,
+               (SELECT max({'ts': ts, 'seq': seq, 'v': planned_start_min}) FROM patches p
+                WHERE p.activity_id = a.activity_id AND kind = 4) AS s
+        FROM activities a""",
     "typed": """
-        SELECT activity_id, title AS old_title, category AS old_category, color AS old_color,
-               goal_id AS old_goal_id,
-               CASE WHEN dayofmonth(created_at) % 3 = 2 THEN 'new ' || title ELSE title END AS title,
-               CASE WHEN dayofmonth(created_at) % 2 = 0 THEN 'rest' ELSE category END AS category,
-               CASE WHEN dayofmonth(created_at) % 5 <> 0 THEN color END AS color,
-               CASE WHEN dayofmonth(created_at) % 4 <> 0 THEN goal_id END AS goal_id,
-               owner_id, sort_order
-        FROM activities""",
+        SELECT *, CASE WHEN t IS NOT NULL THEN t.v ELSE old_title END AS title,
+               CASE WHEN c IS NOT NULL THEN c.v ELSE old_category END AS category,
+               CASE WHEN k IS NOT NULL THEN k.v ELSE old_color END AS color,
+               CASE WHEN g IS NOT NULL THEN g.v ELSE old_goal_id END AS goal_id,
+               CASE WHEN y IS NOT NULL THEN y.v ELSE old_day_type END AS day_type,
+               CASE WHEN s IS NOT NULL THEN s.v ELSE old_planned_start_min END AS planned_start_min,
+               CASE WHEN s IS NULL THEN old_planned_end_min END AS planned_end_min
+        FROM newest""",
+    "day_places": """
+        SELECT *, row_number() OVER (PARTITION BY owner_id, d ORDER BY sort_order, created_at, activity_id)
+                  - 1 AS pos, count(*) OVER (PARTITION BY owner_id, d) AS n FROM planned""",
+    "drags": """
+        SELECT owner_id, log_date AS d, list(seq % 4 * 4 + (seq // 4) % 4 ORDER BY seq) AS moves
+        FROM edits GROUP BY ALL""",
+    "dragged": """
+        SELECT p.owner_id, p.d, p.activity_id, p.sort_order AS old_sort_order, p.pos,
+               list_filter(m.moves, lambda x: x // 4 <> x % 4 AND x // 4 < p.n AND x % 4 < p.n) AS moves
+        FROM day_places p JOIN drags m ON m.owner_id = p.owner_id AND m.d = p.d""",
     "closed": "SELECT c_custkey AS owner_id FROM customer WHERE c_acctbal < 0",
     "field_words": """
         SELECT *, row_number() OVER (PARTITION BY owner_id, activity_id, log_date, sets_completed
@@ -346,6 +387,13 @@ _ROUTINE = ", ".join(
         category, position)
     for title, day_type, start, end, category, position in DEFAULT_ROUTINE)
 
+# The key of each table as text.
+_KEYS = {
+    "profiles": "CAST(owner_id AS VARCHAR)", "activities": "activity_id",
+    "logs": "concat_ws('|', owner_id, activity_id, strftime(log_date, '%Y-%m-%d'))",
+    "reflections": "concat_ws('|', owner_id, period_type, strftime(period_date, '%Y-%m-%d'))",
+    "shares": "concat_ws('|', owner_id, viewer_id)", "goals": "CAST(goal_id AS VARCHAR)"}
+
 _STATEMENTS: dict[str, str] = {
     "week_adherence": f"SELECT *, {_pct('done', 'planned')} AS pct FROM weeks",
     "month_adherence": f"SELECT *, {_pct('done', 'planned')} AS pct FROM months",
@@ -441,7 +489,7 @@ _STATEMENTS: dict[str, str] = {
                    lambda x: NOT starts_with(ltrim(x), '//')), chr(10)), '') AS without_lines
         FROM reflection_edits""",
     "public_day": """
-        SELECT owner_id, share_code, d, part_no, CAST(to_json({
+        SELECT owner_id, share_code, d, part_no, CAST(1 AS INTEGER) AS part_count, CAST(to_json({
                  'owner_name': owner_name, 'date': strftime(d, '%Y-%m-%d'), 'activities': coalesce(items, []),
                  'week_start': strftime(wk, '%Y-%m-%d'), 'week_reflection': week_reflection,
                  'month_start': strftime(mo, '%Y-%m-%d'), 'month_reflection': month_reflection}) AS VARCHAR)
@@ -452,7 +500,8 @@ _STATEMENTS: dict[str, str] = {
                CASE WHEN mo <> DATE '2024-01-01' THEN month_reflection END AS month_reflection
         FROM day_docs""",
     "public_progress": f"""
-        SELECT p.owner_id, p.share_code, CAST(0 AS INTEGER) AS part_no, CAST(to_json({{
+        SELECT p.owner_id, p.share_code, CAST(0 AS INTEGER) AS part_no, CAST(1 AS INTEGER) AS part_count,
+               CAST(to_json({{
             'owner_name': coalesce(p.display_name, p.username),
             'today': coalesce((SELECT items FROM agenda_lists a
                                WHERE a.owner_id = p.owner_id AND a.d = {_AS_OF}), []),
@@ -514,6 +563,15 @@ _STATEMENTS: dict[str, str] = {
             (SELECT count(*) FROM goals x JOIN grants g USING (owner_id) WHERE g.viewer_id = p.owner_id) AS goals,
             (SELECT count(*) FROM shares s WHERE s.owner_id = p.owner_id OR s.viewer_id = p.owner_id) AS shares
         FROM profiles p""",
+    "visible_activities": """
+        SELECT g.viewer_id, x.owner_id, x.activity_id, x.title, x.day_type, x.entry_date FROM activities x JOIN grants g ON g.owner_id = x.owner_id""",
+    "visible_logs": """
+        SELECT g.viewer_id, x.owner_id, x.activity_id, x.log_date, x.completed, x.note,
+               x.actual_start_min, x.actual_end_min FROM logs x JOIN grants g ON g.owner_id = x.owner_id""",
+    "visible_reflections": """
+        SELECT g.viewer_id, x.owner_id, x.period_type, x.period_date, x.content FROM reflections x JOIN grants g ON g.owner_id = x.owner_id""",
+    "visible_goals": """
+        SELECT g.viewer_id, x.owner_id, x.goal_id, x.title, x.period_type, x.metric FROM goals x JOIN grants g ON g.owner_id = x.owner_id""",
     "editable_owners": "SELECT viewer_id, owner_id FROM grants WHERE permission = 'edit'",
     "edit_permissions": """
         SELECT event_id AS seq, user_id AS owner_id, user_id + event_id % 6 AS author_id,
@@ -562,8 +620,9 @@ _STATEMENTS: dict[str, str] = {
         SELECT seq, owner_id, entry_date, title, category, planned_start_min, planned_end_min, goal_id,
                color FROM forms""",
     "clean_goals": """
-        SELECT seq, owner_id, trim(title) AS title, period_type, metric, TRY_CAST(target AS DOUBLE) AS target
-        FROM goal_texts WHERE title <> '' AND TRY_CAST(target AS DOUBLE) > 0""",
+        SELECT seq, owner_id, trim(title) AS title, period_type, metric,
+               CAST(TRY_CAST(target AS DECIMAL(38,10)) AS DOUBLE) AS target
+        FROM goal_texts WHERE title <> '' AND TRY_CAST(target AS DECIMAL(38,10)) > 0""",
     "insert_positions": """
         SELECT f.seq, f.owner_id, f.entry_date, f.title, CAST(
             greatest(0, coalesce((SELECT max(a.sort_order) FROM activities a WHERE a.owner_id = f.owner_id
@@ -579,23 +638,30 @@ _STATEMENTS: dict[str, str] = {
             AS INTEGER) AS sort_order
         FROM forms f""",
     "changed_rows": """
-        SELECT activity_id, old_title, old_category, old_color, old_goal_id, title, category, color, goal_id
+        SELECT activity_id, old_title, old_category, old_color, old_goal_id, old_day_type,
+               old_planned_start_min, old_planned_end_min, title, category, color, goal_id, day_type,
+               planned_start_min, planned_end_min
         FROM typed WHERE old_title <> title OR old_category <> category
-              OR old_color IS DISTINCT FROM color OR old_goal_id IS DISTINCT FROM goal_id""",
+              OR old_color IS DISTINCT FROM color OR old_goal_id IS DISTINCT FROM goal_id
+              OR old_day_type <> day_type OR old_planned_start_min IS DISTINCT FROM planned_start_min
+              OR old_planned_end_min IS DISTINCT FROM planned_end_min""",
     "patched_activities": """
-        SELECT activity_id, owner_id, sort_order, title, category, color, goal_id FROM typed""",
+        SELECT activity_id, owner_id, sort_order, title, category, color, goal_id, day_type,
+               planned_start_min, planned_end_min FROM typed""",
+    "tagged_activities": """
+        SELECT activity_id, old_title, old_category, old_color, old_goal_id, old_day_type,
+               old_planned_start_min, old_planned_end_min, old_title AS title, old_category AS category,
+               old_color AS color, tag.v AS goal_id, old_day_type AS day_type,
+               old_planned_start_min AS planned_start_min, old_planned_end_min AS planned_end_min
+        FROM newest WHERE tag IS NOT NULL AND tag.v IS DISTINCT FROM old_goal_id""",
     "reorder_changes": """
-        SELECT owner_id, activity_id, old_sort_order, sort_order FROM (
-            SELECT owner_id, activity_id, sort_order AS old_sort_order,
-                   CAST(row_number() OVER (PARTITION BY owner_id, day_type ORDER BY
-                        CASE WHEN pos <> f THEN pos WHEN t > f THEN t + 0.5 ELSE t - 0.5 END) - 1
-                        AS INTEGER) AS sort_order, f, t, n
-            FROM (SELECT *, owner_id % 4 AS f, (owner_id // 4) % 4 AS t,
-                         row_number() OVER (PARTITION BY owner_id, day_type
-                                            ORDER BY sort_order, created_at, activity_id) - 1 AS pos,
-                         count(*) OVER (PARTITION BY owner_id, day_type) AS n
-                  FROM activities WHERE entry_date IS NULL))
-        WHERE f <> t AND f < n AND t < n AND old_sort_order <> sort_order""",
+        SELECT owner_id, d, activity_id, old_sort_order, CAST(sort_order AS INTEGER) AS sort_order FROM (
+            SELECT *, list_reduce(list_prepend(pos, moves), lambda p, m:
+                CASE WHEN p = m // 4 THEN m % 4
+                     WHEN p > m // 4 AND p <= m % 4 THEN p - 1
+                     WHEN p < m // 4 AND p >= m % 4 THEN p + 1 ELSE p END) AS sort_order
+            FROM dragged WHERE len(moves) > 0)
+        WHERE old_sort_order <> sort_order""",
     "seed_defaults": f"""
         SELECT p.owner_id, r.*, CAST(p.owner_id AS VARCHAR) || ':default:' || r.day_type || ':' ||
                CAST(r.sort_order AS VARCHAR) AS activity_id
@@ -613,11 +679,29 @@ _STATEMENTS: dict[str, str] = {
                CASE WHEN goal_id NOT IN (SELECT goal_id FROM goals WHERE target = 0) THEN goal_id END AS goal_id
         FROM activities""",
     "owner_erasure": " UNION ALL ".join(
-        f"SELECT '{name}' AS table_name, owner_id, count(*) AS n FROM {name} "
+        f"SELECT '{name}' AS table_name, {key} AS row_key FROM {name} "
         f"WHERE owner_id NOT IN (SELECT owner_id FROM closed)"
         + (" AND viewer_id NOT IN (SELECT owner_id FROM closed)" if name == "shares" else "")
-        + " GROUP BY owner_id"
-        for name in ("profiles", "activities", "logs", "reflections", "shares", "goals")),
+        for name, key in _KEYS.items()),
+    "tables_round_trip": " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, {key} AS row_key, "
+        f"{'true' if name == 'activities' else 'false'} AS goal_lost FROM {name}"
+        for name, key in _KEYS.items()),
+    "logs_round_trip": """
+        SELECT owner_id, activity_id, log_date, completed, note, actual_start_min, actual_end_min
+        FROM logs WHERE log_date BETWEEN DATE '2024-01-01' AND DATE '2024-01-31'""",
+    "table_violations": " UNION ALL ".join([
+        f"SELECT '{name}' AS table_name, {key} AS row_key, '{rule}' AS violations FROM {name} "
+        f"WHERE owner_id % {k} = 0"
+        for name, rule, k in (
+            ("profiles", "email missing", 6), ("activities", "day_type not allowed", 5),
+            ("logs", "completed missing", 7), ("shares", "permission not allowed", 3))
+        for key in (_KEYS[name],)]
+        + ["SELECT 'reflections' AS table_name, concat_ws('|', owner_id, 'yearly', "
+           "strftime(period_date, '%Y-%m-%d')) AS row_key, 'period_type not allowed' AS violations "
+           "FROM reflections WHERE owner_id % 4 = 0",
+           "SELECT 'goals', CAST(goal_id AS VARCHAR), array_to_string(violations, '; ') FROM broken "
+           "WHERE len(violations) > 0"]),
     "constraint_violations": """
         SELECT goal_id, array_to_string(violations, '; ') AS violations FROM broken""",
     "quarantined_goals": """
@@ -651,6 +735,11 @@ _STATEMENTS: dict[str, str] = {
         SELECT 'shares', 'owner_id,viewer_id', concat_ws('|', owner_id, viewer_id), count(*)
         FROM share_edits GROUP BY ALL HAVING count(*) > 1
         UNION ALL
+        SELECT 'activities', 'activity_id', activity_id, count(*) FROM edits GROUP BY ALL HAVING count(*) > 1
+        UNION ALL
+        SELECT 'goals', 'goal_id', CAST(owner_id * 2 AS VARCHAR), count(*) FROM goal_texts
+        GROUP BY ALL HAVING count(*) > 1
+        UNION ALL
         SELECT 'profiles', 'email', email, count(*) FROM profiles GROUP BY ALL HAVING count(*) > 1""",
     "signup_profiles": """
         SELECT *, lower(username) || '@example.org' AS login FROM (
@@ -674,6 +763,7 @@ _STATEMENTS: dict[str, str] = {
     "stream_day_tally": f"""
         SELECT e.owner_id, e.log_date AS d,
                count(f.activity_id) FILTER (WHERE f.completed) AS done,
+               (SELECT count(*) FROM planned p WHERE p.owner_id = e.owner_id AND p.d = e.log_date) AS total,
                CAST(coalesce(sum({_mins('f.actual_start_min', 'f.actual_end_min')}), 0) AS BIGINT) AS minutes
         FROM (SELECT DISTINCT owner_id, log_date FROM edits) e
         LEFT JOIN (SELECT f.* FROM folded f JOIN planned p ON p.owner_id = f.owner_id

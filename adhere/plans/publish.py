@@ -1,9 +1,11 @@
 """Nested documents for public readers.
 
 A document is keyed by owner, or owner and day. Its lists come in parts of at
-most ``PART_SIZE`` items: part 0 carries the document's own fields, later
-parts only continue the lists. Nearly every document has part 0 alone, and an
-owner with a huge list neither fills a task nor loses an item.
+most ``PART_SIZE`` items, numbered inside the document by one rule for every
+size. Each part carries the share code, the owner's name, its number and the
+number of parts, so a lookup by code finds every item; the other fields stand on
+part 0. Nearly every document has part 0 alone, and an owner with a huge list
+neither fills a task nor loses an item.
 
 All pieces of a document meet in one aggregation: each source contributes rows
 that fill only its own column, so no finished array is shuffled again.
@@ -23,7 +25,7 @@ from ..functions import names as N
 from ..functions.private import hide_blocks
 from ..model import Horizon
 from ..operators import adherence, goals as G, occurrences as O
-from ..operators.ranking import activity_levels, feed_levels, part_numbers
+from ..operators.ranking import with_positions
 from ..operators.reflections import redacted
 
 PART_SIZE = 1000
@@ -35,19 +37,21 @@ def _people(profiles: DataFrame) -> DataFrame:
         N.owner_name(F.col("display_name"), F.col("username")).alias("owner_name"))
 
 
+def _in_parts(items: DataFrame, keys: list[str], order: list[str], part_size: int) -> DataFrame:
+    """Add ``part_no`` and ``part_count`` of the list each item stands in."""
+    placed = with_positions(items, keys, [F.col(c) for c in order], "_pos", size="_size")
+    return placed.withColumns({
+        "part_no": F.floor(F.col("_pos") / part_size).cast("int"),
+        "part_count": F.ceil(F.col("_size") / part_size).cast("int")}).drop("_pos", "_size")
+
+
 def _agenda_items(activities: DataFrame, logs: DataFrame, people: DataFrame,
                   horizon: Horizon, part_size: int) -> DataFrame:
-    """(owner_id, d, part_no, item): the item starts with its sort key."""
-    kept = activities.join(people.select("owner_id"), "owner_id", "left_semi") \
-        .where(F.col("entry_date").isNull()
-               | F.col("entry_date").between(horizon.start, horizon.end))
-    # A day's agenda joins the template of its day type and its own one-offs.
-    numbered = part_numbers(
-        kept, "owner_id", "activity_id",
-        F.coalesce(D.iso_date(F.col("entry_date")), F.col("day_type")),
-        [F.col("sort_order"), F.col("created_at"), F.col("activity_id")], activity_levels(),
-        part_size, lists_per_array=2)
-    rows = O.agenda(numbered, redacted(logs, "note"), horizon)
+    """(owner_id, d, part_no, part_count, who, item): the item starts with its sort key."""
+    kept = activities.where(F.col("entry_date").isNull()
+                            | F.col("entry_date").between(horizon.start, horizon.end)) \
+        .join(people, "owner_id")
+    rows = O.agenda(kept, redacted(logs, "note"), horizon)
     shown = F.struct(
         "title", "category",
         C.hhmm(F.col("planned_start_min")).alias("planned_start"),
@@ -56,8 +60,11 @@ def _agenda_items(activities: DataFrame, logs: DataFrame, people: DataFrame,
         C.hhmm(F.col("actual_start_min")).alias("actual_start"),
         C.hhmm(F.col("actual_end_min")).alias("actual_end"),
         "note")
-    return rows.select("owner_id", "d", "part_no", F.struct(
-        "sort_order", "created_at", "activity_id", shown.alias("shown")).alias("item"))
+    items = rows.select("owner_id", "d", F.struct("share_code", "owner_name").alias("who"),
+                        F.struct("sort_order", "created_at", "activity_id",
+                                 shown.alias("shown")).alias("item"))
+    return _in_parts(items, ["owner_id", "d"],
+                     ["item.sort_order", "item.created_at", "item.activity_id"], part_size)
 
 
 def _in_order(items: Column) -> Column:
@@ -95,8 +102,9 @@ def _day_heads(people: DataFrame, reflections: DataFrame, horizon: Horizon) -> D
     days = D.days_between(F.greatest(F.col("week_start"), opens),
                           F.least(F.date_add("week_start", 6), closes))
     return weeks.select("owner_id", F.explode(days).alias("d"), F.lit(0).alias("part_no"),
-                        F.struct("share_code", "owner_name", "week_start", "week_reflection",
-                                 "month_start", "month_reflection").alias("head"))
+                        F.struct("share_code", "owner_name").alias("who"),
+                        F.struct("week_start", "week_reflection", "month_start",
+                                 "month_reflection").alias("head"))
 
 
 def public_days(profiles: DataFrame, activities: DataFrame, logs: DataFrame,
@@ -108,39 +116,39 @@ def public_days(profiles: DataFrame, activities: DataFrame, logs: DataFrame,
         [_day_heads(people, reflections, horizon),
          _agenda_items(activities, logs, people, horizon, part_size)],
         ["owner_id", "d", "part_no"],
-        {"head": F.max("head"), "activities": _in_order(F.col("item"))})
+        {"who": F.max("who"), "part_count": F.coalesce(F.max("part_count"), F.lit(1)),
+         "head": F.max("head"), "activities": _in_order(F.col("item"))})
     return merged.select(
-        "owner_id", F.col("head.share_code"), "d", "part_no", F.struct(
-            F.col("head.owner_name"), D.iso_date(F.col("d")).alias("date"), "activities",
+        "owner_id", F.col("who.share_code"), "d", "part_no", "part_count", F.struct(
+            F.col("who.owner_name"), D.iso_date(F.col("d")).alias("date"), "activities",
             D.iso_date(F.col("head.week_start")).alias("week_start"),
             F.col("head.week_reflection"),
             D.iso_date(F.col("head.month_start")).alias("month_start"),
             F.col("head.month_reflection")).alias("document"))
 
 
-def past_reflections(days: DataFrame, as_of: dt.date) -> DataFrame:
+def past_reflections(profiles: DataFrame, reflections: DataFrame, horizon: Horizon,
+                     as_of: dt.date) -> DataFrame:
     """What an opened day shows below its list: the reflections on its week
     and month, unless those are the current ones, which are shown elsewhere."""
-    d, doc, now = F.col("d"), "document", F.lit(as_of)
-    return days.where(F.col("part_no") == 0).select(
+    d, head, now = F.col("d"), "head", F.lit(as_of)
+    return _day_heads(_people(profiles), reflections, horizon).select(
         "owner_id", "d",
-        F.when(D.week_start(d) != D.week_start(now), F.col(f"{doc}.week_reflection"))
+        F.when(D.week_start(d) != D.week_start(now), F.col(f"{head}.week_reflection"))
         .alias("week_reflection"),
-        F.when(D.month_start(d) != D.month_start(now), F.col(f"{doc}.month_reflection"))
+        F.when(D.month_start(d) != D.month_start(now), F.col(f"{head}.month_reflection"))
         .alias("month_reflection"))
 
 
 def _goal_items(goals: DataFrame, activities: DataFrame, logs: DataFrame,
                 people: DataFrame, as_of: dt.date, part_size: int) -> DataFrame:
-    shared = goals.join(people.select("owner_id"), "owner_id", "left_semi")
-    numbered = part_numbers(
-        shared, "owner_id", "goal_id", F.lit("goals"),
-        [F.col("created_at"), F.col("goal_id")],
-        feed_levels("created_at", "goal_id"), part_size)
+    shared = goals.join(people.select("owner_id", F.struct("share_code", "owner_name").alias("who")),
+                        "owner_id")
+    numbered = _in_parts(shared, ["owner_id"], ["created_at", "goal_id"], part_size)
     shown = F.struct("title", F.col("period_type").alias("period"), "metric",
                      F.col("target").cast("double").alias("target"), "actual")
     return G.goals_at(numbered, activities, logs, as_of).select(
-        "owner_id", "part_no",
+        "owner_id", "part_no", "part_count", "who",
         F.struct("created_at", "goal_id", shown.alias("shown")).alias("goal"))
 
 
@@ -158,9 +166,9 @@ def public_progress(profiles: DataFrame, activities: DataFrame, logs: DataFrame,
         F.col("period_date") == D.period_start(F.col("period_type"), F.lit(as_of))).select(
         "owner_id", "period_type", hide_blocks(F.col("content")).alias("_text"))
     pieces = [
-        people.select("owner_id", zero, F.struct("share_code", "owner_name").alias("head")),
+        people.select("owner_id", zero, F.struct("share_code", "owner_name").alias("who")),
         _agenda_items(activities, logs, people, today, part_size)
-        .select("owner_id", "part_no", F.col("item").alias("today")),
+        .select("owner_id", "part_no", "part_count", "who", F.col("item").alias("today")),
         # The days serve the calendar and, added up, the week and the month.
         adherence.calendar_days(people, activities, logs, wide)
         .select("owner_id", zero, "d", "planned", "done"),
@@ -178,13 +186,15 @@ def public_progress(profiles: DataFrame, activities: DataFrame, logs: DataFrame,
 
     cell = F.struct(D.iso_date(day).alias("d"), "planned", "done")
     merged = _merged(pieces, ["owner_id", "part_no"], {
-        "head": F.max("head"), "today": _in_order(F.col("today")),
+        # The longest list has items in every part, so each part knows its length.
+        "who": F.max("who"), "part_count": F.coalesce(F.max("part_count"), F.lit(1)),
+        "today": _in_order(F.col("today")),
         "week": total(week), "month": total(month),
         "calendar": _in_order(F.when(day.between(month.start, month.end),
                                      F.struct(day, cell.alias("shown")))),
         "goals": _in_order(F.col("goal")),
         "daily": F.max("daily_text"), "weekly": F.max("weekly_text"),
         "monthly": F.max("monthly_text")})
-    return merged.select("owner_id", F.col("head.share_code"), "part_no", F.struct(
-        F.col("head.owner_name"), "today", "week", "month", "calendar", "goals",
+    return merged.select("owner_id", F.col("who.share_code"), "part_no", "part_count", F.struct(
+        F.col("who.owner_name"), "today", "week", "month", "calendar", "goals",
         F.struct("daily", "weekly", "monthly").alias("reflections")).alias("document"))

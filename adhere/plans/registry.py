@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clock as C
 from ..functions import dates as D
 from ..functions import names as N
 from ..functions.private import hide_blocks, hide_lines
-from ..model import Horizon
+from ..model import TABLES, Horizon
 from ..operators import (adherence, goals, occurrences, onboarding, quality, removals,
                          sharing, template_edits, upserts)
 from ..session import work_path
+from ..sources import readers, sinks
 from ..sources.driver_tables import DriverTables
 from ..sources.sinks import as_json
 from ..streaming import log_feed
@@ -179,22 +181,21 @@ def redacted_reflections(t):
 @_query
 def public_day(t):
     days = publish.public_days(t.profiles, t.activities, t.logs, t.reflections, HORIZON)
-    return days.select("owner_id", "share_code", "d", "part_no",
+    return days.select("owner_id", "share_code", "d", "part_no", "part_count",
                        as_json("document").alias("document"))
 
 
 @_query
 def public_progress(t):
-    docs = publish.public_progress(t.profiles, t.activities, t.logs, t.goals, t.reflections,
-                                   AS_OF)
-    return docs.select("owner_id", "share_code", "part_no",
+    docs = publish.public_progress(t.profiles, t.kept("activities"), t.kept("logs"), t.goals,
+                                   t.reflections, AS_OF)
+    return docs.select("owner_id", "share_code", "part_no", "part_count",
                        as_json("document").alias("document"))
 
 
 @_query
 def past_reflections(t):
-    days = publish.public_days(t.profiles, t.activities, t.logs, t.reflections, HORIZON)
-    return publish.past_reflections(days, AS_OF)
+    return publish.past_reflections(t.profiles, t.reflections, HORIZON, AS_OF)
 
 
 # ---- sharing
@@ -240,6 +241,35 @@ def visible_rows(t):
     return sharing.visible_counts(tables, t.shares, sharing.grants(t.profiles, t.shares))
 
 
+def _visible(t, name: str, *columns: str) -> DataFrame:
+    viewers = t.profiles.select(F.col("owner_id").alias("viewer_id"))
+    granted = sharing.grants(t.profiles, t.shares)
+    return sharing.visible_to(getattr(t, name), granted, viewers).select(
+        "viewer_id", "owner_id", *columns)
+
+
+@_query
+def visible_activities(t):
+    """Recurring and one-off entries by everybody who may read them."""
+    return _visible(t, "activities", "activity_id", "title", "day_type", "entry_date")
+
+
+@_query
+def visible_logs(t):
+    return _visible(t, "logs", "activity_id", "log_date", "completed", "note",
+                    "actual_start_min", "actual_end_min")
+
+
+@_query
+def visible_reflections(t):
+    return _visible(t, "reflections", "period_type", "period_date", "content")
+
+
+@_query
+def visible_goals(t):
+    return _visible(t, "goals", "goal_id", "title", "period_type", "metric")
+
+
 @_query
 def editable_owners(t):
     return sharing.editable(sharing.grants(t.profiles, t.shares)) \
@@ -313,8 +343,11 @@ def note_changes(t):
 
 @_query
 def reflections_upsert(t):
-    nothing_yet = t.reflections.where(F.lit(False))
-    return upserts.upsert(nothing_yet, t.reflection_edits, upserts.REFLECTION_KEY, ["seq"])
+    """Every second text was there before; the others are the feed."""
+    feed = F.floor(F.col("seq") / 3) % 2 == 1
+    before = upserts.latest_per_key(t.reflection_edits.where(~feed), upserts.REFLECTION_KEY, ["seq"])
+    merged = upserts.upsert(before, t.reflection_edits.where(feed), upserts.REFLECTION_KEY, ["seq"])
+    return merged.select(*upserts.REFLECTION_KEY, "content")
 
 
 @_query
@@ -360,11 +393,18 @@ def changed_rows(t):
 
 @_query
 def patched_activities(t):
-    fields = ["title", "category", "color", "goal_id"]
+    fields = list(template_edits.ACTIVITY_PATCH_FIELDS)
     return upserts.apply_changes(t.activities, changed_rows(t), ["activity_id"], fields) \
         .select("activity_id", "owner_id", "sort_order", *fields)
 
 
+@_query
+def tagged_activities(t):
+    """Goal tags alone: no other field of an activity may change."""
+    tags = t.activity_patches.where("sets_goal AND NOT sets_title")
+    return template_edits.activity_changes(t.activities, tags)
+
+
 @_query
 def reorder_changes(t):
     return template_edits.reorder_changes(t.activities, t.moves)
@@ -399,12 +439,12 @@ def owner_erasure(t):
         {"profiles": t.profiles, "activities": t.activities, "logs": t.logs,
          "reflections": t.reflections, "shares": t.shares, "goals": t.goals},
         t.closed_accounts)
-    counted = None
-    for name, df in left.items():
-        rows = df.groupBy("owner_id").agg(F.count(F.lit(1)).alias("n")) \
-            .select(F.lit(name).alias("table_name"), "owner_id", "n")
-        counted = rows if counted is None else counted.unionByName(rows)
-    return counted
+    return reduce(DataFrame.unionByName, [_row_keys(df, name) for name, df in left.items()])
+
+
+def _row_keys(df: DataFrame, name: str, *more: Column) -> DataFrame:
+    return df.select(F.lit(name).alias("table_name"), F.concat_ws(
+        "|", *[F.col(k).cast("string") for k in TABLES[name].key]).alias("row_key"), *more)
 
 
 # ---- quality and onboarding
@@ -415,6 +455,14 @@ def constraint_violations(t):
     return checked.select("goal_id", F.concat_ws("; ", "violations").alias("violations"))
 
 
+@_query
+def table_violations(t):
+    """Rows of all six tables that break a rule."""
+    return reduce(DataFrame.unionByName, [
+        _row_keys(quality.quarantined_rows(quality.with_violations(t.untidy(name), name)), name,
+                  F.concat_ws("; ", "violations").alias("violations")) for name in TABLES])
+
+
 @_query
 def quarantined_goals(t):
     checked = quality.with_violations(t.untidy_goals, "goals")
@@ -442,8 +490,9 @@ def orphans(t):
 def duplicate_keys(t):
     """The feeds taken for tables: every key written more than once."""
     return quality.all_duplicate_keys({
-        "profiles": t.profiles, "logs": t.edits, "reflections": t.reflection_edits,
-        "shares": t.share_edits})
+        "profiles": t.profiles, "activities": t.edits, "logs": t.edits,
+        "reflections": t.reflection_edits, "shares": t.share_edits,
+        "goals": t.goal_forms.select((F.col("owner_id") * 2).alias("goal_id"))})
 
 
 @_query
@@ -467,6 +516,34 @@ def share_codes(t):
     return onboarding.assign_share_codes(fresh)
 
 
+# ---- tables written and read again
+
+@_query
+def logs_round_trip(t):
+    """Logs written by month and read for the horizon."""
+    path = f"{work_path(t.spark, 'logs')}/logs"
+    sinks.write_logs(t.logs, path)
+    return readers.read_logs(t.spark, path, HORIZON).select(
+        "owner_id", "activity_id", "log_date", "completed", "note", "actual_start_min",
+        "actual_end_min")
+
+
+@_query
+def tables_round_trip(t):
+    """All six tables written and read; activities from a time before colors and goals."""
+    where = work_path(t.spark, "tables")
+    read = []
+    for name in TABLES:
+        df = getattr(t, name)
+        if name == "activities":
+            df = df.drop("color", "goal_id")
+        sinks.write_rows(df, f"{where}/{name}")
+        back = readers.read_table(t.spark, name, f"{where}/{name}")
+        lost = F.col("goal_id").isNull() if name == "activities" else F.lit(False)
+        read.append(_row_keys(back, name, lost.alias("goal_lost")))
+    return reduce(DataFrame.unionByName, read)
+
+
 # ---- streams, run until their input is used up
 
 @_query

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions.names import CODE_SPACE, code_of_number
 from ..functions.rows import several_rows
+from ..model import TARGET_TYPE
 from ..operators.latest import latest_per_key
+from ..session import store
 
 # Events above this value are one-off entries, the others log the routine.
 ONE_OFF_VALUE = 200
@@ -40,8 +42,10 @@ class DriverTables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._kept: dict[str, DataFrame] = {}
 
     def raw(self, table: str) -> DataFrame:
+        """A given table with the schema of its file; those six of ``model`` are derived from it."""
         return self.spark.read.parquet(f"{self.folder}/{table}.parquet")
 
     @cached_property
@@ -60,13 +64,20 @@ class DriverTables:
         return self._as_edits(self.raw("events"))
 
     def edit_stream(self, batch_bytes: int = 256 << 30) -> DataFrame:
-        """The same edits as a stream over the events files of the folder.
+        """The same edits as a stream over the events table.
 
         ``batch_bytes`` bounds a micro-batch; a backlog becomes several.
         """
         reader = self.spark.readStream.schema(self.raw("events").schema) \
             .option("maxBytesPerTrigger", batch_bytes)
-        return self._as_edits(reader.parquet(f"{self.folder}/events*.parquet"))
+        # A stream over one file needs a pattern; this one matches the table's name alone.
+        return self._as_edits(reader.parquet(f"{self.folder}/event[s].parquet"))
+
+    def kept(self, name: str) -> DataFrame:
+        """One of these tables, derived once and read from the shared folder by each use."""
+        if name not in self._kept:
+            self._kept[name] = store(getattr(self, name), name)
+        return self._kept[name]
 
     @staticmethod
     def _as_edits(events: DataFrame) -> DataFrame:
@@ -153,11 +164,11 @@ class DriverTables:
         return self.raw("customer").select(several_rows(
             dict(goal_id=owner * 2, owner_id=owner, title=F.lit("Focus time"),
                  period_type=F.lit("weekly"), metric=F.lit("hours"),
-                 target=F.lit("2.50").cast("decimal(10,2)"),
+                 target=F.lit("2.50").cast(TARGET_TYPE),
                  created_at=F.lit("2024-01-01 10:00:00").cast("timestamp_ntz")),
             dict(goal_id=owner * 2 + 1, owner_id=owner, title=F.lit("Moves"),
                  period_type=F.lit("monthly"), metric=F.lit("count"),
-                 target=(owner % 9).cast("decimal(10,2)"),
+                 target=(owner % 9).cast(TARGET_TYPE),
                  created_at=F.lit("2024-01-01 09:00:00").cast("timestamp_ntz"))))
 
     @cached_property
@@ -254,6 +265,8 @@ class DriverTables:
             F.when(seq % 2 == 0, "weekly").otherwise("monthly").alias("period_type"),
             F.when(seq % 2 == 0, "hours").otherwise("count").alias("metric"),
             F.when(seq % 7 == 0, "many").when(seq % 7 == 1, "0").when(seq % 7 == 2, "-1.5")
+             .when(seq % 21 == 3, "123456789.125").when(seq % 21 == 10, "0.004")
+             .when(seq % 21 == 17, "0.000000000004")
              .otherwise(F.floor(value).cast("string")).alias("target"))
 
     @cached_property
@@ -284,28 +297,48 @@ class DriverTables:
 
     @cached_property
     def activity_patches(self) -> DataFrame:
-        """One edit per activity as typed: blank, unchanged or new fields."""
-        turn = F.dayofmonth("created_at")
-        return self.activities.select(
-            "activity_id",
-            F.when(turn % 3 == 0, "  ").when(turn % 3 == 1, F.concat(F.lit(" "), "title"))
-             .otherwise(F.concat(F.lit("new "), "title")).alias("title"),
-            F.when(turn % 2 == 0, "").otherwise(F.col("category")).alias("category"),
-            F.when(turn % 5 == 0, "").otherwise(F.coalesce("color", F.lit(""))).alias("color"),
-            F.when(turn % 4 == 0, "").otherwise(
-                F.coalesce(F.col("goal_id").cast("string"), F.lit(""))).alias("goal_id"))
+        """An edit of one or two fields per event, as typed; several for most routines."""
+        seq, kind = F.col("seq"), F.col("seq") % 6
+        return self.edits.select(
+            "seq", "ts", "activity_id",
+            (kind.isin(0, 5)).alias("sets_title"), (kind == 1).alias("sets_category"),
+            (kind == 1).alias("sets_color"), (kind.isin(2, 5)).alias("sets_goal"),
+            (kind == 3).alias("sets_day_type"), (kind == 4).alias("sets_times"),
+            F.when(seq % 4 == 0, "  ").otherwise(F.concat(
+                F.lit(" new "), F.col("event_type"), F.lit("\t"))).alias("title"),
+            F.when(seq % 4 == 1, "").otherwise(" focus ").alias("category"),
+            F.when(seq % 8 < 4, "").otherwise("#112233").alias("color"),
+            F.when(kind == 5, "x").when(seq % 5 == 0, "")
+             .otherwise((F.col("owner_id") * 2).cast("string")).alias("goal_id"),
+            F.when(seq % 10 == 3, "someday").when(F.col("value") >= DONE_VALUE, "weekend")
+             .otherwise("weekday").alias("day_type"),
+            F.date_format("ts", "HH:mm").alias("planned_start"), F.lit("").alias("planned_end"))
 
     @cached_property
     def moves(self) -> DataFrame:
-        """One drag per template list, between places that depend on its owner.
+        """A drag in the day's list per event, several for many lists.
 
         Some moves go nowhere and some point outside their list.
         """
+        seq = F.col("seq")
+        return self.edits.select(
+            "owner_id", F.col("log_date").alias("d"), "seq",
+            (seq % 4).cast("int").alias("from_index"),
+            (F.floor(seq / 4) % 4).cast("int").alias("to_index"))
+
+    def untidy(self, name: str) -> DataFrame:
+        """One of the six tables with values missing or outside their list."""
         owner = F.col("owner_id")
-        return self.profiles.select(
-            "owner_id", F.explode(F.array(F.lit("weekday"), F.lit("weekend")))
-            .alias("day_type"), (owner % 4).cast("int").alias("from_index"),
-            (F.floor(owner / 4) % 4).cast("int").alias("to_index"))
+        if name == "goals":
+            return self.untidy_goals
+        df = getattr(self, name)
+        column, bad, rows = {
+            "profiles": ("email", None, owner % 6 == 0),
+            "activities": ("day_type", "holiday", owner % 5 == 0),
+            "logs": ("completed", None, owner % 7 == 0),
+            "reflections": ("period_type", "yearly", owner % 4 == 0),
+            "shares": ("permission", "own", owner % 3 == 0)}[name]
+        return df.withColumn(column, F.when(rows, F.lit(bad)).otherwise(F.col(column)))
 
     @cached_property
     def untidy_goals(self) -> DataFrame:
@@ -317,4 +350,4 @@ class DriverTables:
              .alias("period_type"),
             F.when(F.col("seq") % 10 == 0, "words").otherwise(F.col("metric"))
              .alias("metric"),
-            F.col("target").try_cast("decimal(10,2)").alias("target"))
+            F.col("target").try_cast(TARGET_TYPE).alias("target"))

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import clock as C
+from ..functions import dates as D
 from ..operators.occurrences import is_planned
 from ..operators.upserts import LOG_KEY, LOG_PATCH_FIELDS
+from ..sources.readers import one_offs, recurring
 from .changelog import latest_rows, read_batches, run_available, write_batch
 
 _TYPES = {"completed": T.BooleanType(), "actual_start_min": T.IntegerType(),
@@ -34,7 +36,8 @@ DELTA_SCHEMA = T.StructType([
 
 TALLY_SCHEMA = T.StructType([
     T.StructField("owner_id", T.LongType()), T.StructField("d", T.DateType()),
-    T.StructField("done", T.LongType()), T.StructField("minutes", T.LongType())])
+    T.StructField("done", T.LongType()), T.StructField("total", T.LongType()),
+    T.StructField("minutes", T.LongType())])
 
 
 def to_deltas(patches: DataFrame) -> DataFrame:
@@ -72,23 +75,30 @@ def read_deltas(spark: SparkSession, path: str,
 def follow_logs(patches: DataFrame, deltas_path: str, checkpoint: str) -> None:
     """Append the deltas of everything that has arrived."""
     def each(batch: DataFrame, batch_id: int) -> None:
-        write_batch(to_deltas(batch), deltas_path, batch_id, "log_month")
+        _write_deltas(batch, deltas_path, batch_id)
 
     run_available(patches, each, checkpoint)
 
 
-def compact(spark: SparkSession, deltas_path: str, into: str, through: int) -> None:
+def _write_deltas(batch: DataFrame, path: str, batch_id: int) -> None:
+    """One folder per month, in files sized by their rows rather than by tasks."""
+    write_batch(to_deltas(batch).hint("rebalance", "log_month"), path, batch_id, "log_month")
+
+
+def compact(spark: SparkSession, deltas_path: str, into: str, through: int,
+            compacted: tuple[str, int] | None = None) -> None:
     """Fold the batches up to ``through`` into one, in another folder.
 
-    The stream keeps writing meanwhile; ``read_deltas`` puts both together.
+    An earlier copy saves reading the batches it covers. The stream keeps
+    writing meanwhile; ``read_deltas`` puts both together.
     """
-    old = read_deltas(spark, deltas_path).where(F.col("batch") <= through)
+    old = read_deltas(spark, deltas_path, compacted).where(F.col("batch") <= through)
     write_batch(merge_deltas(old).hint("rebalance", "log_month"), into, through, "log_month")
 
 
 def touched_tallies(touched: DataFrame, deltas: DataFrame,
                     activities: DataFrame) -> DataFrame:
-    """Done count and active minutes of the given (owner, day) pairs.
+    """Done count, number planned and active minutes of the given (owner, day) pairs.
 
     A later correction may undo a mark, so the pairs are counted anew from
     their current logs. The month is part of the join, which lets Spark prune
@@ -98,28 +108,58 @@ def touched_tallies(touched: DataFrame, deltas: DataFrame,
                            F.date_format("log_date", "yyyy-MM").alias("log_month")).distinct()
     mine = deltas.join(pairs, ["owner_id", "log_date", "log_month"], "left_semi")
     plan = activities.select("owner_id", "activity_id", "day_type", "entry_date")
-    planned = current_logs(mine).join(plan, ["owner_id", "activity_id"]) \
-        .where(is_planned(F.col("log_date")))
-    counted = planned.groupBy("owner_id", "log_date").agg(
-        F.sum(F.col("completed").cast("long")).alias("done"),
-        F.sum(C.span_minutes(F.col("actual_start_min"), F.col("actual_end_min")))
-        .alias("minutes"))
     zero = F.lit(0).cast("long")
-    return pairs.join(counted, ["owner_id", "log_date"], "left").select(
-        "owner_id", F.col("log_date").alias("d"), F.coalesce("done", zero).alias("done"),
-        F.coalesce("minutes", zero).alias("minutes"))
+    done = current_logs(mine).join(plan, ["owner_id", "activity_id"]) \
+        .where(is_planned(F.col("log_date"))).select(
+        "owner_id", "log_date", F.col("completed").cast("long").alias("done"), zero.alias("total"),
+        C.span_minutes(F.col("actual_start_min"), F.col("actual_end_min")).alias("minutes"))
+    # The agenda of a day: its day type's template, summed first, and its own one-offs.
+    template = recurring(plan).groupBy("owner_id", "day_type").agg(F.count(F.lit(1)).alias("total"))
+    planned = pairs.withColumn("day_type", D.day_type(F.col("log_date"))).join(
+        template, ["owner_id", "day_type"]).select("owner_id", "log_date", "total")
+    single = one_offs(plan).select("owner_id", F.col("entry_date").alias("log_date")) \
+        .join(pairs, ["owner_id", "log_date"], "left_semi").groupBy("owner_id", "log_date").agg(
+        F.count(F.lit(1)).alias("total"))
+    counted = done.unionByName(planned, allowMissingColumns=True) \
+        .unionByName(single, allowMissingColumns=True).unionByName(
+        pairs.select("owner_id", "log_date"), allowMissingColumns=True)
+    return counted.groupBy("owner_id", F.col("log_date").alias("d")).agg(*[
+        F.coalesce(F.sum(c), zero).alias(c) for c in ("done", "total", "minutes")])
+
+
+# Batches after which the deltas are folded into one.
+COMPACT_EVERY = 16
+
+
+def base_of(batch_id: int, every: int = COMPACT_EVERY) -> int | None:
+    """The last batch that the compacted copy read by ``batch_id`` covers, if there is one."""
+    through = (batch_id // every) * every - 1
+    return through if through >= 0 else None
 
 
 def follow_tallies(patches: DataFrame, activities: DataFrame, deltas_path: str,
-                   tallies_path: str, checkpoint: str,
-                   compacted: tuple[str, int] | None = None) -> None:
-    """Append deltas and, from them, the tallies of every touched day."""
+                   tallies_path: str, checkpoint: str, compact_every: int = COMPACT_EVERY) -> None:
+    """Append deltas and, from them, the tallies of every touched day.
+
+    Each ``compact_every`` batches the deltas so far are folded into a copy beside
+    them, from the copy before and the batches since. So a batch reads one copy
+    and fewer than ``compact_every`` batches, however long the stream has run.
+    A replayed batch reads what it read before: copies cover whole numbers of
+    batches and overwrite themselves.
+    """
+    def base(batch_id: int) -> tuple[str, int] | None:
+        through = base_of(batch_id, compact_every)
+        return None if through is None else (f"{deltas_path}-through-{through}", through)
+
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        write_batch(to_deltas(batch), deltas_path, batch_id, "log_month")
+        _write_deltas(batch, deltas_path, batch_id)
+        here = base(batch_id)
+        if here and batch_id == here[1] + 1:
+            compact(spark, deltas_path, *here, base(here[1]))
         fresh = read_deltas(spark, deltas_path).where(F.col("batch") == batch_id)
         # A replayed batch must not see batches after it.
-        known = read_deltas(spark, deltas_path, compacted).where(F.col("batch") <= batch_id)
+        known = read_deltas(spark, deltas_path, here).where(F.col("batch") <= batch_id)
         write_batch(touched_tallies(fresh, known, activities), tallies_path, batch_id)
 
     run_available(patches, each, checkpoint)
@@ -134,12 +174,33 @@ WEEK_COUNT_SCHEMA = T.StructType([
     T.StructField("edits", T.LongType())])
 
 
-def weekly_edit_counts(patches: DataFrame, lateness: str = "7 days") -> DataFrame:
-    """Edits per owner and Monday-based week; state ends with the watermark.
+def week_counts(patches: DataFrame) -> DataFrame:
+    """Edits per owner and Monday-based week."""
+    return patches.groupBy("owner_id", D.week_start(F.to_date("ts")).alias("week_start")) \
+        .agg(F.count(F.lit(1)).alias("edits"))
 
-    Windows are aligned to the epoch, a Thursday, hence the four days. Edit
-    times carry no zone; they are read as UTC for the windows, whatever the
-    session's zone is.
+
+def follow_weekly_counts(patches: DataFrame, counts_path: str, checkpoint: str) -> None:
+    """Append the counts of each batch. They are sums, so no edit is ever too late and
+    the result does not depend on how a backlog is split into batches."""
+    def each(batch: DataFrame, batch_id: int) -> None:
+        write_batch(week_counts(batch), counts_path, batch_id)
+
+    run_available(patches, each, checkpoint)
+
+
+def current_weekly_counts(spark: SparkSession, path: str) -> DataFrame:
+    return read_batches(spark, path, WEEK_COUNT_SCHEMA).groupBy("owner_id", "week_start") \
+        .agg(F.sum("edits").alias("edits"))
+
+
+def live_weekly_counts(patches: DataFrame, lateness: str = "7 days") -> DataFrame:
+    """The same as a windowed stream with bounded state, for a live display.
+
+    Edits that arrive more than ``lateness`` behind the newest one are left out;
+    that is the bound on the state. Windows are aligned to the epoch, a Thursday,
+    hence the four days. Edit times carry no zone; they are read as UTC for the
+    windows, whatever the session's zone is.
     """
     zone = F.current_timezone()
     timed = patches.withColumn("at", F.convert_timezone(F.lit("UTC"), zone, F.col("ts"))
@@ -150,14 +211,14 @@ def weekly_edit_counts(patches: DataFrame, lateness: str = "7 days") -> DataFram
             .select("owner_id", monday.alias("week_start"), "edits"))
 
 
-def follow_weekly_counts(patches: DataFrame, counts_path: str, checkpoint: str,
-                         lateness: str = "7 days") -> None:
+def follow_live_weekly_counts(patches: DataFrame, counts_path: str, checkpoint: str,
+                              lateness: str = "7 days") -> None:
     def each(batch: DataFrame, batch_id: int) -> None:
         write_batch(batch, counts_path, batch_id)
 
-    run_available(weekly_edit_counts(patches, lateness), each, checkpoint, "update")
+    run_available(live_weekly_counts(patches, lateness), each, checkpoint, "update")
 
 
-def current_weekly_counts(spark: SparkSession, path: str) -> DataFrame:
+def live_counts(spark: SparkSession, path: str) -> DataFrame:
     return latest_rows(read_batches(spark, path, WEEK_COUNT_SCHEMA),
                        ["owner_id", "week_start"])

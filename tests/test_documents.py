@@ -5,7 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from adhere.model import Horizon
-from adhere.operators.ranking import activity_levels, number_slice, with_positions
+from adhere.operators.ranking import with_positions
 from adhere.plans import publish as P
 from adhere.sources.sinks import as_json
 
@@ -30,20 +30,22 @@ def crowd(spark, hot=3000, others=50):
 
 
 def test_positions_of_a_hot_group_are_exact(spark):
-    df = crowd(spark)
+    """Also with nulls, one sort_order for a bulk insert, and a null key."""
+    df = crowd(spark).withColumns({
+        "owner_id": F.when(F.col("owner_id") != 7, F.col("owner_id")),
+        "sort_order": F.when(F.col("sort_order") % 5 == 0, F.lit(None))
+        .when(F.col("sort_order") % 5 == 1, 2000).otherwise(F.col("sort_order"))})
     order = [F.col("sort_order"), F.col("created_at"), F.col("activity_id")]
-    got = with_positions(df, ["owner_id"], order, activity_levels(), "p", size="n", limit=100)
+    got = with_positions(df, ["owner_id"], order, "p", size="n")
+    assert got.columns == [*df.columns, "p", "n"]
     group = W.partitionBy("owner_id")
     want = df.withColumn("p", F.row_number().over(group.orderBy(*order)) - 1) \
         .withColumn("n", F.count("*").over(group))
     assert values(got, "activity_id", "p", "n") == values(want, "activity_id", "p", "n")
 
 
-def test_number_slices_never_decrease_and_stay_few(spark):
-    df = spark.range(-3000, 200000).select("id", number_slice(F.col("id")).alias("s"))
-    slices = [r.s for r in df.orderBy("id").collect()]
-    assert slices == sorted(slices)
-    assert len(set(slices[3000:])) < 1700
+def test_positions_of_nothing(spark):
+    assert with_positions(crowd(spark).limit(0), ["owner_id"], [F.col("sort_order")]).isEmpty()
 
 
 def _people(spark, n):
@@ -69,8 +71,27 @@ def test_parts_of_a_hot_document_lose_nothing(spark):
     assert max(sizes) <= 100
     # everybody else is one document
     assert parts.where("owner_id > 0 and part_no > 0").isEmpty()
-    # heads stand on part 0 only
-    assert parts.where("part_no > 0 and document.owner_name is not null").isEmpty()
+    # every part tells whose it is and how many there are
+    assert parts.where("document.owner_name is null or share_code is null").isEmpty()
+    counts = {(r.owner_id, r.d): (r.n, r.c) for r in parts.groupBy("owner_id", "d").agg(
+        F.count("*").alias("n"), F.max("part_count").alias("c")).collect()}
+    assert all(n == c for n, c in counts.values())
+    by_code = parts.where("share_code = 'C0' and d = '2024-01-03'").select(F.explode(titles)).count()
+    assert by_code == 3000
+
+
+def test_a_small_day_is_one_document_in_any_horizon(spark):
+    rows = [dict(activity_id=f"x{k}", owner_id=0, title=str(k), day_type="weekday", category="c",
+                 sort_order=k, entry_date=D(2024, 1, 4)) for k in range(30)]
+    rows += [dict(activity_id=f"y{k}", owner_id=0, title=str(k), day_type="weekday", category="c",
+                  sort_order=k, entry_date=D(2024, 1, 3)) for k in range(3)]
+    args = (_people(spark, 1), table(spark, "activities", rows), table(spark, "logs", []),
+            table(spark, "reflections", []))
+    one = P.public_days(*args, Horizon(D(2024, 1, 3), D(2024, 1, 3)), part_size=10)
+    month = P.public_days(*args, Horizon(D(2024, 1, 1), D(2024, 1, 31)), part_size=10)
+    columns = ("part_no", "part_count", as_json("document"))
+    assert values(one.select(*columns)) == values(month.where("d = '2024-01-03'").select(*columns))
+    assert values(month.where("d = '2024-01-04'"), "part_no", "part_count") == [(0, 3), (1, 3), (2, 3)]
 
 
 def _small(spark):
@@ -102,8 +123,9 @@ def test_day_document(spark):
              "completed": True, "actual_start": "00:00", "actual_end": "00:30", "note": "a"}],
         "week_start": "2024-01-01", "week_reflection": "w", "month_start": "2024-01-01",
         "month_reflection": "m"}
-    assert values(P.past_reflections(docs, D(2024, 1, 10)), "week_reflection", "month_reflection") \
-        == [("w", None)]
+    past = P.past_reflections(_people(spark, 1), texts, Horizon(D(2024, 1, 3), D(2024, 1, 3)),
+                              D(2024, 1, 10))
+    assert values(past, "week_reflection", "month_reflection") == [("w", None)]
 
 
 def test_progress_document(spark):

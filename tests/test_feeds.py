@@ -121,19 +121,42 @@ def _list(spark, n, orders=None):
              sort_order=(orders or list(range(n)))[k]) for k in range(n)])
 
 
-@pytest.mark.parametrize("start,end", [(0, 3), (3, 0), (1, 2), (2, 2), (4, 0), (0, 9), (-1, 2)])
-def test_move_is_splice(spark, start, end):
+MOVES = "owner_id long, d date, seq long, from_index int, to_index int"
+
+
+def _spliced(orders, moves):
+    """What a page does: each move takes an entry out and puts it in elsewhere."""
+    ids, moved = [f"i{k:02d}" for k in range(len(orders))], False
+    for start, end in moves:
+        if start != end and 0 <= start < len(ids) and 0 <= end < len(ids):
+            ids.insert(end, ids.pop(start))
+            moved = True
+    return {a: p for p, a in enumerate(ids) if moved and orders[int(a[1:])] != p}
+
+
+@pytest.mark.parametrize("moves", [
+    [(0, 3)], [(3, 0)], [(1, 2)], [(2, 2)], [(4, 0)], [(0, 9)], [(-1, 2)],
+    [(0, 3), (3, 1)], [(4, 0), (0, 9), (0, 4)], [(1, 1), (2, 0), (0, 2), (3, 4)]])
+def test_moves_are_splices(spark, moves):
     orders = [3, 3, 5, 8, 9]  # ties and gaps
     acts = _list(spark, 5, orders)
-    moves = spark.createDataFrame([(1, "weekday", start, end)],
-                                  "owner_id long, day_type string, from_index int, to_index int")
-    got = dict(values(TE.reorder_changes(acts, moves), "activity_id", "sort_order"))
-    want = {}
-    if start != end and 0 <= start < 5 and 0 <= end < 5:
-        ids = [f"i{k:02d}" for k in range(5)]
-        ids.insert(end, ids.pop(start))
-        want = {a: p for p, a in enumerate(ids) if orders[int(a[1:])] != p}
-    assert got == want
+    made = spark.createDataFrame(
+        [(1, D(2024, 1, 3), k, a, b) for k, (a, b) in enumerate(moves)][::-1], MOVES)
+    got = dict(values(TE.reorder_changes(acts, made), "activity_id", "sort_order"))
+    assert got == _spliced(orders, moves)
+
+
+def test_a_day_list_mixes_both_kinds(spark):
+    acts = table(spark, "activities", [
+        dict(activity_id="r0", owner_id=1, day_type="weekday", sort_order=0),
+        dict(activity_id="r1", owner_id=1, day_type="weekday", sort_order=5),
+        dict(activity_id="one", owner_id=1, day_type="weekday", sort_order=2, entry_date=D(2024, 1, 3)),
+        dict(activity_id="other", owner_id=1, day_type="weekday", sort_order=1, entry_date=D(2024, 1, 4)),
+        dict(activity_id="we", owner_id=1, day_type="weekend", sort_order=1)])
+    moves = spark.createDataFrame(
+        [(1, D(2024, 1, 3), 1, 1, 0), (1, D(2024, 1, 6), 1, 0, 1)], MOVES)
+    assert values(TE.reorder_changes(acts, moves), "d", "activity_id", "old_sort_order", "sort_order") \
+        == [(D(2024, 1, 3), "one", 2, 0), (D(2024, 1, 3), "r0", 0, 1), (D(2024, 1, 3), "r1", 5, 2)]
 
 
 FORM = ("seq long, created_at timestamp_ntz, owner_id long, entry_date date, title string, "
@@ -168,27 +191,55 @@ def test_forms_and_positions(spark):
 def test_goal_forms(spark):
     forms = spark.createDataFrame(
         [(1, " g ", "2.5"), (2, "g", "0"), (3, "g", "-1"), (4, "g", "x"), (5, " ", "1"),
-         (6, "g", "NaN"), (7, "g", "Infinity"), (8, "g", None)], "seq long, title string, target string")
-    assert values(TE.clean_goal_forms(forms), "seq", "title") == [(1, "g")]
+         (6, "g", "NaN"), (7, "g", "Infinity"), (8, "g", None), (9, "g", "123456789.125"),
+         (10, "g", "0.004"), (11, "g", "0.000000000004"), (12, "g", " 1 ")],
+        "seq long, title string, target string")
+    got = TE.clean_goal_forms(forms)
+    assert values(got, "seq", "title") == [(i, "g") for i in (1, 9, 10, 12)]
+    assert values(got.select("seq", F.col("target").cast("double"))) == [
+        (1, 2.5), (9, 123456789.125), (10, 0.004), (12, 1.0)]
+
+
+TYPED = ("activity_id string, ts timestamp_ntz, seq long, title string, category string, color string, "
+         "goal_id string, day_type string, planned_start string, planned_end string, sets_title boolean, "
+         "sets_category boolean, sets_color boolean, sets_goal boolean, sets_day_type boolean, "
+         "sets_times boolean")
+TYPED_FIELDS = {"title": 10, "category": 11, "color": 12, "goal_id": 13, "day_type": 14,
+                "planned_start": 15, "planned_end": 15}
+
+
+def typed(key, seq, hours=0, **sets):
+    row = [key, T0 + dt.timedelta(hours=hours), seq, *[None] * 7, *[False] * 6]
+    for at, (name, mask) in enumerate(TYPED_FIELDS.items(), 3):
+        if name in sets:
+            row[at], row[mask] = sets[name], True
+    return tuple(row)
 
 
 def test_only_real_changes_come_out(spark):
     acts = table(spark, "activities", [
-        dict(activity_id=k, owner_id=1, title="t", category="rest", color=None, goal_id=3)
-        for k in "abcd"])
-    typed = spark.createDataFrame([
-        ("a", " t ", "", "", "3"), ("b", "  ", "focus", "", "3"), ("c", "new", "rest", "#f", "3"),
-        ("d", "t", "rest", "", "")],
-        "activity_id string, title string, category string, color string, goal_id string")
-    changes = TE.activity_changes(acts, typed)
-    assert values(changes, "activity_id", "title", "category", "color", "goal_id") == [
-        ("b", "t", "focus", None, 3), ("c", "new", "rest", "#f", 3), ("d", "t", "rest", None, None)]
-    fields = ["title", "category", "color", "goal_id"]
+        dict(activity_id=k, owner_id=1, title="t", category="rest", color=None, goal_id=3,
+             day_type="weekday", planned_start_min=60, planned_end_min=90) for k in "abcdefgh"])
+    patches = spark.createDataFrame([
+        typed("a", 1, title=" t ", category=""), typed("b", 2, title="  ", category="focus"),
+        typed("c", 3, title="old"), typed("c", 4, hours=2, title="new", color="#f"),
+        typed("c", 5, hours=1, title="late"), typed("d", 6, goal_id=""),
+        typed("e", 7, goal_id="12"), typed("f", 8, planned_start="02:05", planned_end=""),
+        typed("g", 9, day_type="weekend"), typed("g", 10, day_type="someday"),
+        typed("zz", 11, title="nobody")], TYPED)
+    changes = TE.activity_changes(acts, patches)
+    fields = list(TE.ACTIVITY_PATCH_FIELDS)
+    assert {r[0]: r[1:] for r in values(changes, "activity_id", *fields)} == {
+        "b": ("t", "focus", None, 3, "weekday", 60, 90),
+        "c": ("new", "rest", "#f", 3, "weekday", 60, 90),
+        "d": ("t", "rest", None, None, "weekday", 60, 90),
+        "e": ("t", "rest", None, 12, "weekday", 60, 90),
+        "f": ("t", "rest", None, 3, "weekday", 125, None),
+        "g": ("t", "rest", None, 3, "weekend", 60, 90)}
     after = U.apply_changes(acts, changes, ["activity_id"], fields)
-    assert values(after, "activity_id", "title", "goal_id") == [
-        ("a", "t", 3), ("b", "t", 3), ("c", "new", 3), ("d", "t", None)]
-    assert values(U.changed_rows(acts, after, ["activity_id"], fields), "activity_id", "old_goal_id",
-                  "goal_id") == [("b", 3, 3), ("c", 3, 3), ("d", 3, None)]
+    assert after.count() == 8
+    assert values(U.changed_rows(acts, after, ["activity_id"], ["goal_id"]), "activity_id",
+                  "old_goal_id", "goal_id") == [("d", 3, None), ("e", 3, 12)]
 
 
 def test_seeding_twice_adds_nothing(spark):

@@ -42,3 +42,8 @@ def test_dates_reach_the_scan(spark):
     events = [s for s in scans if "ts#" in s[0]]
     assert any("GreaterThanOrEqual(ts,2024-01-01T00:00)" in pushed for _, pushed in events)
     assert all("props" not in columns for columns, _ in events)
+
+
+def test_past_reflections_do_not_read_the_events(spark):
+    plan = QUERIES["past_reflections"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "events.parquet" not in plan and "documents.parquet" in plan

@@ -58,7 +58,9 @@ def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
 def test_tallies_follow_corrections(spark, tmp_path):
     acts = table(spark, "activities", [
         dict(activity_id="a", owner_id=1, day_type="weekday"),
-        dict(activity_id="b", owner_id=1, day_type="weekend")])
+        dict(activity_id="b", owner_id=1, day_type="weekend"),
+        dict(activity_id="c", owner_id=1, day_type="weekday", entry_date=D(2024, 1, 3)),
+        dict(activity_id="d", owner_id=1, day_type="weekday", entry_date=D(2024, 1, 4))])
     src = str(tmp_path / "in")
     args = (acts, f"{tmp_path}/deltas", f"{tmp_path}/tallies", f"{tmp_path}/cp")
 
@@ -68,11 +70,11 @@ def test_tallies_follow_corrections(spark, tmp_path):
 
     _drop(spark, src, "f0", [patch(1, 1, completed=True), patch(2, 2, start=60, end=90),
                              patch(3, 3, key="b", completed=True)])
-    assert tally() == [(1, D(2024, 1, 3), 1, 30)]  # b is not planned on a Wednesday
+    assert tally() == [(1, D(2024, 1, 3), 1, 2, 30)]  # b is not planned on a Wednesday
     _drop(spark, src, "f1", [patch(4, 4, completed=False)])
-    assert tally() == [(1, D(2024, 1, 3), 0, 30)]
+    assert tally() == [(1, D(2024, 1, 3), 0, 2, 30)]
     _drop(spark, src, "f2", [patch(5, 0, completed=True)])  # older than the correction
-    assert tally() == [(1, D(2024, 1, 3), 0, 30)]
+    assert tally() == [(1, D(2024, 1, 3), 0, 2, 30)]
 
 
 def test_week_counts(spark, tmp_path):
@@ -86,7 +88,22 @@ def test_week_counts(spark, tmp_path):
         (1, D(2024, 1, 1), 2), (1, D(2024, 1, 8), 2)]
 
 
-def test_rows_behind_the_watermark_are_left_out(spark, tmp_path):
+def test_week_counts_do_not_depend_on_batches(spark, tmp_path):
+    """The newest file first, each its own batch, or all in one: no edit is lost."""
+    rows = [(i, dt.datetime(2024, 3, 1) - dt.timedelta(days=i % 90), i % 3, *patch(0, 0)[3:])
+            for i in range(1000)]
+    newest_first = sorted(rows, key=lambda r: r[1], reverse=True)
+    got = []
+    for name, parts in (("one", 1), ("three", 3)):
+        src, size = str(tmp_path / f"in-{name}"), -(-len(rows) // parts)
+        for k in range(parts):
+            _drop(spark, src, f"f{k}", newest_first[k * size:(k + 1) * size])
+            L.follow_weekly_counts(_stream(spark, src), f"{tmp_path}/{name}", f"{tmp_path}/cp-{name}")
+        got.append(values(L.current_weekly_counts(spark, f"{tmp_path}/{name}")))
+    assert got[0] == got[1] and sum(r[2] for r in got[0]) == 1000
+
+
+def test_live_counts_leave_out_rows_behind_the_watermark(spark, tmp_path):
     src = str(tmp_path / "in")
 
     def at(seq, *when):
@@ -94,11 +111,34 @@ def test_rows_behind_the_watermark_are_left_out(spark, tmp_path):
 
     for k, row in enumerate([at(1, 2024, 1, 3), at(2, 2024, 3, 1), at(3, 2024, 3, 2), at(4, 2024, 1, 4)]):
         _drop(spark, src, f"f{k}", [row])
-        L.follow_weekly_counts(_stream(spark, src), f"{tmp_path}/counts", f"{tmp_path}/cp", "1 day")
-    got = dict(values(L.current_weekly_counts(spark, f"{tmp_path}/counts"), "week_start", "edits"))
+        L.follow_live_weekly_counts(_stream(spark, src), f"{tmp_path}/counts", f"{tmp_path}/cp", "1 day")
+    got = dict(values(L.live_counts(spark, f"{tmp_path}/counts"), "week_start", "edits"))
     assert got[D(2024, 1, 1)] == 1
 
 
+def test_tallies_read_a_copy_and_few_batches(spark, tmp_path, monkeypatch):
+    acts = table(spark, "activities", [dict(activity_id=k, owner_id=1, day_type="weekday") for k in "abcd"])
+    rows, src = _feed(), str(tmp_path / "in")
+    for k in range(7):
+        _drop(spark, src, f"f{k}", rows[k::7])
+    seen, plain = [], L.touched_tallies
+
+    def watched(touched, deltas, activities):
+        seen.append(sorted(r.batch for r in deltas.select("batch").distinct().collect()))
+        return plain(touched, deltas, activities)
+
+    monkeypatch.setattr(L, "touched_tallies", watched)
+    L.follow_tallies(_stream(spark, src), acts, f"{tmp_path}/deltas", f"{tmp_path}/tallies",
+                     f"{tmp_path}/cp", compact_every=2)
+    # A copy is one batch, the last it covers.
+    assert seen == [[0], [0, 1], [1, 2], [1, 2, 3], [3, 4], [3, 4, 5], [5, 6]]
+    whole = str(tmp_path / "whole")
+    _drop(spark, whole, "f", rows)
+    L.follow_tallies(_stream(spark, whole), acts, f"{tmp_path}/d1", f"{tmp_path}/t1", f"{tmp_path}/c1")
+    assert values(L.current_tallies(spark, f"{tmp_path}/tallies")) \
+        == values(L.current_tallies(spark, f"{tmp_path}/t1"))
+
+
 def test_touched_months_prune_the_deltas(spark, tmp_path):
     rows = [patch(1, 1, completed=True)]
     _drop(spark, str(tmp_path / "in"), "f0", rows)
