@@ -70,7 +70,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex, text: str = "text",
     kept, text_sha256. Null texts are empty texts, and empty texts equal each
     other. Null ids never win over an id; among null ids alone keep_id is null
     and each of them is kept. Rows that repeat an id and a text are one document
-    written twice and share their fate. Other columns of the batch are not read,
+    written twice and share their fate, in one batch or in several. Other columns of the batch are not read,
     so their names cannot clash. An empty batch gives no rows.
     """
     digests = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"),

@@ -134,12 +134,13 @@ def mixed_documents(docs: DataFrame, taken: DataFrame) -> DataFrame:
     """The mix itself: a document taken k times is k rows, a part of it its first words.
 
     ``taken`` has doc_id, size, taken. Documents of which nothing is taken go;
-    so do those without a word. All columns of ``docs`` stay.
+    so do those without a word. All columns of ``docs`` stay. Rows that share an
+    id and a size each stand for the mean of what is taken of them, in whole words.
     """
-    counts = taken.where("taken > 0").select(
-        F.col("doc_id").alias("_id"), F.col("size").alias("_size"),
-        F.col("taken").alias("_taken")).distinct()
-    rows = docs.join(counts, F.col("doc_id").eqNullSafe(F.col("_id")))
+    counts = taken.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(
+        F.floor(F.avg("taken")).alias("_taken")).where("_taken > 0")
+    rows = docs.join(counts, F.col("doc_id").eqNullSafe(F.col("_id"))
+                     & (word_count(F.col("text")) == F.col("_size")))
     copies = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
     rest = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")

@@ -361,18 +361,19 @@ class Suffixes:
         #: The symbol before each suffix, 0 before the first of its string.
         self.previous = np.zeros(m + len(real), np.int64)
         self.previous[self.next[m:]] = self.symbol[m:]
+        #: Places inside the shard that is being sorted.
+        self.index = np.zeros(m + len(real), np.int64)
         self.shard = shards[np.concatenate([np.repeat(np.arange(len(contexts)), strings), self.owner])]
 
     def shard_order(self, own: np.ndarray) -> np.ndarray:
         """The suffixes of one shard in sorted order, by doubling the compared symbols."""
-        index = np.zeros(len(self.next), np.int64)
-        index[own] = np.arange(len(own))
-        following = index[self.next[own]]
+        self.index[own] = np.arange(len(own))
+        following = self.index[self.next[own]]
         m = int((own < self.n_strings).sum())
         symbol = self.symbol[own].copy()
         symbol[m:] += m
         symbol[:m] = np.arange(m)  # every terminator is different
-        order = np.argsort(symbol, kind="stable")
+        order = _sorted_places(symbol)
         while True:
             by = symbol[order]
             rank = np.empty(len(own), np.int64)
@@ -381,7 +382,7 @@ class Suffixes:
                 return own[order]
             symbol = rank * len(own) + rank[following]
             following = following[following]
-            order = np.argsort(symbol)
+            order = _sorted_places(symbol)
 
     def repeated(self) -> tuple[np.ndarray, np.ndarray]:
         """(suffix, block) of all suffixes that share their first LENGTH bytes with another.
@@ -397,15 +398,13 @@ class Suffixes:
         interleave = self.shard[order].astype(np.int16 if len(sizes) < 2 ** 15 else np.int32)
         terminators = np.sort(self.shard[:m]).astype(interleave.dtype)
         block = np.zeros(total, np.int64)
-        bits = int(total).bit_length()
-        mask = np.int64((1 << bits) - 1)
         for _ in range(ROUNDS):
             # Each shard's suffixes keep their order; the interleave says where they stand.
             stand = np.argsort(interleave, kind="stable")
             symbol = np.empty(total, np.int64)
             symbol[stand] = transform
             at = np.flatnonzero(symbol)
-            source = self._by_symbol(symbol[at], at, bits, mask)
+            source = at[_sorted_places(symbol[at])]
             now, came = symbol[source], block[source]
             new = np.concatenate([[True], (now[1:] != now[:-1]) | (came[1:] != came[:-1])])
             interleave = np.concatenate([terminators, interleave[source]])
@@ -416,11 +415,13 @@ class Suffixes:
         many = np.bincount(block)[block] > 1
         return suffix[many], block[many]
 
-    @staticmethod
-    def _by_symbol(symbol: np.ndarray, at: np.ndarray, bits: int, mask: np.int64) -> np.ndarray:
-        if bits + SYMBOL_BITS + 1 <= 63:
-            return np.sort(symbol << bits | at) & mask
-        return at[np.argsort(symbol, kind="stable")]
+
+def _sorted_places(values: np.ndarray) -> np.ndarray:
+    """The stable order of numbers from 0; one plain sort where value and place fit one integer."""
+    bits = max(1, int(len(values)).bit_length())
+    if len(values) and int(values.max()).bit_length() + bits <= 63:
+        return np.sort(values << bits | np.arange(len(values))) & ((1 << bits) - 1)
+    return np.argsort(values, kind="stable")
 
 
 def _later_starts(texts: list[bytes], shards: np.ndarray, doc: np.ndarray,
@@ -447,13 +448,14 @@ def _later_starts(texts: list[bytes], shards: np.ndarray, doc: np.ndarray,
 
 def _verified(data: np.ndarray, place: np.ndarray, block: np.ndarray, head: np.ndarray) -> np.ndarray:
     """Blocks whose members are equal byte by byte; a block that hashes mixed up is parted."""
-    step, bad = 1 << 16, []
-    width = np.arange(LENGTH)
-    for start in range(0, len(place), step):
-        mine, lead = place[start:start + step], place[head[block[start:start + step]]]
-        other = mine != lead
-        differs = (data[mine[other][:, None] + width] != data[lead[other][:, None] + width]).any(axis=1)
-        bad.append(block[start:start + step][other][differs])
+    # Eight bytes at every place; LENGTH bytes are some of these, the last overlapping.
+    words = np.ndarray((len(data) - 7,), np.uint64, data, strides=(1,))
+    lead = place[head[block]]
+    other = np.flatnonzero(place != lead)
+    differs = np.zeros(len(other), bool)
+    for at in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
+        differs |= words[place[other] + at] != words[lead[other] + at]
+    bad, width = [block[other[differs]]], np.arange(LENGTH)
     for mixed in np.unique(np.concatenate(bad)):
         at = np.flatnonzero(block == mixed)
         _, kind = np.unique(data[place[at][:, None] + width], axis=0, return_inverse=True)
@@ -464,7 +466,7 @@ def _verified(data: np.ndarray, place: np.ndarray, block: np.ndarray, head: np.n
 
 def _meet_contexts(pdf: pd.DataFrame) -> pd.DataFrame:
     """Marks of one bucket: (id, version, first, last) runs of window starts that go."""
-    passed, best = [], {}
+    passed, later, best = [], [], {}
     for shard, row in enumerate(pdf.itertuples(index=False)):
         ids, versions, firsts, lasts = (np.frombuffer(x, np.int64) for x in (
             row.ids, row.versions, row.firsts, row.lasts))
@@ -484,14 +486,18 @@ def _meet_contexts(pdf: pd.DataFrame) -> pd.DataFrame:
             if now[1:] < then[1:]:
                 best[text], now, then = now, then, now
             if now[1:] != then[1:]:
-                passed.append(tuple(np.array([x]) for x in (
-                    now[1], now[2], now[3], now[3] + length - LENGTH)))
+                later.append((now[1], now[2], now[3], now[3] + length - LENGTH))
+    if later:
+        passed.append(tuple(np.array(later).T))
     if best:
         texts = list(best)
         shard, ids, versions, firsts = (np.array(x) for x in zip(*best.values()))
-        names, doc = np.unique(np.stack([ids, versions], axis=1), axis=0, return_inverse=True)
+        order = np.lexsort((versions, ids))
+        new = (np.diff(ids[order]) != 0) | (np.diff(versions[order]) != 0)
+        doc = np.empty(len(ids), np.int64)
+        doc[order] = np.cumsum(np.concatenate([[0], new]))
         _, shard = np.unique(shard, return_inverse=True)
-        context, offset = _later_starts(texts, shard, doc.ravel(), firsts)
+        context, offset = _later_starts(texts, shard, doc, firsts)
         context, start, last = _joined_runs(context, offset, offset)
         passed.append((ids[context], versions[context], firsts[context] + start,
                        firsts[context] + last))

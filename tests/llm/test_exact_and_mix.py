@@ -116,6 +116,15 @@ def test_slices_do_not_matter(spark, monkeypatch):
     assert sorted(M.mix(documents(spark, rows)).collect()) == whole
 
 
+def test_rows_that_share_an_id_are_not_multiplied(spark):
+    docs = documents(spark, [(1, "a b"), (1, "a b"), (1, "c"), (None, "d")])
+    taken = spark.createDataFrame([(1, 2, 4), (1, 2, 2), (1, 1, 1), (None, 1, 1)],
+                                  "doc_id long, size long, taken long")
+    got = M.mixed_documents(docs, taken).collect()
+    assert sorted(str((r.doc_id, r.text)) for r in got) == sorted(
+        ["(1, 'a b')", "(1, 'a b')", "(1, 'a')", "(1, 'a')", "(1, 'c')", "(None, 'd')"])
+
+
 def test_mixed_documents_repeat_and_end_early(spark):
     docs = documents(spark, [(1, "a  b c\td"), (2, "x y"), (3, "gone")])
     taken = spark.createDataFrame([(1, 4, 7), (2, 2, 4), (3, 1, 0)], "doc_id long, size long, taken long")
