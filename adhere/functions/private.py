@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The patterns below define what counts as private.
 # A block runs to its closing mark or, left open, to the end of the text.
 _BLOCK = r"(?s)/\*.*?(?:\*/|\z)"
 # Cutting blocks out can bring a new opening mark together; it hides the rest.

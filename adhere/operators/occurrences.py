@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..model import Horizon
-from ..sources.readers import one_offs, recurring
+from ..sources.readers import in_horizon, one_offs, recurring
 
 
 def _first(h: Horizon) -> Column:
@@ -50,14 +50,15 @@ def agenda(activities: DataFrame, logs: DataFrame, horizon: Horizon) -> DataFram
     The days are expanded after the shuffle, not before it: activities travel
     once per month and meet their logs of that month packed into one map. The
     key of ``logs`` allows one row per activity and day, so a map holds at
-    most 31 entries.
+    most 31 entries. A table that breaks its key fails here; read it with
+    ``read_logs(newest_only=True)`` then, which serves ``planned_logs`` as well.
     """
     months = D.months_touching(_first(horizon), _last(horizon))
     plans = recurring(activities).withColumn("_month", F.explode(months)).unionByName(
         one_offs(activities, horizon)
         .withColumn("_month", D.month_start(F.col("entry_date"))))
     facts = F.struct("completed", "actual_start_min", "actual_end_min", "note")
-    packed = (logs.where(F.col("log_date").between(horizon.start, horizon.end))
+    packed = (in_horizon(logs, "log_date", horizon)
               .groupBy("owner_id", "activity_id",
                        D.month_start(F.col("log_date")).alias("_month"))
               .agg(F.map_from_entries(F.collect_list(F.struct(F.col("log_date"), facts)))
@@ -84,7 +85,7 @@ def planned_logs(activities: DataFrame, logs: DataFrame, horizon: Horizon) -> Da
 
     Reports that ignore days without a log start here and never expand days.
     """
-    facts = logs.where(F.col("log_date").between(horizon.start, horizon.end))
+    facts = in_horizon(logs, "log_date", horizon)
     plan = activities.select("owner_id", "activity_id", "day_type", "entry_date",
                              "category")
     return (facts.join(plan, ["owner_id", "activity_id"])

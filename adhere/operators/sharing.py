@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..fixed_values import DEFAULT_PERMISSION
 from ..functions import names as N
 from ..functions.rows import several_rows
 from ..sources.readers import recurring
@@ -54,10 +55,15 @@ def share_lists(profiles: DataFrame, shares: DataFrame) -> DataFrame:
 
 
 def resolve_requests(requests: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Find the person behind each typed code and say what becomes of it."""
+    """Find the person behind each typed code and say what becomes of it.
+
+    A request that names no permission asks for the least one.
+    """
     people = profiles.where(F.col("share_code").isNotNull()).select(
         "share_code", F.col("owner_id").alias("viewer_id"), "username")
-    typed = requests.withColumn("share_code", N.clean_code(F.col("code")))
+    typed = requests.withColumns({
+        "share_code": N.clean_code(F.col("code")),
+        "permission": F.coalesce("permission", F.lit(DEFAULT_PERMISSION))})
     found = typed.join(people, "share_code", "left")
     return found.withColumn(
         "outcome",

@@ -62,6 +62,7 @@ def _dur(m: str) -> str:
 
 
 def _hide(t: str) -> str:
+    # The patterns that define what counts as private.
     return (f"nullif(trim(regexp_replace(regexp_replace({t}, '/\\*.*?\\*/', '', 'gs'), "
             f"'/\\*.*', '', 's'), chr(32) || chr(9) || chr(10)), '')")
 
@@ -477,7 +478,8 @@ _STATEMENTS: dict[str, str] = {
         SELECT goal_id, owner_id, period_type, period_start, metric, actual, pct FROM goal_rows""",
     "goal_labels": "SELECT goal_id, period_start, title, target_unit, label FROM goal_rows",
     "goals_report": f"""
-        SELECT goal_id, owner_id, title, period_start, actual, pct,
+        SELECT goal_id, owner_id, title, period_start, CASE WHEN period_type = 'weekly'
+               THEN period_start + 6 ELSE last_day(period_start) END AS period_end, actual, pct,
                label || ' (' || CAST(pct AS VARCHAR) || '%) · this ' ||
                CASE WHEN period_type = 'weekly' THEN 'week' ELSE 'month' END AS caption
         FROM goal_rows WHERE period_start = CASE WHEN period_type = 'weekly' THEN DATE '2024-01-15'

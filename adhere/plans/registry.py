@@ -159,7 +159,9 @@ def goal_labels(t):
 @_query
 def goals_report(t):
     return reports.goals_report(t.goals, t.activities, t.logs, AS_OF).select(
-        "goal_id", "owner_id", "title", "period_start", "actual", "pct", "caption")
+        "goal_id", "owner_id", "title", "period_start",
+        D.period_end(F.col("period_type"), F.col("period_start")).alias("period_end"),
+        "actual", "pct", "caption")
 
 
 # ---- private text

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from .. import fixed_values as V
 from ..functions.clock import parse_hhmm
 from ..model import TABLES, Horizon
+from ..operators.latest import latest_per_key
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
@@ -30,9 +31,12 @@ def read_table(spark: SparkSession, table: str, path: str, fmt: str = "parquet",
     return conform(df, table)
 
 
-def read_logs(spark: SparkSession, path: str, horizon: Horizon | None = None) -> DataFrame:
+def read_logs(spark: SparkSession, path: str, horizon: Horizon | None = None,
+              newest_only: bool = False) -> DataFrame:
     """Logs as ``sinks.write_logs`` lays them out.
 
+    ``newest_only`` keeps the newest row of a key that was written more than once.
+
     A horizon filters the month folders first, so only those are listed and
     read, and then the days within them.
     """
@@ -42,7 +46,9 @@ def read_logs(spark: SparkSession, path: str, horizon: Horizon | None = None) ->
         df = df.where(F.col("log_month").between(f"{horizon.start:%Y-%m}",
                                                  f"{horizon.end:%Y-%m}")
                       & F.col("log_date").between(horizon.start, horizon.end))
-    return conform(df, "logs")
+    df = conform(df, "logs")
+    return latest_per_key(df, list(TABLES["logs"].key), ["updated_at"]).select(df.columns) \
+        if newest_only else df
 
 
 def of_owner(df: DataFrame, owner_id) -> DataFrame:

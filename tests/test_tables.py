@@ -1,3 +1,4 @@
+import datetime as dt
 from decimal import Decimal
 
 import pytest
@@ -53,6 +54,16 @@ def test_logs_round_trip_and_month_pruning(spark, tmp_path):
         sinks.write_logs(logs, path)  # a written table is never overwritten
 
 
+def test_newest_row_of_a_key_written_twice(spark, tmp_path):
+    at, day = dt.datetime(2024, 1, 3), D(2024, 1, 3)
+    logs = table(spark, "logs", [
+        dict(owner_id=1, activity_id="a", log_date=day, note="old", updated_at=at),
+        dict(owner_id=1, activity_id="a", log_date=day, note="new", updated_at=at + dt.timedelta(1))])
+    sinks.write_logs(logs, str(tmp_path / "logs"))
+    newest = readers.read_logs(spark, str(tmp_path / "logs"), newest_only=True)
+    assert newest.columns == logs.columns and values(newest, "note") == [("new",)]
+
+
 def test_a_page_reads_one_owner_and_a_range(spark):
     logs = _tables(spark)["logs"]
     mine = readers.in_horizon(readers.of_owner(logs, 1), "log_date",
