@@ -2,8 +2,8 @@
 
 Four plain detectors (email, IP address, card, phone) run over each whole text.
 Transducers then rewrite disguises: look-alike characters, invisible characters
-and digits of other scripts to ASCII; ``(at)``, ``[dot]`` and the words between
-names; runs of spelled digits. Each rewriting step keeps, for every character
+and digits of other scripts to ASCII; ``(at)``, ``[dot]``, entities and the words
+between names; runs of digits of which some are spelled. Each rewriting step keeps, for every character
 it writes, the source characters it stands for. The same detectors run over the
 rewritten text, and what they find in rewritten places is mapped back.
 """
@@ -56,16 +56,19 @@ SPELLED = (
     "zéro un deux trois quatre cinq six sept huit neuf",
     "cero uno dos tres cuatro cinco seis siete ocho nueve",
 )
-DIGIT_OF = {word: str(i) for line in SPELLED for i, word in enumerate(line.split())}
+DIGIT_OF = {word: str(i) for line in SPELLED for i, word in enumerate(line.split())} | {"oh": "0"}
 AT_WORDS, DOT_WORDS, PLUS_WORDS = "at|ät|arroba|arobase", "dot|punkt|point|punto", "plus|más"
-#: Fewer spelled digits in a row are ordinary words.
-LEAST_SPELLED = 7
+#: Fewer digits in a row, or fewer spelled ones among them, are ordinary words.
+LEAST_DIGITS, LEAST_SPELLED = 7, 3
 
 _digit = "(?:" + "|".join(sorted(DIGIT_OF, key=len, reverse=True)) + ")"
-_gap = r"[\s,.\-/]{1,3}"
-SPELLED_RUN = re.compile(rf"\b(?:(?:{PLUS_WORDS}){_gap}|\+\s?)?{_digit}(?:{_gap}{_digit}){{{LEAST_SPELLED - 1},}}\b",
-                         re.IGNORECASE)
-DIGIT_WORD = re.compile(rf"\b{_digit}\b", re.IGNORECASE)
+_gap = rf"(?:\s{{1,3}}(?:{DOT_WORDS})\s{{1,3}}|[\s,.\-/]{{1,3}})"
+_token = rf"(?:{_digit}|[0-9]{{1,19}})\b"
+SPELLED_RUN = re.compile(rf"\b{_digit}{_gap}{_token}(?:{_gap}{_token})*", re.IGNORECASE)
+DIGIT_TOKEN = re.compile(rf"\b{_token}", re.IGNORECASE)
+# What may stand before a run: a sign, its word, or digits written as digits.
+BEFORE_RUN = re.compile(rf"(?:(?:\b(?:{PLUS_WORDS})[\s,\-]{{1,3}}|\+\s?)(?:[0-9]{{1,19}}{_gap}){{0,19}}"
+                        rf"|\b(?:[0-9]{{1,19}}{_gap}){{1,19}})\Z", re.IGNORECASE)
 _open, _close = r"\s{0,3}[\[({<]\s{0,3}", r"\s{0,3}[\])}>]\s{0,3}"
 BRACKETED = re.compile(rf"{_open}(?:({AT_WORDS}|@)|(?:{DOT_WORDS}|\.)){_close}", re.IGNORECASE)
 BARE = re.compile(
@@ -74,6 +77,19 @@ BARE = re.compile(
     rf"(?!(?:{DOT_WORDS})\b)[A-Za-z]{{2,63}}\b",
     re.IGNORECASE)
 BARE_DOT = re.compile(rf"\s{{1,3}}(?:{DOT_WORDS})\s{{1,3}}", re.IGNORECASE)
+# An address with a plain dot needs a name that is no word: letters and a digit, dot or underscore.
+INNER_DOT = re.compile(r"\.[A-Za-z0-9]")
+AT_DOMAIN = re.compile(rf" (?:{AT_WORDS}) [a-z0-9-]{{1,63}}\.[a-z0-9]", re.IGNORECASE)
+BARE_AT = re.compile(
+    rf"(?<![^\s<(\[,;:])(?=[^\s@]*[a-z])(?=[^\s@]*[._0-9])[a-z0-9._%+-]{{1,64}}(\s{{1,3}}(?:{AT_WORDS})\s{{1,3}})"
+    rf"(?:[a-z0-9-]{{1,63}}\.){{1,8}}[a-z]{{2,63}}\b", re.IGNORECASE)
+# Joined by signs instead of blanks: name_at_host_dot_org.
+SIGNED = re.compile(
+    rf"(?<![A-Za-z0-9])[A-Za-z0-9.+]{{1,64}}([_-](?:{AT_WORDS})[_-])[A-Za-z0-9]{{1,63}}"
+    rf"(?:[_-](?:{DOT_WORDS})[_-][A-Za-z0-9]{{1,63}}){{1,8}}", re.IGNORECASE)
+SIGNED_GATE = re.compile(rf"[_-](?:{DOT_WORDS})[_-]", re.IGNORECASE)
+SIGNED_DOT = re.compile(rf"[_-](?:{DOT_WORDS})[_-]", re.IGNORECASE)
+ENTITY = re.compile(r"&(?:(commat|#0{0,5}64|#x0{0,5}40)|(?:period|#0{0,5}46|#x0{0,5}2e));", re.IGNORECASE)
 OPENED = re.compile(r"[\[({<]\s{0,3}(?:[A-Za-zä]{2,7}|[@.])\s{0,3}[\])}>]")
 AS_BLANKS = str.maketrans(",.-/", "    ")
 DOTS = frozenset(DOT_WORDS.split("|"))
@@ -87,7 +103,11 @@ Span = tuple[str, int, int]
 @lru_cache(maxsize=1)
 def ascii_of() -> dict[int, str | None]:
     """Code point to the ASCII character it passes for; None for invisible ones."""
-    table_ = {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
+    # Styled letters and digits: those whose compatibility form is one ASCII letter or digit.
+    table_ = {c: plain for c in range(128, 0x20000)
+              if len(plain := unicodedata.normalize("NFKC", chr(c))) == 1
+              and plain.isascii() and plain.isalnum()}
+    table_ |= {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
     table_ |= {c: str(unicodedata.decimal(chr(c))) for c in range(128, sys.maxunicode + 1)
                if unicodedata.decimal(chr(c), None) is not None}
     table_ |= {ord(k): v for k, v in LOOK_ALIKES.items()}
@@ -178,17 +198,32 @@ class Rewritten:
 
 
 def _characters(text: Rewritten) -> None:
-    if text.text.isascii() or not disguised_character().search(text.text):
+    if text.text.isascii():
         return
     known = ascii_of()
+    # A text has few different characters: looking each up is cheaper than a search.
+    if not any(ord(c) in known for c in set(text.text)):
+        return
     text.apply([(m.start(), m.end(), known[ord(m.group())] or "")
                 for m in disguised_character().finditer(text.text)])
 
 
 def _separators(text: Rewritten) -> None:
+    if "&" in text.text:
+        text.apply([(m.start(), m.end(), "@" if m.group(1) else ".")
+                    for m in ENTITY.finditer(text.text)])
     if OPENED.search(text.text):
         text.apply([(m.start(), m.end(), "@" if m.group(1) else ".")
                     for m in BRACKETED.finditer(text.text)])
+    if SIGNED_GATE.search(text.text):
+        edits = []
+        for match in SIGNED.finditer(text.text):
+            edits.append((*match.span(1), "@"))
+            edits += [(m.start(), m.end(), ".")
+                      for m in SIGNED_DOT.finditer(text.text, match.end(1), match.end())]
+        text.apply(edits)
+    if INNER_DOT.search(text.text) and AT_DOMAIN.search(text.text):
+        text.apply([(*m.span(1), "@") for m in BARE_AT.finditer(text.text)])
     if DOTS.isdisjoint(_words(text.text)) and " @" not in text.text and "@ " not in text.text:
         return
     edits = []
@@ -211,15 +246,24 @@ def _words(text: str) -> list[str]:
 def _digits(text: Rewritten) -> None:
     if sum(map(DIGIT_OF.__contains__, _words(text.text))) < LEAST_SPELLED:
         return
-    edits = []
+    edits, last = [], 0
     for run in SPELLED_RUN.finditer(text.text):
-        words = list(DIGIT_WORD.finditer(text.text, run.start(), run.end()))
-        if words[0].start() > run.start():
-            edits.append((run.start(), words[0].start(), "+"))
-        for i, word in enumerate(words):
+        before = BEFORE_RUN.search(text.text, max(last, run.start() - 64), run.start())
+        start = before.start() if before else run.start()
+        tokens = list(DIGIT_TOKEN.finditer(text.text, start, run.end()))
+        values = [DIGIT_OF.get(t.group().lower(), t.group()) for t in tokens]
+        spelled = sum(t.group().lower() in DIGIT_OF for t in tokens)
+        if spelled < LEAST_SPELLED or sum(map(len, values)) < LEAST_DIGITS:
+            continue
+        if tokens[0].start() > start:
+            edits.append((start, tokens[0].start(), "+"))
+        for i, (token, value) in enumerate(zip(tokens, values)):
             if i:
-                edits.append((words[i - 1].end(), word.start(), ""))
-            edits.append((word.start(), word.end(), DIGIT_OF[word.group().lower()]))
+                gap = (tokens[i - 1].end(), token.start())
+                edits.append((*gap, "." if DOTS & set(text.text[gap[0]:gap[1]].lower().split()) else ""))
+            if value != token.group():
+                edits.append((token.start(), token.end(), value))
+        last = run.end()
     text.apply(edits)
 
 

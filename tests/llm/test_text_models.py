@@ -92,6 +92,17 @@ def test_plain_spans_as_the_patterns():
     ("call +4９ 30 1234５678", "phone", "+4９ 30 1234５678"),
     ("at 10 dot 0 dot 0 dot 1", "ip", "10 dot 0 dot 0 dot 1"),
     ("four one" + " one" * 14, "card", "four one" + " one" * 14),
+    ("fon +1 nine eight eight 555 two four eight five.", "phone",
+     "+1 nine eight eight 555 two four eight five"),
+    ("plus 4 nine three oh, one two 3 4 five", "phone", "plus 4 nine three oh, one two 3 4 five"),
+    ("mas +cuatro nueve uno dos tres cuatro cinco seis", "phone",
+     "+cuatro nueve uno dos tres cuatro cinco seis"),
+    ("host one nine two dot one six eight dot zero dot one", "ip",
+     "one nine two dot one six eight dot zero dot one"),
+    ("𝐣𝐨𝐞@example.com", "email", "𝐣𝐨𝐞@example.com"),
+    ("ann&#64;example&#46;org", "email", "ann&#64;example&#46;org"),
+    ("ann.lee at example.org", "email", "ann.lee at example.org"),
+    ("ann_at_example_dot_org", "email", "ann_at_example_dot_org"),
 ])
 def test_disguises_map_back(text, kind, span):
     found = pii.disguised_spans(text, pii.plain_spans(text))
@@ -101,7 +112,9 @@ def test_disguises_map_back(text, kind, span):
 def test_plain_text_has_no_disguise(spark):
     rows = table(spark, TABLES, "documents").where("text IS NOT NULL").select("text").collect()
     assert not any(pii.disguised_spans(r.text, pii.plain_spans(r.text)) for r in rows)
-    for text in ("one or two of them", "we met at noon. at five", "look at this dot", "a @ b"):
+    for text in ("one or two of them", "we met at noon. at five", "look at this dot", "a @ b",
+                 "meet me at example.com", "1, 2, 3, 4, 5, 6, 7, 8", "one two three 4 5 6 7 8",
+                 "un un un un un un un un", "x_at_y", "AT&T; 5&6"):
         assert pii.disguised_spans(text, []) == []
 
 
