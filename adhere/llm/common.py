@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import work_path
+from ..session import store
 
 #: Lower-casing of ASCII letters only; other letters stay as they are.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -13,19 +13,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+#: The rows written to the shared folder and read again: later steps restart from these
+#: files when an executor is lost, and what is used twice is computed once.
+stored = store
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """The rows written to the shared folder and read again.
 
-    Later steps restart from these files when an executor is lost, and what
-    is used twice is computed once.
-    """
-    path = work_path(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ascii_lower(text: Column) -> Column:
