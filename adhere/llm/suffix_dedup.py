@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored, table
@@ -508,9 +508,12 @@ def _meet_contexts(pdf: pd.DataFrame) -> pd.DataFrame:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for marks, raw in zip(batch.column("marks"), batch.column("raw")):
+        for id_, version, marks, raw in zip(*(batch.column(c) for c in (
+                "id", "version", "marks", "raw"))):
             raw = raw.as_buffer().to_pybytes()
-            spans = np.array(marks.as_py() or [], np.int64).reshape(-1, 2)
+            spans = np.array(marks.as_py() or [], np.int64).reshape(-1, 4)
+            # A key of 48 bits may stand for several documents.
+            spans = spans[(spans[:, 0] == id_.as_py()) & (spans[:, 1] == version.as_py()), 2:]
             removed = n_spans = 0
             kept = [raw]
             if len(spans):
@@ -531,10 +534,18 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+#: Both joins of the texts take the same columns by the same key, so one shuffle serves them.
+TEXT_COLUMNS = ("doc_id", "id", "version", "doc_key", "raw")
+
+
+def _doc_key() -> Column:
+    return F.xxhash64("id", "version").bitwiseAND(int(LOW))
+
+
 def marks(texts: DataFrame, hot_least: int = HOT_LEAST) -> DataFrame:
     """(id, version, first, last): runs of window starts that also start earlier.
 
-    ``texts`` has id, version, doc_key and raw (bytes).
+    ``texts`` has the columns ``TEXT_COLUMNS``.
     """
     total = texts.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
     buckets = max(1, -(-total // ANCHOR_BUCKET))
@@ -548,8 +559,9 @@ def marks(texts: DataFrame, hot_least: int = HOT_LEAST) -> DataFrame:
     # As many hashes per document as it has anchors.
     wanted = pairs.groupBy(F.col("doc_key").alias("wanted_key")).agg(
         F.collect_set("hash").alias("hashes"))
-    contexts = texts.join(wanted, F.col("doc_key").bitwiseAND(int(LOW)) == F.col("wanted_key")).select(
-        "id", "version", "hashes", "raw").mapInArrow(_send_contexts(buckets, often), CONTEXT_ROW)
+    contexts = texts.join(wanted, F.col("doc_key") == F.col("wanted_key")).select(
+        "doc_id", "id", "version", "hashes", "raw").mapInArrow(
+        _send_contexts(buckets, often), CONTEXT_ROW)
     return contexts.groupBy("bucket").applyInPandas(
         _meet_contexts, "id bigint, version bigint, first bigint, last bigint")
 
@@ -570,11 +582,11 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False, hot_least: int = H
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"),
         F.xxhash64(raw).alias("version"), raw.alias("raw")).withColumn(
-        "doc_key", F.xxhash64("id", "version"))
-    runs = marks(texts, hot_least).groupBy(F.col("id").alias("m_id"), F.col("version").alias("m_version")).agg(
-        F.collect_list(F.array("first", "last")).alias("marks"))
-    cut = texts.join(runs, (F.col("id") == F.col("m_id")) & (F.col("version") == F.col("m_version")),
-                     "left").select("doc_id", "marks", "raw").mapInArrow(
+        "doc_key", _doc_key()).select(*TEXT_COLUMNS)
+    runs = marks(texts, hot_least).groupBy(_doc_key().alias("marked_key")).agg(
+        F.collect_list(F.array("id", "version", "first", "last")).alias("marks"))
+    cut = texts.join(runs, F.col("doc_key") == F.col("marked_key"), "left").select(
+        "doc_id", "id", "version", "marks", "raw").mapInArrow(
         _cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, "
               "kept_sha256 string, kept binary")
     return cut if keep_bytes else cut.drop("kept")
