@@ -25,8 +25,9 @@ from .common import stored, table
 from .components import LocalForest, components
 
 SHINGLE_WORDS, SEED, MAX_BITS = 3, 42, 3
-#: Fingerprints of a shard on average; sample from which the tops of the trees are planned.
-SHARD_ROWS, SAMPLE_ROWS = 8192, 20_000
+#: Fingerprints of a shard on average. The tops of the trees are planned on the driver from a
+#: sample of at least SAMPLE_ROWS, a few per shard, and at most MOST_SAMPLED.
+SHARD_ROWS, SAMPLE_ROWS, MOST_SAMPLED = 8192, 20_000, 1 << 22
 #: Comparisons below which a node of a shard's tree is compared directly.
 DIRECT = 1 << 17
 HALF_BITS, HALF_RADIUS = 32, MAX_BITS // 2
@@ -69,12 +70,16 @@ def halves(fps: np.ndarray, half: int) -> np.ndarray:
     return (fps >> np.uint64(HALF_BITS * half)).astype(np.uint32)
 
 
-def plan_tree(sample: np.ndarray, depth: int) -> list[tuple[int, int] | None]:
-    """The top of a tree over 32-bit halves as a heap: (vantage point, median distance).
+Tree = tuple[np.ndarray, np.ndarray]
 
-    A node whose sample lies on one side of every tried median is a leaf.
+
+def plan_tree(sample: np.ndarray, depth: int) -> Tree:
+    """The top of a tree over 32-bit halves as a heap: vantage points and median distances.
+
+    A node whose sample lies on one side of every tried median is a leaf, with distance -1.
     """
-    nodes: list[tuple[int, int] | None] = [None] * (2 ** (depth + 1))
+    points = np.zeros(2 ** (depth + 1), np.uint32)
+    middles = np.full(2 ** (depth + 1), -1, np.int8)
     members = {1: sample}
     rng = np.random.default_rng(SEED)
     for node in range(1, 2 ** depth):
@@ -85,24 +90,25 @@ def plan_tree(sample: np.ndarray, depth: int) -> list[tuple[int, int] | None]:
             away = np.bitwise_count(own ^ vantage)
             near = away <= (middle := int(np.median(away)))
             if not near.all():
-                nodes[node] = (int(vantage), middle)
+                points[node], middles[node] = vantage, middle
                 members[2 * node], members[2 * node + 1] = own[near], own[~near]
                 break
-    return nodes
+    return points, middles
 
 
-def overlapped(values: np.ndarray, nodes: list, radius: int) -> Iterator[tuple[int, np.ndarray]]:
+def overlapped(values: np.ndarray, tree: Tree, radius: int) -> Iterator[tuple[int, np.ndarray]]:
     """(leaf, indices of the values whose ball of this radius reaches it); radius 0: its own."""
+    points, middles = tree
     stack = [(1, np.arange(len(values)))]
     while stack:
         node, at = stack.pop()
         if not len(at):
             continue
-        if nodes[node] is None:
+        middle = int(middles[node])
+        if middle < 0:
             yield node, at
             continue
-        vantage, middle = nodes[node]
-        away = np.bitwise_count(values[at] ^ np.uint32(vantage)).astype(np.int64)
+        away = np.bitwise_count(values[at] ^ points[node]).astype(np.int64)
         stack.append((2 * node, at[away - radius <= middle]))
         stack.append((2 * node + 1, at[away + radius > middle]))
 
@@ -151,20 +157,22 @@ def links(distinct: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(a, b): links that join all distinct fingerprints (column fp) within three bits."""
     n = distinct.count()
     depth = max(0, int(np.ceil(np.log2(max(1, n) / shard_rows))))
-    fraction = min(1.0, 1.2 * SAMPLE_ROWS / max(1, n))
-    sample = np.array([r.fp for r in distinct.sample(fraction, seed=SEED).limit(
-        SAMPLE_ROWS).collect()] if depth else [0], np.int64).view(np.uint64)
+    sampled = min(MOST_SAMPLED, max(SAMPLE_ROWS, 4 << depth))
+    sample = np.zeros(0, np.uint64)
+    if depth:
+        sample = distinct.select("fp").sample(min(1.0, 1.2 * sampled / n), seed=SEED).limit(
+            sampled).toArrow().column(0).to_numpy().view(np.uint64)
     trees = [plan_tree(halves(sample, half), depth) for half in (0, 1)]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False)
-            for half, nodes in enumerate(trees):
+            for half, tree in enumerate(trees):
                 values = halves(fps.view(np.uint64), half)
                 home = np.empty(len(fps), np.int64)
-                for leaf, at in overlapped(values, nodes, 0):
+                for leaf, at in overlapped(values, tree, 0):
                     home[at] = leaf
-                for leaf, at in overlapped(values, nodes, HALF_RADIUS):
+                for leaf, at in overlapped(values, tree, HALF_RADIUS):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(at), 2 * leaf + half)), pa.array(fps[at]),
                          pa.array(home[at] == leaf)], names=["shard", "fp", "own"])

@@ -170,6 +170,11 @@ def _from_six(raw: bytes) -> np.ndarray:
     return out.view(np.int64).ravel()
 
 
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    """A bucket by all bits of a hash, for any number of buckets."""
+    return (h.view(np.uint64) * MULTIPLIER >> np.uint64(8)).astype(np.int64) % buckets
+
+
 def _split(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(bucket, kind="stable")
     edges = np.flatnonzero(np.diff(bucket[order])) + 1
@@ -202,7 +207,7 @@ def _send_anchors(buckets: int):
                     (SEVERAL, h[first[n > 1]], None, n[n > 1]),
                     (KNOWN, h[several], doc[several], None)):
                 # What is known needs no meeting and may go anywhere.
-                dealt = (docs if kind == KNOWN else hashes >> HASH_BITS) % buckets
+                dealt = docs % buckets if kind == KNOWN else _bucket(hashes, buckets)
                 for bucket, at in _split(dealt):
                     out.append((bucket, kind, _six(hashes[at]),
                                 _six(docs[at]) if docs is not None else None,
