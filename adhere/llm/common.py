@@ -22,6 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def only_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose doc_id, null included, is in the one column of ``ids``.
+
+    Documents travel as one struct, so none of their columns can clash.
+    """
+    kept = ids.toDF("kept_id").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    return rows.join(kept, F.col("row.doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(
+        "row.*")
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

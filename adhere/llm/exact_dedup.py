@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_path
-from .common import ascii_lower, table
+from .common import ascii_lower, only_ids, table
 
 INDEX_COLUMNS = "digest STRING, keep_id BIGINT, n_rows BIGINT"
 
@@ -84,9 +84,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex, text: str = "text",
 
 def kept_documents(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """The documents of a batch that stay, with all their columns."""
-    kept = deduplicate(docs, index).where("kept").select(
-        F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    return only_ids(docs, deduplicate(docs, index).where("kept").select("doc_id"))
 
 
 def new_index(spark: SparkSession) -> DigestIndex:

@@ -137,16 +137,18 @@ def mixed_documents(docs: DataFrame, taken: DataFrame) -> DataFrame:
     so do those without a word. All columns of ``docs`` stay. Rows that share an
     id and a size each stand for the mean of what is taken of them, in whole words.
     """
-    counts = taken.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(
-        F.floor(F.avg("taken")).alias("_taken")).where("_taken > 0")
-    rows = docs.join(counts, F.col("doc_id").eqNullSafe(F.col("_id"))
-                     & (word_count(F.col("text")) == F.col("_size")))
-    copies = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
-    rest = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")
-    return rows.withColumn("text", F.when(
-        rest < F.col("_size"), first_words(F.col("text"), rest)).otherwise(F.col("text"))
-    ).select(*docs.columns)
+    counts = taken.groupBy(F.col("doc_id").alias("id"), "size").agg(
+        F.floor(F.avg("taken")).alias("taken")).where("taken > 0")
+    # Documents travel as one struct, so none of their columns can clash.
+    rows = docs.select(F.struct(*docs.columns).alias("row")).join(
+        counts, F.col("row.doc_id").eqNullSafe(F.col("id"))
+        & (word_count(F.col("row.text")) == F.col("size")))
+    copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+    rest = F.col("taken") - (F.col("copy") - 1) * F.col("size")
+    text = F.col("row.text")
+    cut = F.when(rest < F.col("size"), first_words(text, rest)).otherwise(text)
+    return rows.select(F.col("row").withField("text", cut).alias("row")).select("row.*")
 
 
 def quality_weights(labels: DataFrame) -> DataFrame:

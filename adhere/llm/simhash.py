@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import only_ids, stored, table
 from .components import LocalForest, components
 
 SHINGLE_WORDS, SEED, MAX_BITS = 3, 42, 3
@@ -214,9 +214,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> Data
 
 def representatives(docs: DataFrame) -> DataFrame:
     """The documents that stay, one of each component, with all their columns."""
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    return only_ids(docs, near_duplicates(docs).where(
+        F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
 
 
 def op8_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:

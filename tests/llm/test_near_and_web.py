@@ -264,6 +264,23 @@ def test_foreign_archive():
     assert [(r[0], r[8]) for r in warc._parse(two, False)] == [("<urn:a>", 5), ("<urn:b>", 5)]
 
 
+def test_stages_on_empty_and_odd_documents(spark):
+    odd = "doc_id long, text string, lang string, source string, n_chars long, row string, " \
+          "kept_id string, id string, size string, taken string, copy string, _id string, fp string, " \
+          "digest string, label string"
+    more = ["x"] * 10
+    docs = spark.createDataFrame([
+        (1, "one two three", "en", "a", 1, *more), (1, "one two three", "en", "a", 1, *more),
+        (None, "one two four", None, None, None, *more), (2, None, None, None, None, *[None] * 10),
+        (3, "long words " * 50_000, "en", "b", 1, *more), (4, "", "en", "b", 0, *more)], odd)
+    for rows, least in ((docs, 1), (docs.limit(0), 0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            rows = corpus_pipeline.stored(stage(spark, rows, TABLES), "odd-stage")
+            assert rows.columns == docs.columns
+        got = corpus_pipeline.STAGES[-1][1](spark, rows, TABLES).count()
+        assert got >= least and (got == 0) == (least == 0)
+
+
 def test_pipeline_stage_by_stage(spark):
     docs = table(spark, TABLES, "documents").unionByName(spark.createDataFrame(
         [(10_001, None, "en", "src1", 0), (10_002, "12 34", "en", "src1", 5), (10_003, "ЖЩЫЭЮЯ", "en", "src1", 6)],
