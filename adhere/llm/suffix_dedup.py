@@ -41,7 +41,7 @@ ROUNDS = LENGTH // STRIDE
 #: Bytes of one numpy block and of the texts a task looks at together.
 BLOCK_BYTES, GROUP_BYTES = 1 << 20, 1 << 24
 #: Text bytes per bucket of anchors, and context bytes sent per bucket of contexts.
-ANCHOR_BUCKET, CONTEXT_BUCKET = 1 << 25, 1 << 22
+ANCHOR_BUCKET, CONTEXT_BUCKET = 1 << 25, 1 << 21
 #: An anchor of more occurrences is hot: its windows are dealt by their own bytes.
 #: At most 1 / HOT_SHARE anchors can be so frequent, which bounds what the driver holds.
 HOT_LEAST, HOT_SHARE = 1 << 16, 1e-5
@@ -220,7 +220,11 @@ def _send_anchors(buckets: int):
 
 
 def _meet_anchors(hot: int):
-    """Per bucket (doc_key, hash) of hashes that repeat; hot ones also with a null doc_key."""
+    """Per bucket (doc_key, hash) of hashes that repeat, and a flagged row for each hot one.
+
+    All occurrences of a hash meet in its bucket, as single rows or in counts, so
+    its total is exact, while a hash that a task has seen twice costs one entry.
+    """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         def of(kind: int, column: str) -> np.ndarray:
             raw = b"".join(pdf.loc[pdf["kind"] == kind, column])
@@ -236,7 +240,7 @@ def _meet_anchors(hot: int):
         hashes = np.concatenate([single[repeats], of(KNOWN, "hashes")])
         often = names[total > hot]
         return pd.DataFrame({
-            "doc_key": pd.array(np.concatenate([docs, np.zeros(len(often), np.int64)]), "Int64"),
+            "doc_key": np.concatenate([docs, np.zeros(len(often), np.int64)]),
             "hash": np.concatenate([hashes, often]),
             "hot": np.repeat([False, True], [len(docs), len(often)])})
     return run
@@ -335,40 +339,53 @@ def _joined_runs(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[
     return doc[at], first[at], np.maximum.reduceat(last, at) if len(at) else last
 
 
+def _symbols(data: np.ndarray) -> np.ndarray:
+    """The symbol that starts at each place, from 1; in steps, as hashing needs room."""
+    parts = [rolling(data[at:at + BLOCK_BYTES // 4 + STRIDE - 1], STRIDE)
+             for at in range(0, len(data) - STRIDE + 1, BLOCK_BYTES // 4)]
+    return (np.concatenate(parts) >> np.uint64(64 - SYMBOL_BITS)).astype(np.int64) + 1
+
+
 class Suffixes:
-    """All suffixes of the symbol strings of contexts, terminators first, then by place."""
+    """All suffixes of the symbol strings of contexts, terminators first, then by place.
+
+    Places are 32-bit: a bucket is far below two thousand million bytes.
+    """
 
     def __init__(self, contexts: list[bytes], shards: np.ndarray) -> None:
-        lengths = np.array([len(c) for c in contexts])
-        self.low = np.cumsum(lengths) - lengths
+        lengths = np.array([len(c) for c in contexts], np.int32)
+        self.low = np.cumsum(lengths, dtype=np.int32) - lengths
         self.data = np.frombuffer(b"".join(contexts), np.uint8)
-        starts = lengths - LENGTH + 1
-        owner = np.repeat(np.arange(len(contexts)), lengths)
-        place = np.arange(len(self.data)) - self.low[owner]
-        residue = place % STRIDE
-        symbol = (rolling(self.data, STRIDE) >> np.uint64(64 - SYMBOL_BITS)).astype(np.int64) + 1
+        starts = lengths - np.int32(LENGTH - 1)
+        owner = np.repeat(np.arange(len(contexts), dtype=np.int32), lengths)
+        place = np.arange(len(self.data), dtype=np.int32) - self.low[owner]
+        residue = place % np.int32(STRIDE)
         # Strings too short for a whole window cannot repeat one.
-        real = np.flatnonzero((place <= lengths[owner] - STRIDE) & (residue < starts[owner]))
-        strings = np.minimum(starts, STRIDE)
-        before = np.cumsum(strings) - strings
+        real = np.flatnonzero((place <= lengths[owner] - STRIDE) & (residue < starts[owner])
+                              ).astype(np.int32)
+        strings = np.minimum(starts, np.int32(STRIDE))
+        before = np.cumsum(strings, dtype=np.int32) - strings
         self.n_strings = m = int(strings.sum())
-        string = before[owner[real]] + residue[real]
         self.place = real
         self.owner = owner[real]
-        number = np.full(len(self.data), -1)
-        number[real] = m + np.arange(len(real))
-        following = np.where(place[real] + STRIDE <= lengths[self.owner] - STRIDE,
-                             real + STRIDE, -1)
+        string = before[self.owner] + residue[real]
+        number = np.full(len(self.data), -1, np.int32)
+        number[real] = np.arange(m, m + len(real), dtype=np.int32)
+        more = place[real] + STRIDE <= lengths[self.owner] - STRIDE
+        del owner, place, residue
         #: The suffix one symbol on; terminators follow themselves.
-        self.next = np.concatenate([np.arange(m), np.where(following >= 0, number[following], string)])
+        string[more] = number[real[more] + STRIDE]
+        self.next = np.concatenate([np.arange(m, dtype=np.int32), string])
+        del number, more, string
         #: First symbol of each suffix; a terminator's is below all and its own.
-        self.symbol = np.concatenate([np.zeros(m, np.int64), symbol[real]])
+        self.symbol = np.concatenate([np.zeros(m, np.int64), _symbols(self.data)[real]])
         #: The symbol before each suffix, 0 before the first of its string.
         self.previous = np.zeros(m + len(real), np.int64)
         self.previous[self.next[m:]] = self.symbol[m:]
         #: Places inside the shard that is being sorted.
-        self.index = np.zeros(m + len(real), np.int64)
-        self.shard = shards[np.concatenate([np.repeat(np.arange(len(contexts)), strings), self.owner])]
+        self.index = np.zeros(m + len(real), np.int32)
+        self.shard = shards.astype(np.int16 if len(shards) and shards.max() < 2 ** 15 else np.int32)[
+            np.concatenate([np.repeat(np.arange(len(contexts), dtype=np.int32), strings), self.owner])]
 
     def shard_order(self, own: np.ndarray) -> np.ndarray:
         """The suffixes of one shard in sorted order, by doubling the compared symbols."""
@@ -385,7 +402,7 @@ class Suffixes:
             rank[order] = np.cumsum(np.concatenate([[0], by[1:] != by[:-1]]))
             if rank[order[-1]] == len(own) - 1:
                 return own[order]
-            symbol = rank * len(own) + rank[following]
+            symbol = rank * np.int64(len(own)) + rank[following]
             following = following[following]
             order = _sorted_places(symbol)
 
@@ -395,14 +412,17 @@ class Suffixes:
         The merge of the shards' transforms: only the interleave is refined.
         """
         total, m = len(self.next), self.n_strings
-        shards = np.argsort(self.shard, kind="stable")
+        shards = np.argsort(self.shard, kind="stable").astype(np.int32)
         sizes = np.bincount(self.shard)
         order = np.concatenate([self.shard_order(np.sort(x)) for x in np.split(
             shards, np.cumsum(sizes)[:-1]) if len(x)])
         transform = self.previous[order]
-        interleave = self.shard[order].astype(np.int16 if len(sizes) < 2 ** 15 else np.int32)
-        terminators = np.sort(self.shard[:m]).astype(interleave.dtype)
-        block = np.zeros(total, np.int64)
+        interleave = self.shard[order]
+        terminators = np.sort(self.shard[:m])
+        # From here on the transforms say everything.
+        del shards
+        self.symbol = self.previous = self.next = self.index = None
+        block = np.zeros(total, np.int32)
         for _ in range(ROUNDS):
             # Each shard's suffixes keep their order; the interleave says where they stand.
             stand = np.argsort(interleave, kind="stable")
@@ -413,9 +433,11 @@ class Suffixes:
             now, came = symbol[source], block[source]
             new = np.concatenate([[True], (now[1:] != now[:-1]) | (came[1:] != came[:-1])])
             interleave = np.concatenate([terminators, interleave[source]])
-            block = np.concatenate([np.arange(m), m - 1 + np.cumsum(new)])
+            block = np.concatenate([np.arange(m, dtype=np.int32),
+                                    np.cumsum(new, dtype=np.int32) + np.int32(m - 1)])
+            del stand, symbol, at, source, now, came, new
         stand = np.argsort(interleave, kind="stable")
-        suffix = np.empty(total, np.int64)
+        suffix = np.empty(total, np.int32)
         suffix[stand] = order
         many = np.bincount(block)[block] > 1
         return suffix[many], block[many]
@@ -445,7 +467,7 @@ def _later_starts(texts: list[bytes], shards: np.ndarray, doc: np.ndarray,
     order = np.argsort(block, kind="stable")
     context, offset, block = context[order], offset[order], block[order]
     head = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-    when = doc[context] << 32 | (first[context] + offset)
+    when = doc[context] << 32 | (first[context] + offset)  # both are 64-bit
     least = np.repeat(np.minimum.reduceat(when, head), np.diff(np.append(head, len(block))))
     later = when > least
     return context[later], offset[later]
