@@ -39,7 +39,7 @@ LENGTH, K, STRIDE = 100, 32, 25
 WINDOW = LENGTH - K + 1
 ROUNDS = LENGTH // STRIDE
 #: Bytes of one numpy block and of the texts a task looks at together.
-BLOCK_BYTES, GROUP_BYTES = 1 << 20, 1 << 24
+BLOCK_BYTES, GROUP_BYTES = 1 << 19, 1 << 23
 #: Text bytes per bucket of anchors, and context bytes sent per bucket of contexts.
 ANCHOR_BUCKET, CONTEXT_BUCKET = 1 << 25, 1 << 21
 #: An anchor of more occurrences is hot: its windows are dealt by their own bytes.
