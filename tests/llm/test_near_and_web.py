@@ -149,6 +149,45 @@ def test_projection_recall_with_small_windows(spark, monkeypatch):
     assert (mine <= near.sum(axis=1)).all() and mine.sum() >= 0.9 * near.sum()
 
 
+def clustered_vectors(seed, sizes, single):
+    """Rows of one label: clusters of near copies, pairs just above the cosine, and single vectors."""
+    rng = np.random.default_rng(seed)
+    parts = [rng.standard_normal(16) + 0.03 * rng.standard_normal((n, 16)) for n in sizes]
+    x = rng.standard_normal((single, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = rng.standard_normal((single, 16))
+    y -= (x * y).sum(axis=1)[:, None] * x
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    angle = np.arccos(P.COSINE + 0.005)
+    return np.concatenate([*parts, x, np.cos(angle) * x + np.sin(angle) * y])
+
+
+def test_clusters_and_labels_of_many_windows(spark, monkeypatch):
+    monkeypatch.setattr(P, "WINDOW", 16)
+    monkeypatch.setattr(P, "BLOCK", 64)
+    x = clustered_vectors(9, (400, 90), 1000)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)],
+                               "vec_id long, embedding array<double>, label int")
+    x = x / np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= P.COSINE
+    np.fill_diagonal(near, False)
+    got = by_id(P.near_duplicates(df), "vec_id")
+    mine = np.array([got[i].n_links for i in range(len(x))])
+    assert (mine <= near.sum(axis=1)).all()
+    assert mine[:490].tolist() == near[:490].sum(axis=1).tolist()
+    assert mine[490:].sum() >= 0.995 * near[490:].sum()
+    want = roots(len(x), list(zip(*np.nonzero(near))))
+    assert np.mean([got[i].component_id == want[i] for i in range(len(x))]) >= 0.995
+
+
+def test_passes_follow_the_rows_of_a_label():
+    assert P.plan_passes(1024, 0.93, 8, 1024) == (0, 8)
+    for n in (10 ** 5, 10 ** 6, 4 * 10 ** 7):
+        bits, passes = P.plan_passes(n, 0.93, 8, 1024)
+        seen = (1 - np.arccos(0.93) / np.pi) ** bits
+        assert n / 2 ** bits <= 1024 and 1 - (1 - seen) ** passes >= P.RECALL
+
+
 def brute_removed(rows):
     first, out = {}, {}
     for i, text in sorted(rows, key=lambda r: r[0]):
