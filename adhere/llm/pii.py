@@ -58,13 +58,15 @@ SPELLED = (
 )
 DIGIT_OF = {word: str(i) for line in SPELLED for i, word in enumerate(line.split())} | {"oh": "0"}
 AT_WORDS, DOT_WORDS, PLUS_WORDS = "at|ät|arroba|arobase", "dot|punkt|point|punto", "plus|más"
-#: Fewer digits in a row, or fewer spelled ones among them, are ordinary words.
+#: Fewer digits in a row are ordinary words; so are fewer spelled ones among them, unless a
+#: phone with its sign, a card or an address comes out.
 LEAST_DIGITS, LEAST_SPELLED = 7, 3
 
 _digit = "(?:" + "|".join(sorted(DIGIT_OF, key=len, reverse=True)) + ")"
 _gap = rf"(?:\s{{1,3}}(?:{DOT_WORDS})\s{{1,3}}|[\s,.\-/]{{1,3}})"
 _token = rf"(?:{_digit}|[0-9]{{1,19}})\b"
-SPELLED_RUN = re.compile(rf"\b{_digit}{_gap}{_token}(?:{_gap}{_token})*", re.IGNORECASE)
+SPELLED_RUN = re.compile(rf"\b{_digit}\b(?:{_gap}{_token})*", re.IGNORECASE)
+ANY_DIGIT = re.compile(r"[0-9]")
 DIGIT_TOKEN = re.compile(rf"\b{_token}", re.IGNORECASE)
 # What may stand before a run: a sign, its word, or digits written as digits.
 BEFORE_RUN = re.compile(rf"(?:(?:\b(?:{PLUS_WORDS})[\s,\-]{{1,3}}|\+\s?)(?:[0-9]{{1,19}}{_gap}){{0,19}}"
@@ -79,7 +81,8 @@ BARE = re.compile(
 BARE_DOT = re.compile(rf"\s{{1,3}}(?:{DOT_WORDS})\s{{1,3}}", re.IGNORECASE)
 # An address with a plain dot needs a name that is no word: letters and a digit, dot or underscore.
 INNER_DOT = re.compile(r"\.[A-Za-z0-9]")
-AT_DOMAIN = re.compile(rf" (?:{AT_WORDS}) [a-z0-9-]{{1,63}}\.[a-z0-9]", re.IGNORECASE)
+AT_DOMAIN = re.compile(rf"\s(?:{AT_WORDS})\s{{1,3}}[a-z0-9-]{{1,63}}\.[a-z0-9-]", re.IGNORECASE)
+BLANK_AT = re.compile(r"\s@|@\s")
 BARE_AT = re.compile(
     rf"(?<![^\s<(\[,;:])(?=[^\s@]*[a-z])(?=[^\s@]*[._0-9])[a-z0-9._%+-]{{1,64}}(\s{{1,3}}(?:{AT_WORDS})\s{{1,3}})"
     rf"(?:[a-z0-9-]{{1,63}}\.){{1,8}}[a-z]{{2,63}}\b", re.IGNORECASE)
@@ -224,15 +227,20 @@ def _separators(text: Rewritten) -> None:
         text.apply(edits)
     if INNER_DOT.search(text.text) and AT_DOMAIN.search(text.text):
         text.apply([(*m.span(1), "@") for m in BARE_AT.finditer(text.text)])
-    if DOTS.isdisjoint(_words(text.text)) and " @" not in text.text and "@ " not in text.text:
+    if DOTS.isdisjoint(_words(text.text)) and not BLANK_AT.search(text.text):
         return
-    edits = []
-    for match in BARE.finditer(text.text):
+    edits, from_ = [], 0
+    while match := BARE.search(text.text, from_):
         at = match.span(1)
-        if text.text[at[0]:at[1]] != "@":
+        dots = [(m.start(), m.end(), ".") for m in BARE_DOT.finditer(text.text, at[1], match.end())]
+        # A word for the sign counts only beside a word for a dot; BARE_AT has the named ones.
+        if not dots and "@" not in match.group(1):
+            from_ = at[0] + 1
+            continue
+        if match.group(1) != "@":
             edits.append((*at, "@"))
-        edits += [(m.start(), m.end(), ".")
-                  for m in BARE_DOT.finditer(text.text, at[1], match.end())]
+        edits += dots
+        from_ = match.end()
     text.apply(edits)
     text.apply([(m.start(), m.end(), ".") for run in DOTTED_NUMBERS.finditer(text.text)
                 for m in BARE_DOT.finditer(text.text, run.start(), run.end())])
@@ -244,29 +252,52 @@ def _words(text: str) -> list[str]:
 
 
 def _digits(text: Rewritten) -> None:
-    if sum(map(DIGIT_OF.__contains__, _words(text.text))) < LEAST_SPELLED:
-        return
     edits, last = [], 0
     for run in SPELLED_RUN.finditer(text.text):
-        before = BEFORE_RUN.search(text.text, max(last, run.start() - 64), run.start())
+        earliest = max(last, run.start() - 64)
+        # Without a digit as such, as many words as digits are needed.
+        if run.end() - run.start() < 2 * LEAST_DIGITS and not ANY_DIGIT.search(
+                text.text, earliest, run.end()):
+            continue
+        before = BEFORE_RUN.search(text.text, earliest, run.start())
         start = before.start() if before else run.start()
         tokens = list(DIGIT_TOKEN.finditer(text.text, start, run.end()))
         values = [DIGIT_OF.get(t.group().lower(), t.group()) for t in tokens]
         spelled = sum(t.group().lower() in DIGIT_OF for t in tokens)
-        if spelled < LEAST_SPELLED or sum(map(len, values)) < LEAST_DIGITS:
+        if sum(map(len, values)) < LEAST_DIGITS:
+            continue
+        gaps = [text.text[a.end():b.start()].lower().split() for a, b in zip(tokens, tokens[1:])]
+        signed = tokens[0].start() > start
+        address = _is_address(values, gaps)
+        if spelled < LEAST_SPELLED and not address and not _is_number(values, gaps, signed):
             continue
-        if tokens[0].start() > start:
+        if signed:
             edits.append((start, tokens[0].start(), "+"))
         for i, (token, value) in enumerate(zip(tokens, values)):
             if i:
-                gap = (tokens[i - 1].end(), token.start())
-                edits.append((*gap, "." if DOTS & set(text.text[gap[0]:gap[1]].lower().split()) else ""))
+                dot = DOTS & set(gaps[i - 1]) or address and gaps[i - 1] == ["."]
+                edits.append((tokens[i - 1].end(), token.start(), "." if dot else ""))
             if value != token.group():
                 edits.append((token.start(), token.end(), value))
         last = run.end()
     text.apply(edits)
 
 
+def _is_number(values: list[str], gaps: list[list[str]], signed: bool) -> bool:
+    """Whether digits without a dot word among them are a phone with its sign or a card."""
+    digits = "".join(values)
+    return not any(DOTS & set(g) for g in gaps) and (
+        signed and 8 <= len(digits) <= 15 or 16 <= len(digits) <= 19 and _luhn(digits))
+
+
+def _is_address(values: list[str], gaps: list[list[str]]) -> bool:
+    """Whether digits with dots or words for them are an IP address."""
+    joined = values[0] + "".join(
+        ("." if g == ["."] or DOTS & set(g) else "") + v for v, g in zip(values[1:], gaps))
+    parts = joined.split(".")
+    return len(parts) == 4 and all(map(_part_fits, parts))
+
+
 def disguised_spans(text: str, plain: list[Span]) -> list[Span]:
     """Spans only a rewritten text shows, in source offsets; none overlaps a plain one of its kind."""
     rewritten = Rewritten(text)

@@ -227,3 +227,28 @@ def test_pair_table():
     pairs = bpe.PairTable(left, right, np.array([10, 11, 12, 13]))
     assert pairs.ranks(left, right).tolist() == [10, 11, 12, 13]
     assert (pairs.ranks(np.array([[4, -1]]), np.array([[1, 2]])) == bpe.NO_RANK).all()
+
+
+FILLER = "Ordinary words of a long page, with nothing private. " * 200
+FAR_WORDS = "The point is a dot on the map, one of two @ home. "
+
+
+@pytest.mark.parametrize("far", ["", FAR_WORDS])
+@pytest.mark.parametrize("kind, span", [
+    ("email", "ann.lee at\nexample.org"), ("email", "ann.lee at  example.org"),
+    ("email", "ann.lee\tat\texample.org"), ("email", "xavier\n@\nhost.org"),
+    ("email", "john at example dot com"), ("phone", "+1 555 one two 34567"),
+    ("phone", "plus 49 30 12 four 5678"), ("card", "4111 1111 1111 111 one"),
+    ("card", "4111 one 111 1111 1111"), ("ip", "192.168.one.10"), ("ip", "192 dot 168 dot one dot 10")])
+def test_disguises_in_long_texts(far, kind, span):
+    text = f"{far}{FILLER}see ({span}) there. {FILLER}{far}"
+    found = pii.disguised_spans(text, pii.plain_spans(text))
+    assert [(k, text[a:b]) for k, a, b in found] == [(kind, span)]
+
+
+@pytest.mark.parametrize("far", ["", FAR_WORDS])
+@pytest.mark.parametrize("clean", [
+    "meet me at example.com", "one 555 two 34567", "4111 1111 1111 112 one", "look at\nexample.com"])
+def test_clean_words_in_long_texts(far, clean):
+    text = f"{far}{FILLER}{clean} today. {FILLER}{far}"
+    assert pii.disguised_spans(text, pii.plain_spans(text)) == []
