@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,18 +30,52 @@ def text_digest(text: Column) -> Column:
 class DigestIndex:
     """The table of known digests at ``path``; made empty where nothing is yet.
 
-    ``buckets`` is fixed when the index is made. A bucket should stay below a
-    few hundred MB: about 50 bytes a distinct text.
+    ``buckets`` is fixed when the index is made and kept beside its files in
+    ``_buckets``; an index opened again takes the count from there, whatever the
+    session says, and another count is refused. Files without a kept count are taken
+    only if each digest lies in its bucket. A bucket should stay below a few hundred
+    MB: about 50 bytes a distinct text.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None) -> None:
         self.spark, self.path = spark, path
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = self._kept_buckets(buckets)
         self.name = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(f"CREATE TABLE {self.name} ({INDEX_COLUMNS}) USING parquet "
                   f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS "
                   f"LOCATION '{path}'")
 
+    def _kept_buckets(self, asked: int | None) -> int:
+        kept = f"{self.path.rstrip('/')}/_buckets"
+        try:
+            buckets = self.spark.read.text(kept).first()
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            buckets = None
+        if buckets is None:
+            made = asked or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            if self._misplaced(made):
+                raise ValueError(f"{self.path} was not made with {made} buckets")
+            self.spark.range(1).select(F.lit(str(made)).alias("value")).write.mode(
+                "overwrite").text(kept)
+            return made
+        if asked and asked != int(buckets.value):
+            raise ValueError(f"{self.path} was made with {buckets.value} buckets, not {asked}")
+        return int(buckets.value)
+
+    def _misplaced(self, buckets: int) -> bool:
+        """Whether files at the path hold a digest outside the bucket their name says."""
+        try:
+            rows = self.spark.read.schema(INDEX_COLUMNS).parquet(self.path)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return False
+        named = F.regexp_extract(F.col("_metadata.file_name"), r"_(\d+)(?:\..*)?$", 1)
+        return not rows.where(F.pmod(F.hash("digest"), F.lit(buckets)) != F.when(
+            named != "", named.cast("int")).otherwise(-1)).isEmpty()
+
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 

@@ -1,6 +1,7 @@
 """Exact dedup against a persistent index, and mixing; both also beside their SQL."""
 
 import hashlib
+import shutil
 from collections import defaultdict
 
 import pytest
@@ -49,6 +50,30 @@ def test_index_keeps_what_came_first(spark):
         "doc_id").collect() == [(12,)]
 
 
+def test_index_opened_in_another_session(spark, tmp_path):
+    first = documents(spark, [(i, f"text {i}") for i in range(60)])
+    index = E.new_index(spark)
+    E.deduplicate(first, index)
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for other in ("3", "13"):
+            spark.conf.set("spark.sql.shuffle.partitions", other)
+            again = E.DigestIndex(spark, index.path)
+            assert again.buckets == index.buckets
+            assert E.kept_documents(first.selectExpr("doc_id + 100 AS doc_id", "text"), again).count() == 0
+            assert again.entries().count() == 60
+        with pytest.raises(ValueError):
+            E.DigestIndex(spark, index.path, index.buckets + 1)
+        # Files of an index from before counts were kept.
+        old = str(tmp_path / "old")
+        shutil.copytree(index.path, old, ignore=shutil.ignore_patterns("_buckets"))
+        with pytest.raises(ValueError):
+            E.DigestIndex(spark, old)
+        assert E.DigestIndex(spark, old, index.buckets).buckets == index.buckets
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+
+
 def test_index_is_read_by_buckets(spark):
     index = E.new_index(spark)
     E.deduplicate(documents(spark, ROWS), index)
