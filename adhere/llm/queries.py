@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, exact_dedup, langid, mixing, pii, projection_dedup, simhash, suffix_dedup, toxicity, warc
+from . import (bpe, exact_dedup, hard_negatives, langid, mixing, pii, projection_dedup, simhash, suffix_dedup,
+               toxicity, warc)
 
 QUERIES = (
     suffix_dedup.op1_suffix_dedup,
@@ -21,11 +22,13 @@ QUERIES = (
     simhash.op8_simhash_vptree,
     projection_dedup.op9_projection_neighbours,
     toxicity.op10_toxicity_ftrl,
+    hard_negatives.op12_hard_negatives,
 )
 SQL = {
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op6_warc_transactions": warc.ORACLE,
     "op7_source_mix": mixing.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
 }
 
 
