@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import (bpe, exact_dedup, hard_negatives, langid, mixing, pii, projection_dedup, simhash, suffix_dedup,
-               toxicity, warc)
+from . import (alignment, bpe, exact_dedup, hard_negatives, langid, mixing, pii, projection_dedup, simhash,
+               suffix_dedup, toxicity, warc)
 
 QUERIES = (
     suffix_dedup.op1_suffix_dedup,
@@ -22,6 +22,7 @@ QUERIES = (
     simhash.op8_simhash_vptree,
     projection_dedup.op9_projection_neighbours,
     toxicity.op10_toxicity_ftrl,
+    alignment.op11_token_alignment,
     hard_negatives.op12_hard_negatives,
 )
 SQL = {
