@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import (alignment, bpe, exact_dedup, hard_negatives, langid, mixing, pii, projection_dedup, simhash,
+from . import (alignment, bpe, exact_dedup, hard_negatives, html_extract, langid, mixing, pii, projection_dedup, simhash,
                suffix_dedup, toxicity, warc)
 
 QUERIES = (
@@ -24,6 +24,7 @@ QUERIES = (
     toxicity.op10_toxicity_ftrl,
     alignment.op11_token_alignment,
     hard_negatives.op12_hard_negatives,
+    html_extract.op13_html_extract,
 )
 SQL = {
     "op3_exact_dedup": exact_dedup.ORACLE,
