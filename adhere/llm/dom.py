@@ -219,14 +219,29 @@ def matching(a: Slot, b: Slot, known: dict | None = None) -> int:
     if a.label != b.label:
         return 0
     if a.shape == b.shape:
-        return a.shape.count("(") + a.shape.count(",") + 1 if a.kids else 1
+        return _size(a)
     known = {} if known is None else known
     key = id(a), id(b)
     if key not in known:
-        known[key] = 1 + _table(a.kids, b.kids, known)[-1][-1]
+        head, tail = _equal_ends(a.kids, b.kids)
+        ends = a.kids[:head] + a.kids[len(a.kids) - tail:]
+        known[key] = 1 + sum(map(_size, ends)) + _table(
+            a.kids[head:len(a.kids) - tail], b.kids[head:len(b.kids) - tail], known)[-1][-1]
     return known[key]
 
 
+def _size(slot: Slot) -> int:
+    return slot.shape.count("(") + slot.shape.count(",") + 1
+
+
+def _equal_ends(left: list[Slot], right: list[Slot]) -> tuple[int, int]:
+    """How many children are equal from the start and from the end; some largest match pairs them."""
+    n = min(len(left), len(right))
+    head = next((k for k in range(n) if left[k].shape != right[k].shape), n)
+    tail = next((k for k in range(n - head) if left[-1 - k].shape != right[-1 - k].shape), n - head)
+    return head, tail
+
+
 def _table(left: list[Slot], right: list[Slot], known: dict) -> list[list[int]]:
     rows = [[0] * (len(right) + 1)]
     for a in left:
@@ -241,10 +256,7 @@ def _table(left: list[Slot], right: list[Slot], known: dict) -> list[list[int]]:
 def aligned(left: list[Slot], right: list[Slot], known: dict | None = None) -> list[tuple[int, int]]:
     """Places of the children that a largest match pairs, in order."""
     known = {} if known is None else known
-    n = min(len(left), len(right))
-    # Equal children at both ends pair with each other in some largest match.
-    head = next((k for k in range(n) if left[k].shape != right[k].shape), n)
-    tail = next((k for k in range(n - head) if left[-1 - k].shape != right[-1 - k].shape), n - head)
+    head, tail = _equal_ends(left, right)
     end_a, end_b = len(left) - tail, len(right) - tail
     mid_a, mid_b = left[head:end_a], right[head:end_b]
     pairs = []
