@@ -26,8 +26,8 @@ from .common import held_out, stored, table
 
 PROFILE, LONGEST = 400, 3
 UNKNOWN = "und"
-#: Characters counted together. A longer text is cut at its last blank before this
-#: and counted in steps; a word of that length would count as several words.
+#: Characters counted together. A longer text is counted in steps that end between
+#: words, at a blank if there is one; a longer run of letters is one step.
 STEP_CHARS = 1 << 20
 #: Counting space (texts x possible n-grams) up to which counts are direct, without a sort.
 DIRECT = 1 << 23
@@ -52,8 +52,7 @@ def _pieces(texts: list[str]) -> Iterator[tuple[list[str], np.ndarray]]:
         while at < len(text):
             end = min(len(text), at + STEP_CHARS)
             if end < len(text):
-                cut = max(text.rfind(" ", at + 1, end), text.rfind("\n", at + 1, end))
-                end = cut if cut > at else end
+                end = _border(text, at, end)
             pieces.append(text[at:end])
             numbers.append(number)
             size += end - at
@@ -65,6 +64,17 @@ def _pieces(texts: list[str]) -> Iterator[tuple[list[str], np.ndarray]]:
         yield pieces, np.array(numbers)
 
 
+def _border(text: str, at: int, end: int) -> int:
+    """A place between words: the last blank before ``end``, or another one that is no letter."""
+    cut = max(text.rfind(" ", at + 1, end), text.rfind("\n", at + 1, end))
+    if cut > at:
+        return cut
+    for k in range(end, at, -1):
+        if not text[k].isalpha():
+            return k
+    return next((k for k in range(end, len(text)) if not text[k].isalpha()), len(text))
+
+
 def _count_step(pieces: list[str], numbers: np.ndarray) -> tuple[np.ndarray, ...]:
     """(number, n-gram, count), sorted by both, of the pieces of one step."""
     lowered = [piece.lower() for piece in pieces]
