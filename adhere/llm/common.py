@@ -22,15 +22,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def only_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose doc_id, null included, is in the one column of ``ids``.
+def text_digest(text: Column) -> Column:
+    """SHA-256 of the text in UTF-8, A-Z lower-cased; null counts as empty."""
+    return F.sha2(ascii_lower(F.coalesce(text, F.lit(""))), 256)
 
-    Documents travel as one struct, so none of their columns can clash.
+
+def one_row_each(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """One row of ``docs``, with all its columns, for each row (doc_id, digest) of ``chosen``.
+
+    The digest is that of the row's text (``text_digest``), so an id that stands for several
+    texts, and ids that are null, are told apart. Of rows equal in both one stays;
+    where they differ in other columns it is not told which.
     """
-    kept = ids.toDF("kept_id").distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
-    return rows.join(kept, F.col("row.doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(
-        "row.*")
+    def key(doc_id: Column, digest: Column) -> Column:
+        return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), digest)
+
+    keys = chosen.select(key(F.col("doc_id"), F.col("digest")).alias("key"))
+    # Documents travel as one struct, so none of their columns can clash.
+    rows = docs.select(F.struct(*docs.columns).alias("row"),
+                       key(F.col("doc_id"), text_digest(F.col("text"))).alias("key"))
+    return rows.join(keys, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
 
 
 def ascii_lower(text: Column) -> Column:

@@ -13,20 +13,16 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lookups import lookup
 from ..session import work_path
-from .common import ascii_lower, only_ids, table
+from .common import one_row_each, stored, table, text_digest
 
 INDEX_COLUMNS = "digest STRING, keep_id BIGINT, n_rows BIGINT"
 
 
-def text_digest(text: Column) -> Column:
-    """SHA-256 of the text in UTF-8, A-Z lower-cased; null counts as empty."""
-    return F.sha2(ascii_lower(F.coalesce(text, F.lit(""))), 256)
-
-
 class DigestIndex:
     """The table of known digests at ``path``; made empty where nothing is yet.
 
@@ -79,10 +75,8 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def new_of(self, digests: DataFrame) -> DataFrame:
-        """The entries to add for rows of (doc_id, digest): the largest doc_id stays."""
-        batch = digests.groupBy("digest").agg(
-            F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n_rows"))
+    def new_of(self, batch: DataFrame) -> DataFrame:
+        """The entries to add for those of a batch (``counted``)."""
         return batch.join(self.rows().hint("merge"), "digest", "left_anti")
 
     def append(self, entries: DataFrame) -> None:
@@ -96,6 +90,11 @@ class DigestIndex:
         return self.spark.read.schema(INDEX_COLUMNS).parquet(self.path)
 
 
+def counted(digests: DataFrame) -> DataFrame:
+    """An entry for each text of rows (doc_id, digest): the largest doc_id stays."""
+    return digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n_rows"))
+
+
 def deduplicate(docs: DataFrame, index: DigestIndex, text: str = "text",
                 doc_id: str = "doc_id") -> DataFrame:
     """Adds a batch to the index; one row per row of the batch.
@@ -110,16 +109,28 @@ def deduplicate(docs: DataFrame, index: DigestIndex, text: str = "text",
     """
     digests = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"),
                           text_digest(F.col(text)).alias("digest"))
-    index.append(index.new_of(digests))
-    return digests.join(index.entries(), "digest", "left").select(
-        "doc_id", "keep_id", F.col("n_rows").alias("group_size"),
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.col("digest").alias("text_sha256"))
+    batch = stored(counted(digests), "batch-digests")
+    index.append(index.new_of(batch))
+    entries = index.entries().select(F.col("digest").alias("known"), "keep_id", F.col("n_rows").alias("group_size"))
+    # The rows of a frequent text do not meet in one task.
+    found = lookup(digests, entries, "digest", "known", "left",
+                   counts=batch.select("digest", F.col("n_rows").alias("n")), spread_by=["doc_id"])
+    return found.select("doc_id", "keep_id", "group_size",
+                        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+                        F.col("digest").alias("text_sha256"))
 
 
 def kept_documents(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """The documents of a batch that stay, with all their columns."""
-    return only_ids(docs, deduplicate(docs, index).where("kept").select("doc_id"))
+    """One document of each text that the index does not know yet, with all its columns.
+
+    It is the one with the largest id, a null id only where there is no other; rows that
+    repeat an id and a text give one row. The texts are added to the index.
+    """
+    digests = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
+                          text_digest(F.col("text")).alias("digest"))
+    new = stored(index.new_of(counted(digests)), "new-digests")
+    index.append(new)
+    return one_row_each(docs, new.select(F.col("keep_id").alias("doc_id"), "digest"))
 
 
 def new_index(spark: SparkSession) -> DigestIndex:

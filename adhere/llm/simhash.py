@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only_ids, stored, table
+from .common import one_row_each, stored, table, text_digest
 from .components import LocalForest, components
 
 SHINGLE_WORDS, SEED, MAX_BITS = 3, 42, 3
@@ -53,17 +53,23 @@ def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp): fp as a signed bigint; null and wordless texts have fingerprint 0."""
+def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, digests: bool = False) -> DataFrame:
+    """(doc_id, fp): fp as a signed bigint; null and wordless texts have fingerprint 0.
+
+    With ``digests`` also the digest of each text, for telling rows apart.
+    """
+    more = [text_digest(F.col("text")).alias("digest")] if digests else []
+    names = ["doc_id", "fp", "digest"][:2 + len(more)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py() or "", shingle_words)
                               for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)],
-                                             names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), *batch.columns[2:]],
+                                             names=names)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id bigint, fp bigint")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *more).mapInArrow(
+        run, "doc_id bigint, fp bigint" + ", digest string" * len(more))
 
 
 def halves(fps: np.ndarray, half: int) -> np.ndarray:
@@ -202,20 +208,32 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> Data
     fingerprint before the search, so their number does not matter.
     """
     found = stored(fingerprints(docs, shingle_words), "fingerprints")
+    named = _grouped(found).select("fp", "component_id")
+    return found.join(named, "fp").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _grouped(found: DataFrame) -> DataFrame:
+    """(fp, component, component_id) of the fingerprints of rows (doc_id, fp)."""
     distinct = stored(found.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fps")
     of_fp = components(links(distinct)).select(F.col("node").alias("fp"), "component")
     grouped = distinct.join(of_fp, "fp", "left").withColumn(
         "component", F.coalesce("component", "fp"))
     lowest = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = stored(grouped.join(lowest, "component").select("fp", "component_id"), "fp-components")
-    return found.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return stored(grouped.join(lowest, "component").select("fp", "component", "component_id"), "fp-components")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The documents that stay, one of each component, with all their columns."""
-    return only_ids(docs, near_duplicates(docs).where(
-        F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
+    """One document of each group of near copies, with all its columns: one of the smallest id.
+
+    A row is told from others by its id and its text, so ids may be null, repeat, or stand for
+    several texts; a null id stays only where its group has no other. Of rows of
+    one id and text, and of several texts under the smallest id, one stays.
+    """
+    found = stored(fingerprints(docs, SHINGLE_WORDS, digests=True), "fingerprints")
+    first = found.join(_grouped(found), "fp").groupBy("component").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("first"))
+    return one_row_each(docs, first.select("first.doc_id", "first.digest"))
 
 
 def op8_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
