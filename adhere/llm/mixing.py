@@ -6,9 +6,9 @@ and reruns agree. Documents are put in key order within their source and their
 sizes are summed up to the budget of the source: first whole epochs, then the
 documents of the smallest keys for the rest, the last one in part.
 
-The order within a source is cut into slices of the key, so that no task holds a
-source: sizes are summed per (source, slice), then over slices, then inside a
-slice. The number of slices follows the number of rows; no result depends on it.
+The order of all rows by source and key is cut into slices by a range sort, so that no
+task holds a source: sizes are summed per (source, slice), then over slices, then inside
+a slice. The number of slices follows the number of rows; no result depends on it.
 """
 
 from __future__ import annotations
@@ -96,9 +96,11 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, seed: int = 7,
         "doc_id", "source", "size",
         F.when(heavy > 0, -F.ln(uniform(F.col("doc_id"), seed)) / heavy)
          .otherwise(F.lit(float("inf"))).alias("key")), "mix-sizes")
+    # A range sort cuts the order itself, whatever the weights, so slices are even.
     slices = max(1, -(-sized.count() // SLICE_ROWS))
-    sliced = sized.withColumn("slice", F.least(F.floor(
-        (1 - F.exp(-F.col("key"))) * slices), F.lit(slices - 1)).cast("bigint"))
+    sliced = stored(sized.repartitionByRange(
+        slices, F.col("source").asc_nulls_last(), "key", "doc_id", "size").withColumn(
+        "slice", F.spark_partition_id()), "mix-slices")
     per_slice = sliced.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     budget = targets(per_slice.groupBy("source").agg(
         F.sum("slice_size").alias("source_size")), epochs)
@@ -124,31 +126,23 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, seed: int = 7,
         (F.col("whole") * F.col("size") + part).cast("bigint").alias("taken"))
 
 
-def first_words(text: Column, n: Column) -> Column:
-    """The text up to the end of its n-th word."""
-    ends = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    return F.array_join(F.slice(ends, F.lit(1), n.cast("int")), "")
-
-
 def mixed_documents(docs: DataFrame, taken: DataFrame) -> DataFrame:
-    """The mix itself: a document taken k times is k rows, a part of it its first words.
+    """The mix itself: a document taken k times is k rows, always whole.
 
-    ``taken`` has doc_id, size, taken. Documents of which nothing is taken go;
-    so do those without a word. All columns of ``docs`` stay. Rows that share an
-    id and a size each stand for the mean of what is taken of them, in whole words.
+    ``taken`` has doc_id, size, taken. The one document of a source that is taken in part
+    is there once more if at least half of it is taken, and else left out, so a source is
+    off its target by half a document at most. Documents of which nothing is taken go; so do
+    those without a word. All columns of ``docs`` stay. Rows that share an
+    id and a size each stand for the mean of what is taken of them.
     """
     counts = taken.groupBy(F.col("doc_id").alias("id"), "size").agg(
-        F.floor(F.avg("taken")).alias("taken")).where("taken > 0")
+        F.avg("taken").alias("taken")).where("size > 0").select(
+        "id", "size", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("copies")).where("copies > 0")
     # Documents travel as one struct, so none of their columns can clash.
     rows = docs.select(F.struct(*docs.columns).alias("row")).join(
         counts, F.col("row.doc_id").eqNullSafe(F.col("id"))
         & (word_count(F.col("row.text")) == F.col("size")))
-    copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
-    rest = F.col("taken") - (F.col("copy") - 1) * F.col("size")
-    text = F.col("row.text")
-    cut = F.when(rest < F.col("size"), first_words(text, rest)).otherwise(text)
-    return rows.select(F.col("row").withField("text", cut).alias("row")).select("row.*")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def quality_weights(labels: DataFrame) -> DataFrame:
