@@ -11,12 +11,13 @@ different files. Assembly joins them by their ids.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import work_path
@@ -28,8 +29,12 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CONV32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 #: Payloads of fewer bytes are written again instead of revisited.
 MIN_REVISIT_BYTES = 0
-#: Records of one file at most; a file is read as a whole.
+#: Bytes of payload of one file, about: as many captures as have so many on average. A file is read as a whole.
+FILE_BYTES = 64 << 20
+#: Captures of one file at most.
 FILE_RECORDS = 10_000
+#: Bytes that are unpacked at once.
+READ_BYTES = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 
 RECORD = ("record_id string, record_type string, concurrent_to string, refers_to string, "
@@ -68,19 +73,24 @@ def _urn(*parts: Column | str) -> Column:
 
 
 def plan_captures(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """Which capture of equal payloads is the response: page_id, digest, first_id.
+    """Which capture of equal payloads is the response: p_key, p_first, one row per capture key.
 
     Of payloads of at least ``min_bytes`` bytes the smallest page_id is the
     response. Sums come before the shuffle, so a payload that a third of the
     pages share is not gathered anywhere.
     """
-    captures = stored(pages.select("page_id", _payload_digest().alias("digest"),
-                                   F.octet_length(_payload()).alias("n")), "warc-digests")
+    captures = stored(pages.select("page_id", _payload_digest().alias("digest"), F.octet_length(
+        _payload()).alias("n")).groupBy("page_id", "digest", "n").agg(F.count(F.lit(1)).alias("rows")),
+        "warc-digests")
     firsts = captures.where(F.col("n") >= min_bytes).groupBy(
         F.col("digest").alias("f_digest")).agg(F.min("page_id").alias("first_id"))
-    return captures.select("page_id", "digest").join(
-        firsts, F.col("digest") == F.col("f_digest"), "left").select(
-        "page_id", "digest", F.coalesce("first_id", "page_id").alias("first_id")).distinct()
+    return captures.join(firsts, F.col("digest") == F.col("f_digest"), "left").select(
+        _capture_key(F.col("page_id"), F.col("digest")).alias("p_key"), "n", "rows",
+        F.coalesce("first_id", "page_id").alias("p_first"))
+
+
+def _capture_key(page_id: Column, digest: Column) -> Column:
+    return F.concat_ws("|", F.coalesce(page_id.cast("string"), F.lit("null")), digest)
 
 
 def _payload() -> Column:
@@ -92,24 +102,32 @@ def _payload_digest() -> Column:
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES,
-                   file_records: int = FILE_RECORDS) -> None:
+                   file_records: int = FILE_RECORDS, file_bytes: int = FILE_BYTES) -> None:
     """Writes pages (page_id, url, html) as gzipped WARC files below ``path``.
 
-    The payload is the html in UTF-8, null counting as empty. A null url leaves
-    out the target; control characters in a url become blanks. Null page ids
-    are written without an id. Rows equal in id and html are one capture written twice.
+    Every row is a capture. The payload is the html in UTF-8, null counting as empty. A null
+    url leaves out the target; control characters in a url become blanks. Null page ids
+    are written without an id. Rows that repeat an id and a html are numbered, by url; all rows of the
+    smallest id are responses, and revisits refer to the first of them. A file
+    holds about ``file_bytes`` of payload; a single very long payload may be more. Other columns are
+    not read; an empty table writes no record.
     """
-    plan = plan_captures(pages, min_bytes).select(
-        F.col("page_id").alias("p_id"), F.col("digest").alias("p_digest"), "first_id")
+    plan = stored(plan_captures(pages, min_bytes), "warc-plan")
+    n, size = plan.agg(F.sum("rows"), F.sum(F.col("rows") * F.col("n"))).first()
+    file_records = max(1, min(file_records, file_bytes // max(1, size // n))) if n else file_records
     rows = pages.select("page_id", F.regexp_replace("url", r"[\x00-\x1F\x7F]", " ").alias("url"),
                         _payload().alias("payload"), _payload_digest().alias("digest"))
+    rows = rows.withColumn("key", _capture_key(F.col("page_id"), F.col("digest")))
     # By page id: no key of this join is frequent, whatever payloads repeat.
-    rows = rows.join(plan, F.col("page_id").eqNullSafe(F.col("p_id"))
-                     & (F.col("digest") == F.col("p_digest")))
-    page, digest, first = F.col("page_id"), F.col("digest"), F.col("first_id")
+    rows = rows.join(plan.select("p_key", "p_first"), F.col("key") == F.col("p_key")).withColumn(
+        "number", F.row_number().over(W.partitionBy("key").orderBy("url")))
+    page, first = F.col("page_id"), F.col("p_first")
+    # The first row of a capture key has the plain ids.
+    number = F.when(F.col("number") > 1, F.concat(F.lit("|"), F.col("number").cast("string"))).otherwise("")
+    digest = F.concat(F.col("digest"), number)
     is_first = page.eqNullSafe(first)
     capture = _urn("capture", page, digest)
-    stated = F.concat(F.lit("sha1:"), digest)
+    stated = F.concat(F.lit("sha1:"), F.col("digest"))
     uri, when = F.col("url"), ("WARC-Date", DATE)
     http = F.concat(F.lit("HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8"
                           + CRLF + "Content-Length: "),
@@ -120,7 +138,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYT
         F.concat(http, F.col("payload")))
     revisit = _record(_header(
         ("WARC-Type", "revisit"), ("WARC-Record-ID", capture), when, ("WARC-Target-URI", uri),
-        ("WARC-Payload-Digest", stated), ("WARC-Refers-To", _urn("capture", first, digest)),
+        ("WARC-Payload-Digest", stated), ("WARC-Refers-To", _urn("capture", first, F.col("digest"))),
         ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
         ("Content-Type", "application/http;msgtype=response")), http)
     request = _record(_header(
@@ -138,26 +156,65 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYT
         "compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
 
 
+class _Bytes:
+    """The bytes of an archive file, unpacked as they are asked for."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.at, self.held = memoryview(data), 0, bytearray()
+        self.zipped = data[:2] == b"\x1f\x8b"
+        self.member = zlib.decompressobj(31)
+
+    def more(self) -> bool:
+        """Unpacks a step; false at the end."""
+        if self.at >= len(self.data) and not (self.zipped and self.member.unconsumed_tail):
+            return False
+        if not self.zipped:
+            self.held += self.data[self.at:self.at + READ_BYTES]
+            self.at += READ_BYTES
+            return True
+        raw = self.member.unconsumed_tail
+        if not raw:
+            raw = self.data[self.at:self.at + READ_BYTES]
+            self.at += len(raw)
+        self.held += self.member.decompress(raw, READ_BYTES)
+        if self.member.eof:
+            self.at -= len(self.member.unused_data)
+            self.member = zlib.decompressobj(31)
+        return True
+
+    def find(self, mark: bytes) -> int:
+        """Where the mark stands next, or -1 if it comes no more; bytes before it are kept."""
+        start = 0
+        while (found := self.held.find(mark, start)) < 0:
+            start = max(0, len(self.held) - len(mark) + 1)
+            if not self.more():
+                return -1
+        return found
+
+    def take(self, n: int) -> bytes:
+        while len(self.held) < n and self.more():
+            pass
+        out = bytes(self.held[:n])
+        del self.held[:n]
+        return out
+
+
 def _parse(data: bytes, payloads: bool) -> Iterator[tuple]:
-    """The records of one archive file, gzipped (any number of members) or not."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
+    """The records of one archive file, gzipped (any number of members) or not, one at a time."""
+    source = _Bytes(data)
+    while (at := source.find(b"WARC/")) >= 0:
+        source.take(at)
         head = {}
-        for line in data[at:end].split(b"\r\n")[1:]:
+        for line in source.take(source.find(b"\r\n\r\n") + 4).split(b"\r\n")[1:]:
             name, _, value = line.partition(b":")
             head[name.strip().lower().decode()] = value.strip().decode("utf-8", "replace")
-        start = end + 4
-        at = start + int(head["content-length"])
-        block = memoryview(data)[start:at]
-        kind, payload, fields = head.get("warc-type"), block, None
+        block = source.take(int(head["content-length"]))
+        kind, payload, fields = head.get("warc-type"), memoryview(block), None
         if head.get("content-type", "").startswith("application/http"):
-            cut = data.find(b"\r\n\r\n", start, at)
-            payload = memoryview(data)[cut + 4 if cut >= 0 else start:at]
+            cut = block.find(b"\r\n\r\n")
+            payload = memoryview(block)[cut + 4 if cut >= 0 else 0:]
         if kind == "metadata":
-            fields = bytes(block).decode("utf-8", "replace")
+            fields = block.decode("utf-8", "replace")
         has_payload = kind in ("response", "resource")
         yield (head.get("warc-record-id"), kind, head.get("warc-concurrent-to"),
                head.get("warc-refers-to"), head.get("warc-target-uri"), head.get("warc-date"),
@@ -210,7 +267,8 @@ def assemble(records: DataFrame) -> DataFrame:
     takes them from the response it refers to, and is null where that is not in
     the archives), refers_to (page_id of that response). Records that repeat an
     id count once. A request or metadata record that is concurrent to nothing
-    read, or to nothing at all, gives no row.
+    read, or to nothing at all, gives no row. Payloads are not read here, so their length does
+    not matter; other columns of ``records`` are not read; no records give no rows.
     """
     def of(kind: str, side: str) -> DataFrame:
         chosen = records.where(F.col("record_type") == kind).dropDuplicates(["record_id"])
