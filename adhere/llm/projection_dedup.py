@@ -66,6 +66,15 @@ def usable(embedding: Column) -> Column:
     return F.coalesce(finite & F.exists(embedding, lambda x: x != 0), F.lit(False))
 
 
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two that brings its largest component near 1.
+
+    Directions stay exactly as they are, and no square of a very large or small component is lost.
+    """
+    _, exponent = np.frexp(np.abs(vectors).max(axis=1, initial=0))
+    return np.ldexp(vectors, -exponent[:, None])
+
+
 def _keys(planned: DataFrame) -> DataFrame:
     """(pass, label, dim, lead, key, node) of every class in every pass of its label."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +89,7 @@ def _keys(planned: DataFrame) -> DataFrame:
                 all_ = np.flatnonzero((dims == dim) & (passes == count))
                 step = max(1, KEY_SIGNS // (HASHES * count))
                 for own in (all_[i:i + step] for i in range(0, len(all_), step)):
-                    vectors = flat[(ends[own] - dim)[:, None] + np.arange(dim)]
+                    vectors = _scaled(flat[(ends[own] - dim)[:, None] + np.arange(dim)])
                     keys = hash_keys(vectors, count)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.tile(np.arange(count), len(own))),
@@ -167,7 +176,7 @@ def _compare(pdf: pd.DataFrame, cosine: float, window: int) -> pd.DataFrame:
     forest, n_links = LocalForest(len(pdf)), np.zeros(len(pdf), np.int64)
     for dim in np.unique(dims):
         at = np.flatnonzero(dims == dim)
-        x = np.stack(pdf["embedding"].to_numpy()[at]).astype(np.float64)
+        x = _scaled(np.stack(pdf["embedding"].to_numpy()[at]).astype(np.float64))
         norm = np.sqrt((x * x).sum(axis=1))
         # Where the run of equal label and leading bits ends; of two blocks all rows are one run.
         new_run = (np.diff(label[at]) != 0) | (np.diff(leads[at, number]) != 0)
