@@ -74,22 +74,22 @@ BEFORE_RUN = re.compile(rf"(?:(?:\b(?:{PLUS_WORDS})[\s,\-]{{1,3}}|\+\s?)(?:[0-9]
 _open, _close = r"\s{0,3}[\[({<]\s{0,3}", r"\s{0,3}[\])}>]\s{0,3}"
 BRACKETED = re.compile(rf"{_open}(?:({AT_WORDS}|@)|(?:{DOT_WORDS}|\.)){_close}", re.IGNORECASE)
 BARE = re.compile(
-    rf"(?<![^\s<(\[,;:])[A-Za-z0-9._%+-]{{1,64}}(\s{{1,3}}(?:{AT_WORDS})\s{{1,3}}|\s{{0,3}}@\s{{0,3}})"
-    rf"(?:[A-Za-z0-9-]{{1,63}}(?:\s{{1,3}}(?:{DOT_WORDS})\s{{1,3}}|\.)){{1,8}}"
-    rf"(?!(?:{DOT_WORDS})\b)[A-Za-z]{{2,63}}\b",
+    rf"(?<![^\s<(\[,;:])[A-Za-z0-9._%+-]++(\s{{1,3}}(?:{AT_WORDS})\s{{1,3}}|\s{{0,3}}@\s{{0,3}})"
+    rf"(?:[A-Za-z0-9-]++(?:\s{{1,3}}(?:{DOT_WORDS})\s{{1,3}}|\.))+"
+    rf"(?!(?:{DOT_WORDS})\b)[A-Za-z]{{2,}}+\b",
     re.IGNORECASE)
 BARE_DOT = re.compile(rf"\s{{1,3}}(?:{DOT_WORDS})\s{{1,3}}", re.IGNORECASE)
 # An address with a plain dot needs a name that is no word: letters and a digit, dot or underscore.
 INNER_DOT = re.compile(r"\.[A-Za-z0-9]")
-AT_DOMAIN = re.compile(rf"\s(?:{AT_WORDS})\s{{1,3}}[a-z0-9-]{{1,63}}\.[a-z0-9-]", re.IGNORECASE)
+AT_DOMAIN = re.compile(rf"\s(?:{AT_WORDS})\s{{1,3}}[a-z0-9-]++\.[a-z0-9-]", re.IGNORECASE)
 BLANK_AT = re.compile(r"\s@|@\s")
 BARE_AT = re.compile(
-    rf"(?<![^\s<(\[,;:])(?=[^\s@]*[a-z])(?=[^\s@]*[._0-9])[a-z0-9._%+-]{{1,64}}(\s{{1,3}}(?:{AT_WORDS})\s{{1,3}})"
-    rf"(?:[a-z0-9-]{{1,63}}\.){{1,8}}[a-z]{{2,63}}\b", re.IGNORECASE)
+    rf"(?<![^\s<(\[,;:])(?=[^\s@]*[a-z])(?=[^\s@]*[._0-9])[a-z0-9._%+-]++(\s{{1,3}}(?:{AT_WORDS})\s{{1,3}})"
+    rf"(?:[a-z0-9-]++\.)+[a-z]{{2,}}+\b", re.IGNORECASE)
 # Joined by signs instead of blanks: name_at_host_dot_org.
 SIGNED = re.compile(
-    rf"(?<![A-Za-z0-9])[A-Za-z0-9.+]{{1,64}}([_-](?:{AT_WORDS})[_-])[A-Za-z0-9]{{1,63}}"
-    rf"(?:[_-](?:{DOT_WORDS})[_-][A-Za-z0-9]{{1,63}}){{1,8}}", re.IGNORECASE)
+    rf"(?<![A-Za-z0-9.+])[A-Za-z0-9.+]++([_-](?:{AT_WORDS})[_-])[A-Za-z0-9]++"
+    rf"(?:[_-](?:{DOT_WORDS})[_-][A-Za-z0-9]++)+", re.IGNORECASE)
 SIGNED_GATE = re.compile(rf"[_-](?:{DOT_WORDS})[_-]", re.IGNORECASE)
 SIGNED_DOT = re.compile(rf"[_-](?:{DOT_WORDS})[_-]", re.IGNORECASE)
 ENTITY = re.compile(r"&(?:(commat|#0{0,5}64|#x0{0,5}40)|(?:period|#0{0,5}46|#x0{0,5}2e));", re.IGNORECASE)
