@@ -11,6 +11,7 @@ from llm_helpers import TABLES, by_id, documents
 from adhere.llm import exact_dedup as E
 from adhere.llm import mixing as M
 from adhere.llm import queries
+from adhere.llm import simhash as S
 
 
 @pytest.mark.parametrize("name", list(queries.SQL))
@@ -77,7 +78,7 @@ def test_index_opened_in_another_session(spark, tmp_path):
 def test_index_is_read_by_buckets(spark):
     index = E.new_index(spark)
     E.deduplicate(documents(spark, ROWS), index)
-    new = index.new_of(documents(spark, [(1, "q")]).selectExpr("doc_id", "sha2(text, 256) digest"))
+    new = index.new_of(E.counted(documents(spark, [(1, "q")]).selectExpr("doc_id", "sha2(text, 256) digest")))
     plan = new._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Bucketed: true" in plan
     assert plan.count("Exchange hashpartitioning") == 1  # of the new rows alone
@@ -147,13 +148,55 @@ def test_rows_that_share_an_id_are_not_multiplied(spark):
                                   "doc_id long, size long, taken long")
     got = M.mixed_documents(docs, taken).collect()
     assert sorted(str((r.doc_id, r.text)) for r in got) == sorted(
-        ["(1, 'a b')", "(1, 'a b')", "(1, 'a')", "(1, 'a')", "(1, 'c')", "(None, 'd')"])
+        ["(1, 'a b')"] * 4 + ["(1, 'c')", "(None, 'd')"])
 
 
-def test_mixed_documents_repeat_and_end_early(spark):
-    docs = documents(spark, [(1, "a  b c\td"), (2, "x y"), (3, "gone")])
-    taken = spark.createDataFrame([(1, 4, 7), (2, 2, 4), (3, 1, 0)], "doc_id long, size long, taken long")
+def test_mixed_documents_repeat_and_stay_whole(spark):
+    docs = documents(spark, [(1, "a  b c\td"), (2, "x y"), (3, "gone"), (4, "less than half"), (5, " ")])
+    taken = spark.createDataFrame([(1, 4, 6), (2, 2, 4), (3, 1, 0), (4, 3, 1), (5, 0, 0)],
+                                  "doc_id long, size long, taken long")
     got = M.mixed_documents(docs, taken)
     assert got.columns == docs.columns
     assert sorted((r.doc_id, r.text) for r in got.collect()) == [
-        (1, "a  b c"), (1, "a  b c\td"), (2, "x y"), (2, "x y")]
+        (1, "a  b c\td"), (1, "a  b c\td"), (2, "x y"), (2, "x y")]
+
+
+def slice_sizes(spark, rows, weights):
+    """Rows of each (source, slice) as the operator stores them."""
+    seen = []
+    plain = M.stored
+    M.stored = lambda df, purpose: seen.append((purpose, plain(df, purpose))) or seen[-1][1]
+    try:
+        M.mix(documents(spark, rows), weights)
+    finally:
+        M.stored = plain
+    return sorted(r["count"] for r in dict(seen)["mix-slices"].groupBy("source", "slice").count().collect())
+
+
+def test_slices_are_even_for_any_weights(spark, monkeypatch):
+    monkeypatch.setattr(M, "SLICE_ROWS", 500)
+    rows = [(i, "w " * (i % 9), None, "hot" if i % 3 else f"s{i % 2}") for i in range(9000)]
+    weights = spark.range(9000).selectExpr("id AS doc_id", "ELT(1 + id % 4, 0.5, 1, 2, 0) * 1.0 AS weight")
+    sizes = slice_sizes(spark, rows, weights)
+    assert len(sizes) >= 18 and sizes[-1] < 900
+
+
+STAGE_ROWS = [(7, "one two three four"), (7, "another text altogether, of other words"), (9, "ONE two three four"),
+              (None, "no id here at all"), (None, "no id here at all"), (8, "repeated row of words"),
+              (8, "repeated row of words"), (8, "Repeated row of words"), (None, "one two three four"), (3, None), (4, "")]
+
+
+def test_dedup_stages_keep_one_row_of_each_text(spark):
+    docs = documents(spark, STAGE_ROWS)
+    kept = E.kept_documents(docs, E.new_index(spark))
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, (r.text or "").lower()) for r in kept.collect()), key=str)
+    assert got == sorted([(9, "one two three four"), (7, "another text altogether, of other words"),
+                          (None, "no id here at all"), (8, "repeated row of words"), (4, "")], key=str)
+    near = S.representatives(docs)
+    got = sorted(((r.doc_id, (r.text or "").lower()) for r in near.collect()), key=str)
+    assert near.columns == docs.columns and got == sorted([
+        (7, "one two three four"), (7, "another text altogether, of other words"),
+        (None, "no id here at all"), (8, "repeated row of words"), (3, "")], key=str)
+    assert E.kept_documents(documents(spark, []), E.new_index(spark)).count() == 0
+    assert S.representatives(documents(spark, [])).count() == 0

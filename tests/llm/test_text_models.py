@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -41,6 +43,30 @@ def test_bpe_as_the_public_library(reference_encoding):
         assert encoder.decode(ids) == text.encode()
 
 
+def test_long_pieces_beside_each_other(reference_encoding):
+    # Several of them in one batch cost no more than one after the other.
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdefthe") for _ in range(40_000)) for _ in range(3)] + ["a" * 5000, "b" * 4097]
+    start = time.perf_counter()
+    got = [[i for step in steps for i in step] for steps in bpe.encoder(*bpe._public(bpe.RANKS)).encode_many(texts)]
+    assert time.perf_counter() - start < 20
+    assert got == [reference_encoding.encode_ordinary(t) for t in texts]
+
+
+def test_cache_is_bounded_and_dropped(monkeypatch, reference_encoding):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 10_000)
+    monkeypatch.setattr(bpe, "GROUP_CHARS", 100)
+    encoder = bpe.Encoder(open(bpe._public(bpe.RANKS)[0], "rb"), bpe._public(bpe.RANKS)[1])
+    texts = [" ".join(f"word{i}x{j}" for j in range(9)) for i in range(200)]
+    sizes = []
+    for text, steps in zip(texts, encoder.encode_many(texts), strict=True):
+        assert [i for s in steps for i in s] == reference_encoding.encode_ordinary(text)
+        sizes.append(encoder.cached)
+    assert max(sizes) < 30_000
+    encoder.forget()
+    assert not encoder.cache and not encoder.cached
+
+
 def test_bpe_query(spark, reference_encoding):
     rows = [(i, t) for i, t in enumerate(odd_texts()[:40])] + [(None, "null id"), (99, None)]
     got = by_id(bpe.encode_texts(documents(spark, rows), keep_ids=True))
@@ -109,6 +135,23 @@ def test_disguises_map_back(text, kind, span):
     assert [(k, text[a:b]) for k, a, b in found] == [(kind, span)]
 
 
+@pytest.mark.parametrize("text", [
+    "n" * 70 + " at host dot org", "n" * 3000 + " at " + "h" * 90 + " dot org", "ann at " + "a dot " * 12 + "org",
+    "ann.lee at " + "h" * 90 + ".org", "n" * 70 + "_at_" + "h" * 70 + "_dot_org", "ann_at_" + "a_dot_" * 12 + "org",
+    "n" * 70 + ".x at " + "a." * 12 + "org", "ann at host dot " + "o" * 80])
+def test_no_part_of_a_disguised_address_is_too_long(text):
+    found = pii.disguised_spans(f"see {text} now", pii.plain_spans(text))
+    assert [(k, a, b) for k, a, b in found] == [("email", 4, 4 + len(text))]
+
+
+def test_long_runs_cost_no_squares():
+    for text in ("a." * 200_000, "a" * 400_000 + " at ", "a at " * 80_000, "a_at_b_dot_" * 40_000, "x dot " * 80_000,
+                 "1 " * 200_000, "one two " * 50_000):
+        start = time.perf_counter()
+        pii.disguised_spans(text, [])
+        assert time.perf_counter() - start < 10, text[:12]
+
+
 def test_plain_text_has_no_disguise(spark):
     rows = table(spark, TABLES, "documents").where("text IS NOT NULL").select("text").collect()
     assert not any(pii.disguised_spans(r.text, pii.plain_spans(r.text)) for r in rows)
@@ -163,6 +206,29 @@ def test_language_of_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_language_prediction_as_the_formulas(spark):
+    # Plain Python of rank-order profiles: places by falling count, ties by the n-gram; smallest sum of displacements.
+    rng = random.Random(12)
+    alphabet = {"en": "abcde  ", "de": "abxyz  ", "fr": "aeiou  "}
+    rows = [(i, "".join(rng.choice(alphabet[lang]) for _ in range(60)), lang)
+            for i, lang in enumerate(list(alphabet) * 12)] + [(900, "xy ab", None), (901, "aa", None), (902, "", "en")]
+    size = 30
+    docs = documents(spark, rows)
+    profiles = langid.learn_profiles(docs, size)
+    got = by_id(langid.identify(docs, profiles, size))
+
+    def places(count):
+        return {g: k for k, (g, _) in enumerate(sorted(count.items(), key=lambda x: (-x[1], x[0]))[:size])}
+
+    known = {lang: places(sum((brute_grams(t) for _, t, y in rows if y == lang), Counter())) for lang in sorted(alphabet)}
+    for i, text, _ in rows:
+        own = places(brute_grams(text))
+        away = {lang: sum(min(abs(k - p.get(g, k + size)), size) for g, k in own.items()) for lang, p in known.items()}
+        best = min(known, key=lambda lang: (away[lang], lang))
+        want = (best, 1 - away[best] / (len(own) * size)) if own else ("und", 0.0)
+        assert got[i].lang_pred == want[0] and abs(got[i].score - want[1]) < 1e-12
+
+
 def test_language_edge_cases(spark):
     rows = [(1, "the house and the garden", "en"), (2, "das Haus und der Garten", "de"),
             (3, None, "en"), (4, "12 !", "de"), (None, "der Garten", None), (5, "x", None)]
@@ -188,11 +254,62 @@ def test_features_are_distinct_words_and_pairs():
 
 
 def test_long_text_has_the_same_features(monkeypatch):
-    words = " ".join(f"w{i % 50}" for i in range(3000))
-    whole = toxicity.features([words], toxicity.Hasher(1 << 10))[1]
-    monkeypatch.setattr(toxicity, "STEP_BYTES", 1 << 12)
-    parts = toxicity.features([words], toxicity.Hasher(1 << 10))[1]
-    assert set(parts.tolist()) <= set(whole.tolist()) and len(parts) == len(whole)
+    # Every word is another one, so a pair lost between two steps would be missed.
+    texts = [" ".join(f"w{i}" for i in range(3000)), "x" * 9000 + " b " + "y" * 9000 + "  c", " " * 20_000 + "d e",
+             "f" * 5000, ". " * 5000, "é" * 4000 + "-g-h"]
+    whole = toxicity.features(texts, toxicity.Hasher(1 << 10))
+    monkeypatch.setattr(toxicity, "STEP_BYTES", 1 << 8)
+    parts = toxicity.features(texts, toxicity.Hasher(1 << 10))
+    assert len(whole[0]) > 8900 and all((a == b).all() for a, b in zip(whole, parts, strict=True))
+
+
+def brute_ftrl(rows, rounds):
+    """The same formulas a document at a time with dictionaries: scores of (doc_id, text, label)."""
+    from zlib import crc32
+    learn = sorted((i, t, y) for i, t, y in rows if y is not None and crc32(str(i).encode()) % 5)
+    shard_of = {r.id: r.s for r in SHARD_NUMBERS(tuple(i for i, _, _ in learn))}
+    places = {i: sorted(set(toxicity.features([t], toxicity.Hasher(64))[1].tolist())) for i, t, _ in rows}
+    z, n = Counter(), Counter()
+
+    def weight(k, z, n):
+        if abs(z[k]) <= toxicity.L1:
+            return 0.0
+        return -(z[k] - math.copysign(toxicity.L1, z[k])) / (
+            (toxicity.BETA + math.sqrt(n[k])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(rounds):
+        moved = []
+        for shard in sorted(set(shard_of.values())):
+            z1, n1 = Counter(z), Counter(n)
+            for i, _, y in learn:
+                if shard_of[i] == shard:
+                    own = [*places[i], "bias"]
+                    w = {k: weight(k, z1, n1) for k in own}
+                    g = (1 / (1 + math.exp(-sum(w.values()))) - y) * (toxicity.POSITIVE_WEIGHT if y else 1)
+                    for k in own:
+                        step = (math.sqrt(n1[k] + g * g) - math.sqrt(n1[k])) / toxicity.ALPHA
+                        z1[k] += g - step * w[k]
+                        n1[k] += g * g
+            moved.append((z1, n1))
+        keys = {k for m in moved for k in m[0]}
+        z, n = (Counter({k: sum(m[side][k] for m in moved) / len(moved) for k in keys}) for side in (0, 1))
+    return {i: 1 / (1 + math.exp(-sum(weight(k, z, n) for k in [*places[i], "bias"]))) for i, _, _ in rows}
+
+
+def test_toxicity_scores_as_the_formulas(spark):
+    global SHARD_NUMBERS
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(12)) + " vile" * (i % 4 == 0), int(i % 4 == 0))
+            for i in range(160)] + [(500, "a b vile", None), (501, "", None)]
+    SHARD_NUMBERS = lambda ids: spark.createDataFrame([(i,) for i in ids], "id long").selectExpr(
+        "id", f"pmod(xxhash64(13, id), {toxicity.SHARDS}) AS s").collect()
+    docs = documents(spark, [(i, t) for i, t, _ in rows])
+    marked = spark.createDataFrame([(i, y) for i, _, y in rows if y is not None], "doc_id long, toxic int")
+    got = by_id(toxicity.score(docs, toxicity.fit(toxicity.pack_shards(
+        toxicity.training_rows(docs, marked)), rounds=3)))
+    want = brute_ftrl(rows, 3)
+    assert len(got) == len(want) and want[500] > 0.5 > want[501]
+    assert all(abs(got[i].score - s) < 1e-4 for i, s in want.items())
 
 
 def test_toxicity_learns(spark):
