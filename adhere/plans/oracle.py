@@ -262,6 +262,34 @@ _PIECES: dict[str, str] = {
                  AND r.period_type = 'monthly' AND r.period_date = {_month('s.d')}) AS month_reflection
         FROM profiles p CROSS JOIN january s
         LEFT JOIN agenda_lists a ON a.owner_id = p.owner_id AND a.d = s.d""",
+    "progress_documents": f"""
+        SELECT p.owner_id, p.share_code, CAST(0 AS INTEGER) AS part_no, CAST(1 AS INTEGER) AS part_count,
+               CAST(to_json({{
+            'owner_name': coalesce(p.display_name, p.username),
+            'today': coalesce((SELECT items FROM agenda_lists a
+                               WHERE a.owner_id = p.owner_id AND a.d = {_AS_OF}), []),
+            'week': (SELECT {{'done': done, 'planned': planned}} FROM weeks w
+                     WHERE w.owner_id = p.owner_id AND w.week_start = DATE '2024-01-15'),
+            'month': (SELECT {{'done': done, 'planned': planned}} FROM months m
+                      WHERE m.owner_id = p.owner_id),
+            'calendar': (SELECT list({{'d': strftime(d, '%Y-%m-%d'), 'planned': planned, 'done': done}}
+                                     ORDER BY d) FROM days x
+                         WHERE x.owner_id = p.owner_id AND d IN (SELECT d FROM january)),
+            'goals': (SELECT list({{'title': title, 'period': period_type, 'metric': metric,
+                                    'target': CAST(target AS DOUBLE), 'actual': actual}}
+                                  ORDER BY created_at, goal_id) FROM progress g
+                      WHERE g.owner_id = p.owner_id AND period_start =
+                            CASE WHEN period_type = 'weekly' THEN DATE '2024-01-15'
+                                 ELSE DATE '2024-01-01' END),
+            'reflections': {{
+                'daily': (SELECT {_hide('content')} FROM reflections r WHERE r.owner_id = p.owner_id
+                          AND period_type = 'daily' AND period_date = {_AS_OF}),
+                'weekly': (SELECT {_hide('content')} FROM reflections r WHERE r.owner_id = p.owner_id
+                           AND period_type = 'weekly' AND period_date = DATE '2024-01-15'),
+                'monthly': (SELECT {_hide('content')} FROM reflections r WHERE r.owner_id = p.owner_id
+                            AND period_type = 'monthly' AND period_date = DATE '2024-01-01')}}
+            }}) AS VARCHAR) AS document
+        FROM profiles p""",
     "forms": f"""
         SELECT event_id AS seq, ts AS created_at, user_id AS owner_id, CAST(ts AS DATE) AS entry_date,
                {_day_type('ts')} AS day_type,
@@ -497,38 +525,40 @@ _STATEMENTS: dict[str, str] = {
                  'month_start': strftime(mo, '%Y-%m-%d'), 'month_reflection': month_reflection}) AS VARCHAR)
                AS document
         FROM day_docs""",
+    "sql_strip_private": f"""
+        SELECT 'note' AS kind, seq, {_hide('note')} AS shown FROM edits
+        UNION ALL SELECT 'reflection', seq, {_hide('content')} FROM reflection_edits""",
+    "sql_access": """
+        SELECT event_id AS seq, user_id AS owner_id, user_id + event_id % 6 AS author_id,
+               event_id % 6 = 0 OR EXISTS (SELECT 1 FROM shares s WHERE s.owner_id = e.user_id
+                 AND s.viewer_id = e.user_id + e.event_id % 6) AS may_view,
+               event_id % 6 = 0 OR EXISTS (SELECT 1 FROM shares s WHERE s.owner_id = e.user_id
+                 AND s.viewer_id = e.user_id + e.event_id % 6 AND s.permission = 'edit') AS may_edit
+        FROM events e""",
+    "sql_editable_logs": """
+        SELECT e.seq, l.activity_id, l.log_date FROM edits e
+        JOIN logs l ON l.owner_id = e.owner_id AND l.activity_id = e.activity_id AND l.log_date = e.log_date
+        WHERE e.seq % 6 = 0 OR EXISTS (SELECT 1 FROM shares s WHERE s.owner_id = e.owner_id
+          AND s.viewer_id = e.owner_id + e.seq % 6 AND s.permission = 'edit')""",
+    "sql_public_schedule": """
+        SELECT r.seq, coalesce(p.display_name, p.username) AS owner_name, a.title, a.day_type,
+               a.planned_start_min, a.planned_end_min, a.category, a.sort_order
+        FROM share_asks r JOIN profiles p ON p.share_code = upper(trim(r.code))
+        JOIN activities a ON a.owner_id = p.owner_id WHERE a.entry_date IS NULL""",
+    "sql_public_day": """
+        SELECT r.seq, CAST(to_json({
+                 'owner_name': owner_name, 'date': strftime(d, '%Y-%m-%d'), 'activities': coalesce(items, []),
+                 'week_start': strftime(wk, '%Y-%m-%d'), 'week_reflection': week_reflection,
+                 'month_start': strftime(mo, '%Y-%m-%d'), 'month_reflection': month_reflection}) AS VARCHAR)
+               AS document
+        FROM share_asks r JOIN day_docs x ON x.share_code = upper(trim(r.code)) AND x.d = CAST(r.ts AS DATE)""",
+    "sql_public_progress": """
+        SELECT owner_id, share_code, document FROM progress_documents""",
     "past_reflections": f"""
         SELECT owner_id, d, CASE WHEN wk <> DATE '2024-01-15' THEN week_reflection END AS week_reflection,
                CASE WHEN mo <> DATE '2024-01-01' THEN month_reflection END AS month_reflection
         FROM day_docs""",
-    "public_progress": f"""
-        SELECT p.owner_id, p.share_code, CAST(0 AS INTEGER) AS part_no, CAST(1 AS INTEGER) AS part_count,
-               CAST(to_json({{
-            'owner_name': coalesce(p.display_name, p.username),
-            'today': coalesce((SELECT items FROM agenda_lists a
-                               WHERE a.owner_id = p.owner_id AND a.d = {_AS_OF}), []),
-            'week': (SELECT {{'done': done, 'planned': planned}} FROM weeks w
-                     WHERE w.owner_id = p.owner_id AND w.week_start = DATE '2024-01-15'),
-            'month': (SELECT {{'done': done, 'planned': planned}} FROM months m
-                      WHERE m.owner_id = p.owner_id),
-            'calendar': (SELECT list({{'d': strftime(d, '%Y-%m-%d'), 'planned': planned, 'done': done}}
-                                     ORDER BY d) FROM days x
-                         WHERE x.owner_id = p.owner_id AND d IN (SELECT d FROM january)),
-            'goals': (SELECT list({{'title': title, 'period': period_type, 'metric': metric,
-                                    'target': CAST(target AS DOUBLE), 'actual': actual}}
-                                  ORDER BY created_at, goal_id) FROM progress g
-                      WHERE g.owner_id = p.owner_id AND period_start =
-                            CASE WHEN period_type = 'weekly' THEN DATE '2024-01-15'
-                                 ELSE DATE '2024-01-01' END),
-            'reflections': {{
-                'daily': (SELECT {_hide('content')} FROM reflections r WHERE r.owner_id = p.owner_id
-                          AND period_type = 'daily' AND period_date = {_AS_OF}),
-                'weekly': (SELECT {_hide('content')} FROM reflections r WHERE r.owner_id = p.owner_id
-                           AND period_type = 'weekly' AND period_date = DATE '2024-01-15'),
-                'monthly': (SELECT {_hide('content')} FROM reflections r WHERE r.owner_id = p.owner_id
-                            AND period_type = 'monthly' AND period_date = DATE '2024-01-01')}}
-            }}) AS VARCHAR) AS document
-        FROM profiles p""",
+    "public_progress": "SELECT * FROM progress_documents",
     "public_schedule": """
         SELECT p.share_code, coalesce(p.display_name, p.username) AS owner_name, a.title, a.day_type,
                a.planned_start_min, a.planned_end_min, a.category, a.sort_order

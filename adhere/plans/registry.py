@@ -21,7 +21,7 @@ from ..sources import readers, sinks
 from ..sources.driver_tables import DriverTables
 from ..sources.sinks import as_json
 from ..streaming import log_feed
-from . import publish, reports
+from . import publish, reports, sql_functions
 
 # The events are of January 2024; reports cover that month, seen from its middle.
 HORIZON = Horizon(dt.date(2024, 1, 1), dt.date(2024, 1, 31))
@@ -518,6 +518,71 @@ def share_codes(t):
     return onboarding.assign_share_codes(fresh)
 
 
+# ---- functions called from SQL
+
+def _with_functions(t: DriverTables) -> SparkSession:
+    """The session with the SQL functions over these tables; activities and logs are derived once."""
+    sql_functions.register(t.spark, {name: t.kept(name) if name in ("activities", "logs") else getattr(t, name)
+                                     for name in sql_functions.VIEWS})
+    return t.spark
+
+
+@_query
+def sql_strip_private(t):
+    """Notes and reflections through the scalar function."""
+    spark = _with_functions(t)
+    return spark.sql("""
+        SELECT 'note' AS kind, seq, strip_private(note) AS shown FROM {edits}
+        UNION ALL SELECT 'reflection', seq, strip_private(content) FROM {reflections}""",
+        edits=t.edits, reflections=t.reflection_edits)
+
+
+@_query
+def sql_access(t):
+    """For every edit, whether its author may read and write its owner's rows."""
+    spark = _with_functions(t)
+    return spark.sql("""
+        SELECT seq, owner_id, author_id, can_view(author_id, owner_id) AS may_view,
+               can_edit(author_id, owner_id) AS may_edit FROM {edits}""", edits=t.edit_authors)
+
+
+@_query
+def sql_editable_logs(t):
+    """Logs that the writer of each log's edit may still change: a filter by function."""
+    spark = _with_functions(t)
+    return spark.sql("""
+        SELECT e.seq, l.activity_id, l.log_date FROM {edits} e JOIN shared_logs l
+          ON l.owner_id = e.owner_id AND l.activity_id = e.activity_id AND l.log_date = e.log_date
+        WHERE can_edit(e.author_id, l.owner_id)""", edits=t.edits.withColumn(
+        "author_id", F.col("owner_id") + F.col("seq") % 6))
+
+
+@_query
+def sql_public_schedule(t):
+    """The schedule behind every typed code."""
+    spark = _with_functions(t)
+    return spark.sql("""
+        SELECT r.seq, s.* FROM {asked} r, LATERAL get_public_schedule(r.code) s""", asked=t.share_requests)
+
+
+@_query
+def sql_public_day(t):
+    """The day page behind every typed code, for the date it was typed."""
+    spark = _with_functions(t)
+    return spark.sql("""
+        SELECT r.seq, to_json(struct(p.*), map('ignoreNullFields', 'false')) AS document
+        FROM {asked} r, LATERAL get_public_day(r.code, CAST(r.ts AS DATE)) p""", asked=t.share_requests)
+
+
+@_query
+def sql_public_progress(t):
+    """The progress page of every owner."""
+    spark = _with_functions(t)
+    return spark.sql(f"""
+        SELECT o.owner_id, o.share_code, to_json(struct(p.*), map('ignoreNullFields', 'false')) AS document
+        FROM shared_profiles o, LATERAL get_public_progress(o.share_code, DATE '{AS_OF}') p""")
+
+
 # ---- tables written and read again
 
 @_query
