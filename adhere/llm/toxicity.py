@@ -5,18 +5,19 @@ at zero, so the model is a short list of (coordinate, weight).
 
 Training runs in rounds over a few shards. A task starts from the state (z, n) of
 the last round, goes through its documents one by one, and sends by how much it
-moved each coordinate; the mean of the moves makes the next state. The state has
+moved each coordinate; the mean of the moves, taken on the executors, makes the next state. The state has
 ``2 ** BITS`` coordinates whatever the input, and the labelled documents used are
 bounded by ``TRAIN_ROWS``. Scoring reads every document once and shuffles nothing.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,13 +30,16 @@ SHARDS, ROUNDS = 4, 8
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 5.0, 0.0
 #: Toxic documents are the fewer ones; each counts so many times.
 POSITIVE_WEIGHT = 3.0
-#: Bytes hashed together; a longer text is hashed in steps.
+#: Bytes hashed together; a longer text is hashed in steps that share two words.
 STEP_BYTES = 1 << 21
 BASE = np.uint64(0x100000001B3)
 INVERSE = np.uint64(pow(int(BASE), -1, 2 ** 64))
 MIXERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F),
           np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5))
 IS_WORD = np.array([chr(b).isalnum() or b >= 128 for b in range(256)])
+NO_WORD = re.compile(rb"[^0-9A-Za-z\x80-\xff]")
+#: Coordinates whose moves are averaged in one group.
+BLOCK = 1 << 15
 
 
 class Hasher:
@@ -66,26 +70,38 @@ class Hasher:
         return start, (sums[end] - sums[start]) * self.inverses[start]
 
 
+def _steps(raw: bytes) -> Iterator[bytes]:
+    """A long text in steps that end between words; each begins with the last two words before it.
+
+    So every pair of words is in some step. A word is never cut, however long it is.
+    """
+    at = end = 0
+    while end < len(raw):
+        end = min(len(raw), end + STEP_BYTES)
+        last = NO_WORD.search(raw, end)
+        end = last.start() if last else len(raw)
+        yield raw[at:end]
+        inside = np.concatenate([[False], IS_WORD[np.frombuffer(raw[at:end], np.uint8)]])
+        starts = np.flatnonzero(inside[1:] & ~inside[:-1])
+        at += int(starts[-2:][0]) if len(starts) else 0
+
+
 def _blocks(texts: list[str]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
     """Lower-cased texts joined into blocks: (bytes, start of each text in it, text numbers)."""
     parts, starts, numbers, size = [], [], [], 0
     for number, text in enumerate(texts):
         raw = text.lower().encode()
-        # Steps of a long text end at a blank, if there is one, so words stay whole.
-        at = 0
-        while at < len(raw) or not raw and at == 0:
-            end = min(len(raw), at + STEP_BYTES)
-            if end < len(raw):
-                cut = raw.rfind(b" ", at + 1, end)
-                end = cut if cut > at else end
-            parts.append(raw[at:end])
-            starts.append(size)
-            numbers.append(number)
-            size += end - at + 1
-            if size > STEP_BYTES:
-                yield b"\n".join(parts), np.array(starts), np.array(numbers)
-                parts, starts, numbers, size = [], [], [], 0
-            at = end if raw else 1
+        if len(raw) > STEP_BYTES:
+            for step in _steps(raw):
+                yield step, np.zeros(1, np.int64), np.array([number])
+            continue
+        parts.append(raw)
+        starts.append(size)
+        numbers.append(number)
+        size += len(raw) + 1
+        if size > STEP_BYTES:
+            yield b"\n".join(parts), np.array(starts), np.array(numbers)
+            parts, starts, numbers, size = [], [], [], 0
     if parts:
         yield b"\n".join(parts), np.array(starts), np.array(numbers)
 
@@ -160,25 +176,66 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) ->
         "doc_id", F.col("label").cast("int").alias("label"), "text")
 
 
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Coordinates of each document instead of its text, a few texts at a time."""
+    hasher = Hasher(STEP_BYTES)
+    for batch in batches:
+        texts = batch.column(3)
+        for start, end in _groups(texts):
+            doc, at = features([t.as_py() for t in texts[start:end]], hasher)
+            bounds = np.searchsorted(doc, np.arange(end - start + 1))
+            places = [at[a:b].astype(np.int32).tobytes() for a, b in zip(bounds, bounds[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [*(c[start:end] for c in batch.columns[:3]), pa.array(places, pa.binary())],
+                names=["shard", "doc_id", "label", "places"])
+
+
+def _groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that are hashed together: a few MB, or one long text."""
+    sizes = np.asarray(pc.binary_length(texts.fill_null("")))
+    start = size = 0
+    for end, n in enumerate(sizes.tolist()):
+        if size and size + n > STEP_BYTES:
+            yield start, end
+            start, size = end, 0
+        size += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def pack_shards(rows: DataFrame) -> DataFrame:
-    """One row per shard: its documents' labels, feature counts and coordinates as bytes."""
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "text"])
-        doc, at = features(pdf["text"].tolist(), Hasher(STEP_BYTES))
-        return pd.DataFrame({
-            "shard": pdf["shard"].iloc[:1],
-            "labels": [pdf["label"].to_numpy(np.int8).tobytes()],
-            "counts": [np.bincount(doc, minlength=len(pdf)).astype(np.int32).tobytes()],
-            "places": [at.astype(np.int32).tobytes()]})
-
-    return rows.groupBy("shard").applyInPandas(
+    """One row per shard: its documents' labels, feature counts and coordinates as bytes.
+
+    Features are made before the shuffle, so texts stay where they are.
+    """
+    def pack(found: pa.Table) -> pa.Table:
+        found = found.sort_by([("doc_id", "ascending"), ("places", "ascending")])
+        places = found.column("places").to_pylist()
+        return pa.table({
+            "shard": found.column("shard")[:1],
+            "labels": [found.column("label").to_numpy().astype(np.int8).tobytes()],
+            "counts": [np.array([len(p) // 4 for p in places], np.int32).tobytes()],
+            "places": [b"".join(places)]})
+
+    return rows.mapInArrow(
+        _featured, "shard bigint, doc_id bigint, label int, places binary").groupBy("shard").applyInArrow(
         pack, "shard bigint, labels binary, counts binary, places binary")
 
 
+def _mean(moves: pa.Table) -> pa.Table:
+    """The mean move of one block of coordinates over all shards."""
+    moves = moves.sort_by("shard")
+    return pa.table({"block": moves.column("block")[:1]} | {
+        c: [(sum(np.frombuffer(m, np.float32).astype(np.float64) for m in moves.column(c).to_pylist())
+             / moves.num_rows).astype(np.float32).tobytes()] for c in ("dz", "dn")})
+
+
 def fit(shards: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, float]:
     """(coordinates, weights, bias) of the coordinates whose weight is not zero.
 
-    Without a labelled document the model is empty and every score is one half.
+    The moves of a round are averaged on the executors, block by block; the driver takes one
+    state of ``2 ** BITS`` coordinates and sends it on. Without a labelled document the
+    model is empty and every score is one half.
     """
     spark = shards.sparkSession
     size = (1 << BITS) + 1
@@ -188,20 +245,25 @@ def fit(shards: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for labels, counts, places in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                for shard, labels, counts, places in zip(*(c.to_pylist() for c in batch.columns)):
                     label = np.frombuffer(labels, np.int8)
                     doc = np.repeat(np.arange(len(label)), np.frombuffer(counts, np.int32))
                     z0, n0 = state.value
                     z1, n1 = z0.astype(np.float64), n0.astype(np.float64)
                     train_shard(doc, np.frombuffer(places, np.int32), label, z1, n1)
+                    dz, dn = ((x1 - x0).astype(np.float32) for x0, x1 in ((z0, z1), (n0, n1)))
+                    cuts = range(0, size, BLOCK)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([(x1 - x0).astype(np.float32).tobytes()], pa.binary())
-                         for x0, x1 in ((z0, z1), (n0, n1))], names=["dz", "dn"])
-
-        moves = shards.mapInArrow(run, "dz binary, dn binary").collect()
-        for move in moves:
-            z = z + np.frombuffer(move.dz, np.float32) / len(moves)
-            n = n + np.frombuffer(move.dn, np.float32) / len(moves)
+                        [pa.array(np.arange(len(cuts), dtype=np.int32)), pa.array([shard] * len(cuts)),
+                         *(pa.array([d[k:k + BLOCK].tobytes() for k in cuts], pa.binary()) for d in (dz, dn))],
+                        names=["block", "shard", "dz", "dn"])
+
+        moves = shards.mapInArrow(run, "block int, shard bigint, dz binary, dn binary").groupBy(
+            "block").applyInArrow(_mean, "block int, dz binary, dn binary").toArrow()
+        for block, dz, dn in zip(*(c.to_pylist() for c in moves.columns)):
+            part = slice(block * BLOCK, (block + 1) * BLOCK)
+            z[part] += np.frombuffer(dz, np.float32)
+            n[part] += np.frombuffer(dn, np.float32)
         # One state at a time is kept, on the driver as on the executors.
         del moves
         state.destroy()
@@ -224,18 +286,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
         dense = np.zeros(1 << BITS)
         dense[at] = values
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = batch.column(1)
             total = np.zeros(len(texts))
-            # A few texts at a time keep the features of a step small.
-            start = 0
-            while start < len(texts):
-                end, size = start, 0
-                while end < len(texts) and (end == start or size < STEP_BYTES):
-                    size += len(texts[end])
-                    end += 1
-                doc, place = features(texts[start:end], hasher)
+            for start, end in _groups(texts):
+                doc, place = features([t.as_py() or "" for t in texts[start:end]], hasher)
                 total[start:end] = np.bincount(doc, dense[place], minlength=end - start)
-                start = end
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(_sigmoid(total + bias))], names=["doc_id", "score"])
 
