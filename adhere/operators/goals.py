@@ -26,14 +26,19 @@ def goal_periods(goals: DataFrame, horizon: Horizon) -> DataFrame:
     return goals.withColumn("period_start", F.explode(starts))
 
 
-def goal_actuals(goals: DataFrame, activities: DataFrame, logs: DataFrame,
-                 horizon: Horizon) -> DataFrame:
-    """Completions or minutes per goal and period that has any.
+def goal_gains(goals: DataFrame, activities: DataFrame, logs: DataFrame,
+               horizon: Horizon) -> DataFrame:
+    """(goal_id, period_start, log_date, gained): completions or minutes per goal and day.
 
     The period is derived from the log's date, so the date range of a goal is
     an equality and no range join is needed. A log counts only for goals of
     its own owner.
     """
+    return _gains(goals, activities, logs, horizon).groupBy(
+        "goal_id", "period_start", "log_date").agg(F.sum("gained").alias("gained"))
+
+
+def _gains(goals: DataFrame, activities: DataFrame, logs: DataFrame, horizon: Horizon) -> DataFrame:
     wide = _wide(horizon)
     d, start, end = F.col("log_date"), F.col("actual_start_min"), F.col("actual_end_min")
     tagged = (activities.where(F.col("goal_id").isNotNull()).select("activity_id", "goal_id")
@@ -44,9 +49,16 @@ def goal_actuals(goals: DataFrame, activities: DataFrame, logs: DataFrame,
                 "actual_start_min", "actual_end_min")
     gained = F.when(F.col("metric") == "count", F.col("completed").cast("long")) \
         .otherwise(C.span_minutes(start, end))
-    return (facts.join(tagged, ["owner_id", "activity_id"])
-            .groupBy("goal_id", D.period_start(F.col("period_type"), d).alias("period_start"))
-            .agg(F.sum(F.coalesce(gained, F.lit(0))).alias("actual")))
+    return facts.join(tagged, ["owner_id", "activity_id"]).select(
+        "goal_id", D.period_start(F.col("period_type"), d).alias("period_start"), "log_date",
+        F.coalesce(gained, F.lit(0)).alias("gained"))
+
+
+def goal_actuals(goals: DataFrame, activities: DataFrame, logs: DataFrame,
+                 horizon: Horizon) -> DataFrame:
+    """Completions or minutes per goal and period that has any (see ``goal_gains``)."""
+    return _gains(goals, activities, logs, horizon).groupBy(
+        "goal_id", "period_start").agg(F.sum("gained").alias("actual"))
 
 
 def goal_progress(goals: DataFrame, activities: DataFrame, logs: DataFrame,

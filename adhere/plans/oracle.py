@@ -290,6 +290,34 @@ _PIECES: dict[str, str] = {
                             AND period_type = 'monthly' AND period_date = DATE '2024-01-01')}}
             }}) AS VARCHAR) AS document
         FROM profiles p""",
+    "day_progress_documents": f"""
+        SELECT p.owner_id, p.share_code, n.d, CAST(0 AS INTEGER) AS part_no, CAST(1 AS INTEGER) AS part_count,
+               CAST(to_json({{
+            'owner_name': coalesce(p.display_name, p.username),
+            'today': coalesce((SELECT items FROM agenda_lists a
+                               WHERE a.owner_id = p.owner_id AND a.d = n.d), []),
+            'week': (SELECT {{'done': done, 'planned': planned}} FROM weeks w
+                     WHERE w.owner_id = p.owner_id AND w.week_start = {_week('n.d')}),
+            'month': (SELECT {{'done': done, 'planned': planned}} FROM months m
+                      WHERE m.owner_id = p.owner_id),
+            'calendar': (SELECT list({{'d': strftime(d, '%Y-%m-%d'), 'planned': planned, 'done': done}}
+                                     ORDER BY d) FROM days x
+                         WHERE x.owner_id = p.owner_id AND d IN (SELECT d FROM january)),
+            'goals': (SELECT list({{'title': title, 'period': period_type, 'metric': metric,
+                                    'target': CAST(target AS DOUBLE), 'actual': actual}}
+                                  ORDER BY created_at, goal_id) FROM progress g
+                      WHERE g.owner_id = p.owner_id AND period_start =
+                            CASE WHEN period_type = 'weekly' THEN {_week('n.d')}
+                                 ELSE DATE '2024-01-01' END),
+            'reflections': {{
+                'daily': (SELECT {_hide('content')} FROM reflections r WHERE r.owner_id = p.owner_id
+                          AND period_type = 'daily' AND period_date = n.d),
+                'weekly': (SELECT {_hide('content')} FROM reflections r WHERE r.owner_id = p.owner_id
+                           AND period_type = 'weekly' AND period_date = {_week('n.d')}),
+                'monthly': (SELECT {_hide('content')} FROM reflections r WHERE r.owner_id = p.owner_id
+                            AND period_type = 'monthly' AND period_date = DATE '2024-01-01')}}
+            }}) AS VARCHAR) AS document
+        FROM profiles p CROSS JOIN january n""",
     "forms": f"""
         SELECT event_id AS seq, ts AS created_at, user_id AS owner_id, CAST(ts AS DATE) AS entry_date,
                {_day_type('ts')} AS day_type,
@@ -554,6 +582,37 @@ _STATEMENTS: dict[str, str] = {
         FROM share_asks r JOIN day_docs x ON x.share_code = upper(trim(r.code)) AND x.d = CAST(r.ts AS DATE)""",
     "sql_public_progress": """
         SELECT owner_id, share_code, document FROM progress_documents""",
+    "goals_by_day": f"""
+        SELECT g.goal_id, g.owner_id, n.d, g.period_start, CASE WHEN g.period_type = 'weekly'
+               THEN g.period_start + 6 ELSE last_day(g.period_start) END AS period_end, g.actual, t.so_far, g.pct,
+               CASE WHEN g.target_unit = 0 THEN 0 ELSE least(100, {_pct('t.so_far', 'g.target_unit')}) END AS pct_so_far,
+               label || ' (' || CAST(g.pct AS VARCHAR) || '%) · this ' ||
+               CASE WHEN g.period_type = 'weekly' THEN 'week' ELSE 'month' END AS caption
+        FROM goal_rows g JOIN january n ON n.d BETWEEN g.period_start
+             AND CASE WHEN g.period_type = 'weekly' THEN g.period_start + 6 ELSE last_day(g.period_start) END
+        JOIN (SELECT g.goal_id, n.d, CAST(coalesce(sum(CASE WHEN g.metric = 'count' THEN CAST(l.completed AS INTEGER)
+                     ELSE {_mins('l.actual_start_min', 'l.actual_end_min')} END), 0) AS BIGINT) AS so_far
+              FROM goal_spans g JOIN january n ON n.d BETWEEN g.period_start AND CASE
+                   WHEN g.period_type = 'weekly' THEN g.period_start + 6 ELSE last_day(g.period_start) END
+              LEFT JOIN (SELECT l.*, a.goal_id FROM logs l JOIN activities a USING (activity_id)) l
+                ON l.goal_id = g.goal_id AND l.owner_id = g.owner_id
+                   AND l.log_date BETWEEN g.period_start AND n.d
+              GROUP BY g.goal_id, n.d) t ON t.goal_id = g.goal_id AND t.d = n.d""",
+    "totals_to_date": f"""
+        SELECT *, {_pct('week_done_to_date', 'week_planned_to_date')} AS week_pct_to_date,
+               {_pct('month_done_to_date', 'month_planned_to_date')} AS month_pct_to_date
+        FROM (SELECT n.owner_id, n.d, {_week('n.d')} AS week_start, {_month('n.d')} AS month_start,
+            CAST(sum(CASE WHEN {_week('x.d')} = {_week('n.d')} AND x.d <= n.d THEN x.planned END) AS BIGINT) AS week_planned_to_date,
+            CAST(sum(CASE WHEN {_week('x.d')} = {_week('n.d')} AND x.d <= n.d THEN x.done END) AS BIGINT) AS week_done_to_date,
+            CAST(sum(CASE WHEN {_week('x.d')} = {_week('n.d')} THEN x.planned END) AS BIGINT) AS week_planned,
+            CAST(sum(CASE WHEN {_week('x.d')} = {_week('n.d')} THEN x.done END) AS BIGINT) AS week_done,
+            CAST(sum(CASE WHEN {_month('x.d')} = {_month('n.d')} AND x.d <= n.d THEN x.planned END) AS BIGINT) AS month_planned_to_date,
+            CAST(sum(CASE WHEN {_month('x.d')} = {_month('n.d')} AND x.d <= n.d THEN x.done END) AS BIGINT) AS month_done_to_date,
+            CAST(sum(CASE WHEN {_month('x.d')} = {_month('n.d')} THEN x.planned END) AS BIGINT) AS month_planned,
+            CAST(sum(CASE WHEN {_month('x.d')} = {_month('n.d')} THEN x.done END) AS BIGINT) AS month_done
+          FROM days n JOIN days x ON x.owner_id = n.owner_id
+          WHERE n.d IN (SELECT d FROM january) GROUP BY n.owner_id, n.d)""",
+    "progress_by_day": "SELECT * FROM day_progress_documents",
     "past_reflections": f"""
         SELECT owner_id, d, CASE WHEN wk <> DATE '2024-01-15' THEN week_reflection END AS week_reflection,
                CASE WHEN mo <> DATE '2024-01-01' THEN month_reflection END AS month_reflection

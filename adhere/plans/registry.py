@@ -21,7 +21,7 @@ from ..sources import readers, sinks
 from ..sources.driver_tables import DriverTables
 from ..sources.sinks import as_json
 from ..streaming import log_feed
-from . import publish, reports, sql_functions
+from . import by_day, publish, reports, sql_functions
 
 # The events are of January 2024; reports cover that month, seen from its middle.
 HORIZON = Horizon(dt.date(2024, 1, 1), dt.date(2024, 1, 31))
@@ -518,6 +518,26 @@ def share_codes(t):
     return onboarding.assign_share_codes(fresh)
 
 
+# ---- every day as "today"
+
+@_query
+def goals_by_day(t):
+    return by_day.goals_by_day(t.goals, t.activities, t.logs, HORIZON).select(
+        "goal_id", "owner_id", "d", "period_start", "period_end", "actual", "so_far", "pct", "pct_so_far",
+        "caption")
+
+
+@_query
+def totals_to_date(t):
+    return by_day.totals_to_date(t.profiles, t.activities, t.logs, HORIZON)
+
+
+@_query
+def progress_by_day(t):
+    docs = by_day.progress_by_day(t.profiles, t.kept("activities"), t.kept("logs"), t.goals, t.reflections, HORIZON)
+    return docs.withColumn("document", as_json("document"))
+
+
 # ---- functions called from SQL
 
 def _with_functions(t: DriverTables) -> SparkSession:
