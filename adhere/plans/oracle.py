@@ -419,6 +419,16 @@ _PIECES: dict[str, str] = {
                max(CASE WHEN sets_times AND rt = 1 THEN actual_end_min END) AS actual_end_min,
                max(CASE WHEN sets_note AND rn = 1 THEN note END) AS note
         FROM field_words GROUP BY ALL""",
+    "stream_tallies": f"""
+        SELECT e.owner_id, e.log_date AS d,
+               count(f.activity_id) FILTER (WHERE f.completed) AS done,
+               (SELECT count(*) FROM planned p WHERE p.owner_id = e.owner_id AND p.d = e.log_date) AS total,
+               CAST(coalesce(sum({_mins('f.actual_start_min', 'f.actual_end_min')}), 0) AS BIGINT) AS minutes
+        FROM (SELECT DISTINCT owner_id, log_date FROM edits) e
+        LEFT JOIN (SELECT f.* FROM folded f JOIN planned p ON p.owner_id = f.owner_id
+                   AND p.activity_id = f.activity_id AND p.d = f.log_date) f
+          ON f.owner_id = e.owner_id AND f.log_date = e.log_date
+        GROUP BY ALL""",
     "words": f"""
         SELECT owner_id, activity_id, log_date, completed, actual_start_min, actual_end_min, note,
                ts, seq, sets_completed, sets_times, sets_note FROM edits WHERE ts >= {_FEED}
@@ -851,16 +861,9 @@ _STATEMENTS: dict[str, str] = {
         SELECT owner_id, CASE WHEN wins THEN code ELSE {_digest_code('owner_id', 1)} END AS share_code
         FROM held""",
     "stream_logs": "SELECT * FROM folded",
-    "stream_day_tally": f"""
-        SELECT e.owner_id, e.log_date AS d,
-               count(f.activity_id) FILTER (WHERE f.completed) AS done,
-               (SELECT count(*) FROM planned p WHERE p.owner_id = e.owner_id AND p.d = e.log_date) AS total,
-               CAST(coalesce(sum({_mins('f.actual_start_min', 'f.actual_end_min')}), 0) AS BIGINT) AS minutes
-        FROM (SELECT DISTINCT owner_id, log_date FROM edits) e
-        LEFT JOIN (SELECT f.* FROM folded f JOIN planned p ON p.owner_id = f.owner_id
-                   AND p.activity_id = f.activity_id AND p.d = f.log_date) f
-          ON f.owner_id = e.owner_id AND f.log_date = e.log_date
-        GROUP BY ALL""",
+    "stream_log_state": "SELECT * FROM folded",
+    "stream_tally_changes": "SELECT * FROM stream_tallies",
+    "stream_day_tally": "SELECT * FROM stream_tallies",
     "stream_week_edits": f"""
         SELECT owner_id, {_week('ts')} AS week_start, count(*) AS edits FROM edits GROUP BY ALL""",
 }

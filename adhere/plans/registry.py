@@ -648,6 +648,25 @@ def stream_day_tally(t):
     return log_feed.current_tallies(t.spark, f"{where}/tallies")
 
 
+@_query
+def stream_tally_changes(t):
+    """The tallies again, from signed changes, over several batches and their folds."""
+    where = work_path(t.spark, "stream-changes")
+    for _ in log_feed.arrivals(t.edits, f"{where}/in", 5):
+        log_feed.follow_tally_changes(log_feed.arrived(t.edits, f"{where}/in"), t.kept("activities"), where,
+                                      f"{where}/checkpoint", every=2)
+    return log_feed.tallies_from_changes(t.spark, where, t.kept("activities"), every=2)
+
+
+@_query
+def stream_log_state(t):
+    """Logs from the stream's own state; the stream stops and starts again in the middle of its input."""
+    where = work_path(t.spark, "stream-state")
+    for _ in log_feed.arrivals(t.edits, f"{where}/in", 2):
+        log_feed.follow_log_state(log_feed.arrived(t.edits, f"{where}/in"), f"{where}/rows", f"{where}/checkpoint")
+    return log_feed.logs_of_state(t.spark, f"{where}/rows")
+
+
 @_query
 def stream_week_edits(t):
     where = work_path(t.spark, "stream-weeks")

@@ -8,6 +8,8 @@ all deltas, in any order and with any split into batches.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,7 @@ from ..operators.occurrences import is_planned
 from ..operators.upserts import LOG_KEY, LOG_PATCH_FIELDS
 from ..sources.readers import one_offs, recurring
 from .changelog import latest_rows, read_batches, run_available, write_batch
+from .tiers import EVERY, TieredTable
 
 _TYPES = {"completed": T.BooleanType(), "actual_start_min": T.IntegerType(),
           "actual_end_min": T.IntegerType(), "note": T.StringType()}
@@ -61,6 +64,20 @@ def current_logs(deltas: DataFrame) -> DataFrame:
         *[F.col(f"{f}.value").alias(f) for f in LOG_PATCH_FIELDS if f != "completed"])
 
 
+def arrivals(patches: DataFrame, path: str, steps: int) -> Iterator[int]:
+    """Writes the patches to a feed folder, one part after the other; between the parts a stream may run."""
+    part = F.pmod(F.xxhash64("seq"), F.lit(steps))
+    for k in range(steps):
+        patches.where(part == k).write.mode("overwrite").parquet(f"{path}/part={k}")
+        yield k
+
+
+def arrived(patches: DataFrame, path: str) -> DataFrame:
+    """The feed folder as a stream, with the columns of ``patches``."""
+    return patches.sparkSession.readStream.schema(patches.schema).option(
+        "recursiveFileLookup", "true").parquet(path)
+
+
 def read_deltas(spark: SparkSession, path: str,
                 compacted: tuple[str, int] | None = None) -> DataFrame:
     """All deltas; with a compacted copy, that copy and the batches after it."""
@@ -113,6 +130,13 @@ def touched_tallies(touched: DataFrame, deltas: DataFrame,
         .where(is_planned(F.col("log_date"))).select(
         "owner_id", "log_date", F.col("completed").cast("long").alias("done"), zero.alias("total"),
         C.span_minutes(F.col("actual_start_min"), F.col("actual_end_min")).alias("minutes"))
+    return _with_totals(done, pairs, activities)
+
+
+def _with_totals(done: DataFrame, pairs: DataFrame, activities: DataFrame) -> DataFrame:
+    """Rows (owner_id, log_date, done, minutes) summed per pair, with the number planned on its day."""
+    plan = activities.select("owner_id", "activity_id", "day_type", "entry_date")
+    zero = F.lit(0).cast("long")
     # The agenda of a day: its day type's template, summed first, and its own one-offs.
     template = recurring(plan).groupBy("owner_id", "day_type").agg(F.count(F.lit(1)).alias("total"))
     planned = pairs.withColumn("day_type", D.day_type(F.col("log_date"))).join(
@@ -169,6 +193,109 @@ def current_tallies(spark: SparkSession, path: str) -> DataFrame:
     return latest_rows(read_batches(spark, path, TALLY_SCHEMA), ["owner_id", "d"])
 
 
+CHANGE_SCHEMA = T.StructType([
+    T.StructField("owner_id", T.LongType()), T.StructField("d", T.DateType()),
+    T.StructField("done", T.LongType()), T.StructField("minutes", T.LongType())])
+
+
+def _delta_table(spark: SparkSession, path: str, every: int) -> TieredTable:
+    return TieredTable(spark, f"{path}/deltas", DELTA_SCHEMA, merge_deltas, ("log_month",), every)
+
+
+def _change_table(spark: SparkSession, path: str, every: int) -> TieredTable:
+    def fold(changes: DataFrame) -> DataFrame:
+        return changes.groupBy("owner_id", "d").agg(*[F.sum(c).alias(c) for c in ("done", "minutes")])
+
+    return TieredTable(spark, f"{path}/changes", CHANGE_SCHEMA, fold, (), every)
+
+
+def tally_changes(fresh: DataFrame, known: DataFrame, activities: DataFrame) -> DataFrame:
+    """By how much the deltas of a batch move done and minutes of each (owner, day) they touch.
+
+    The touched logs are brought together with what was known of them: their image before is taken
+    back, their image after is added. Logs that are not on the day's plan move nothing. One aggregate makes
+    both images.
+    """
+    touched = fresh.select(*LOG_KEY, "log_month")
+    old = known.join(touched, [*LOG_KEY, "log_month"], "left_semi")
+    both = old.withColumn("_new", F.lit(False)).unionByName(fresh.withColumn("_new", F.lit(True)))
+    images = both.groupBy(*LOG_KEY).agg(
+        *[F.max(F.when(~F.col("_new"), F.col(f))).alias(f"{f}_before") for f in LOG_PATCH_FIELDS],
+        *[F.max(f).alias(f"{f}_after") for f in LOG_PATCH_FIELDS])
+    plan = activities.select("owner_id", "activity_id", "day_type", "entry_date")
+    planned = images.join(plan, ["owner_id", "activity_id"], "left").withColumn(
+        "_counts", F.coalesce(F.col("day_type").isNotNull() & is_planned(F.col("log_date")), F.lit(False)))
+
+    def counted(side: str) -> tuple:
+        done = F.coalesce(F.col(f"completed_{side}.value"), F.lit(False)).cast("long")
+        return done, C.span_minutes(F.col(f"actual_start_min_{side}.value"), F.col(f"actual_end_min_{side}.value"))
+
+    (done, minutes), (was_done, was_minutes) = counted("after"), counted("before")
+    return planned.groupBy("owner_id", F.col("log_date").alias("d")).agg(*[
+        F.sum(F.when(F.col("_counts"), now - was).otherwise(0)).cast("long").alias(name)
+        for name, now, was in (("done", done, was_done), ("minutes", minutes, was_minutes))])
+
+
+def of_months(known: DataFrame, fresh: DataFrame) -> DataFrame:
+    """What is known of the months that a batch touches: other folders are not opened.
+
+    The months' names come to the driver, one for each month a batch has edits of.
+    """
+    months = [r.log_month for r in fresh.select("log_month").distinct().collect()]
+    return known.where(F.col("log_month").isin(months))
+
+
+def follow_tally_changes(patches: DataFrame, activities: DataFrame, path: str, checkpoint: str,
+                         every: int = EVERY) -> None:
+    """Keep tallies as sums of signed changes.
+
+    A batch reads what is known of the logs it touches, from the months it touches, and writes its deltas
+    and its changes; no day is counted anew. Both tables are folded in tiers (``tiers``), so old months
+    that nobody edits are never rewritten. A replayed batch reads the batches before it and overwrites its own
+    folders. ``tiers.covered`` names the folders that may be removed.
+    """
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        deltas, changes = _delta_table(spark, path, every), _change_table(spark, path, every)
+        for table in (deltas, changes):
+            table.fold_due(batch_id)
+        deltas.write(to_deltas(batch).hint("rebalance", "log_month"), batch_id)
+        fresh = deltas._read([(0, batch_id)])
+        # An empty row stands for a batch without edits, so that every batch can be counted.
+        mark = spark.createDataFrame([(None, None, 0, 0)], CHANGE_SCHEMA)
+        changes.write(tally_changes(fresh, of_months(deltas.before(batch_id), fresh), activities).unionByName(mark), batch_id)
+
+    run_available(patches, each, checkpoint)
+
+
+def tallies_from_changes(spark: SparkSession, path: str, activities: DataFrame, every: int = EVERY) -> DataFrame:
+    """(owner_id, d, done, total, minutes) of every touched day: the sums, and the day's plan as it is now."""
+    changes = _change_table(spark, path, every).rows().where(F.col("owner_id").isNotNull()).select(
+        "owner_id", F.col("d").alias("log_date"), "done", "minutes")
+    return _with_totals(changes, changes.select("owner_id", "log_date").distinct(), activities)
+
+
+def follow_log_state(patches: DataFrame, path: str, checkpoint: str) -> None:
+    """Keep the newest value of every field of every log in the stream's own state.
+
+    A streaming aggregate in update mode: the state store holds a row per log, a batch reads and writes
+    the rows of the logs it touches and gives these out, and a restart goes on from the checkpoint. What a
+    batch gives out is the whole current row, so the newest one of a log is the log.
+    """
+    def each(rows: DataFrame, batch_id: int) -> None:
+        write_batch(rows, path, batch_id)
+
+    run_available(to_deltas(patches).drop("log_month"), each, checkpoint, "update")
+
+
+def logs_of_state(spark: SparkSession, path: str) -> DataFrame:
+    """The current logs of ``follow_log_state``."""
+    schema = T.StructType([f for f in DELTA_SCHEMA if f.name != "log_month"])
+    newest = latest_rows(read_batches(spark, path, schema), LOG_KEY)
+    return newest.select(*LOG_KEY, F.coalesce("completed.value", F.lit(False)).alias("completed"), *[
+        F.col(f"{f}.value").alias(f) for f in LOG_PATCH_FIELDS if f != "completed"])
+
+
 WEEK_COUNT_SCHEMA = T.StructType([
     T.StructField("owner_id", T.LongType()), T.StructField("week_start", T.DateType()),
     T.StructField("edits", T.LongType())])
