@@ -4,8 +4,8 @@ Texts are cut into pieces by the tokenizer's pattern. The distinct pieces of a
 batch that are not known yet are put into matrices of token ids, one matrix per
 length bucket, padded with -1. Each round looks up every neighbouring pair in a
 hashed pair table, every row merges its leftmost pair of minimum rank, and the
-rows are compacted; rows without a pair left are done. Ids of frequent pieces
-stay in a bounded cache of the Python worker.
+rows are compacted; rows without a pair left are done. Ids of pieces seen in a
+partition stay in a cache of bounded size until the partition ends.
 """
 
 from __future__ import annotations
@@ -25,11 +25,15 @@ from pyspark.sql import functions as F
 from .common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Pieces kept in a worker's cache, and the longest piece kept there.
-CACHE_PIECES, CACHE_BYTES = 400_000, 64
-#: Cells of one matrix; pieces so long that one fills it make a matrix of their own.
+#: Bytes of memory the cache of a worker may take, and the longest piece kept there.
+CACHE_BYTES, CACHE_LONGEST = 32 << 20, 64
+#: About what a cached piece costs besides its characters and ids: its string, tuple and slot.
+PIECE_OVERHEAD = 200
+#: Ids of one batch of results.
+BATCH_IDS = 1 << 19
+#: Cells of one matrix.
 MATRIX_CELLS = 1 << 20
-#: Beyond this length a row's ranks are searched by blocks instead of as a whole.
+#: Pieces of more than 8 blocks are rows of their own, searched by the minima of their blocks.
 BLOCK = 512
 #: Pieces of one step over a long text; characters of short texts that go together.
 STEP_PIECES, GROUP_CHARS = 1 << 16, 1 << 21
@@ -94,7 +98,12 @@ class Encoder:
                 if a is not None and b is not None:
                     left.append(a), right.append(b), joined.append(rank)
         self.pairs = PairTable(np.array(left), np.array(right), np.array(joined))
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the cache, so that a reused Python worker holds the vocabulary alone."""
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.cached = 0
 
     def encode_pieces(self, pieces: list[str]) -> dict[str, tuple[int, ...]]:
         """Ids of distinct pieces; a piece that is itself a token is that token."""
@@ -107,13 +116,14 @@ class Encoder:
             else:
                 buckets.setdefault((len(raw) - 1).bit_length(), []).append((piece, raw))
         for bits, members in buckets.items():
+            if 1 << bits > 8 * BLOCK:
+                # A row of a matrix costs the square of its length.
+                out.update((piece, self._merge_long(raw)) for piece, raw in members)
+                continue
             at_once = max(1, MATRIX_CELLS >> bits)
             for start in range(0, len(members), at_once):
                 chunk = members[start:start + at_once]
-                raws = [raw for _, raw in chunk]
-                ids = self._merge_long(raws[0]) if len(chunk) == 1 and 1 << bits > 8 * BLOCK \
-                    else None
-                rows = [ids] if ids is not None else self._merge_matrix(raws, 1 << bits)
+                rows = self._merge_matrix([raw for _, raw in chunk], 1 << bits)
                 out.update((piece, row) for (piece, _), row in zip(chunk, rows))
         return out
 
@@ -213,12 +223,14 @@ class Encoder:
         new = {p for p in pieces if p not in self.cache}
         if not new:
             return {}
-        if len(self.cache) + len(new) > CACHE_PIECES:
-            self.cache.clear()
+        if self.cached > CACHE_BYTES:
+            self.forget()
             new = set(pieces)
         encoded = self.encode_pieces(list(new))
-        long = {p: v for p, v in encoded.items() if len(p) > CACHE_BYTES}
-        self.cache.update((p, v) for p, v in encoded.items() if len(p) <= CACHE_BYTES)
+        long = {p: v for p, v in encoded.items() if len(p) > CACHE_LONGEST}
+        kept = {p: v for p, v in encoded.items() if len(p) <= CACHE_LONGEST}
+        self.cache.update(kept)
+        self.cached += sum(PIECE_OVERHEAD + 2 * len(p) + 8 * len(v) for p, v in kept.items())
         return long
 
     def _ids(self, pieces: list[str], long: dict[str, tuple[int, ...]]) -> list[int]:
@@ -264,6 +276,40 @@ def encoder(path: str, pattern: str) -> Encoder:
         return Encoder(lines, pattern)
 
 
+class _Results:
+    """Rows until they make a batch; ids are kept as 32-bit arrays."""
+
+    def __init__(self, schema: str, keep_ids: bool) -> None:
+        self.names = [f.split()[0] for f in schema.split(", ")]
+        self.keep_ids = keep_ids
+        self._clear()
+
+    def _clear(self) -> None:
+        self.rows: list[tuple] = []
+        self.ids: list[np.ndarray] = []
+        self.size = 0
+
+    def hold(self, ids: list[int]) -> None:
+        self.size += len(ids)
+        if self.keep_ids:
+            self.ids.append(np.array(ids, np.int32))
+
+    def end(self, *row) -> None:
+        self.rows.append(row)
+        self.size += 32
+
+    def batch(self) -> pa.RecordBatch:
+        columns = list(zip(*self.rows)) or [()] * 4
+        arrays = [pa.array(c, t) for c, t in zip(
+            columns, (pa.int64(), pa.int64(), pa.string(), pa.string()))]
+        if self.keep_ids:
+            ends = np.concatenate([[0], np.cumsum(columns[1], dtype=np.int64)]).astype(np.int32)
+            arrays.append(pa.ListArray.from_arrays(
+                pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *self.ids]))))
+        self._clear()
+        return pa.RecordBatch.from_arrays(arrays, names=self.names)
+
+
 def _public(ranks: str) -> tuple[str, str]:
     import public_tokenizers
     return public_tokenizers.path(ranks), public_tokenizers.PATTERN
@@ -285,25 +331,23 @@ def encode_texts(docs: DataFrame, ranks: str = RANKS, keep_ids: bool = False) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = encoder(*_public(ranks))
         name = made.text_of.__getitem__
-        for batch in batches:
-            columns: list[list] = [[] for _ in range(4 if keep_ids else 3)]
-            texts = (text.as_py() or "" for text in batch.column(1))
-            for steps in made.encode_many(texts):
-                n, of_ids, of_bytes = 0, hashlib.sha256(), hashlib.sha256()
-                all_ids: list[int] = []
-                for ids in steps:
-                    of_ids.update(((" " if n else "") + " ".join(map(name, ids))).encode())
-                    of_bytes.update(made.decode(ids))
-                    n += len(ids)
-                    if keep_ids:
-                        all_ids += ids
-                row = (n, of_ids.hexdigest(), of_bytes.hexdigest(), all_ids)
-                for column, value in zip(columns, row):
-                    column.append(value)
-            types = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))],
-                names=[f.split()[0] for f in schema.split(", ")])
+        out = _Results(schema, keep_ids)
+        try:
+            for batch in batches:
+                texts = (text.as_py() or "" for text in batch.column(1))
+                for doc_id, steps in zip(batch.column(0), made.encode_many(texts)):
+                    n, of_ids, of_bytes = 0, hashlib.sha256(), hashlib.sha256()
+                    for ids in steps:
+                        of_ids.update(((" " if n else "") + " ".join(map(name, ids))).encode())
+                        of_bytes.update(made.decode(ids))
+                        n += len(ids)
+                        out.hold(ids)
+                    out.end(doc_id.as_py(), n, of_ids.hexdigest(), of_bytes.hexdigest())
+                    if out.size >= BATCH_IDS:
+                        yield out.batch()
+            yield out.batch()
+        finally:
+            made.forget()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
         run, schema)
