@@ -690,6 +690,10 @@ _STATEMENTS: dict[str, str] = {
         SELECT owner_id, activity_id, log_date, completed, note, actual_start_min, actual_end_min, seq
         FROM (SELECT *, row_number() OVER (PARTITION BY owner_id, activity_id, log_date
                                            ORDER BY ts DESC, seq DESC) AS k FROM edits) WHERE k = 1""",
+    "logs_upsert_by_month": """
+        SELECT owner_id, activity_id, log_date, completed, note, actual_start_min, actual_end_min, seq
+        FROM (SELECT *, row_number() OVER (PARTITION BY owner_id, activity_id, log_date
+                                           ORDER BY ts DESC, seq DESC) AS k FROM edits) WHERE k = 1""",
     "logs_patch_merge": "SELECT * FROM folded",
     "logs_patched": """
         SELECT owner_id, activity_id, log_date,
@@ -864,6 +868,8 @@ _STATEMENTS: dict[str, str] = {
     "stream_log_state": "SELECT * FROM folded",
     "stream_tally_changes": "SELECT * FROM stream_tallies",
     "stream_day_tally": "SELECT * FROM stream_tallies",
+    "stream_windowed_weeks": f"""
+        SELECT owner_id, {_week('ts')} AS week_start, CAST(count(*) AS BIGINT) AS edits FROM edits GROUP BY ALL""",
     "stream_week_edits": f"""
         SELECT owner_id, {_week('ts')} AS week_start, count(*) AS edits FROM edits GROUP BY ALL""",
 }

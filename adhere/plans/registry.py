@@ -631,6 +631,16 @@ def tables_round_trip(t):
     return reduce(DataFrame.unionByName, read)
 
 
+@_query
+def logs_upsert_by_month(t):
+    """The feed into a table on disk: only the months it touches are read and written."""
+    before, feed = _split(_log_rows(t.edits))
+    path = f"{work_path(t.spark, 'logs')}/logs"
+    sinks.write_months(upserts.latest_per_key(before, upserts.LOG_KEY, ["ts", "seq"]), path)
+    sinks.upsert_months(feed, path, ["ts", "seq"])
+    return sinks.read_months(t.spark, path, feed.schema).drop("ts")
+
+
 # ---- streams, run until their input is used up
 
 @_query
@@ -667,6 +677,17 @@ def stream_log_state(t):
     return log_feed.logs_of_state(t.spark, f"{where}/rows")
 
 
+@_query
+def stream_windowed_weeks(t):
+    """Weekly edits from windows under a watermark, with what came too late for them; every part of the
+    feed covers the whole month, so most of the later parts' edits are late."""
+    where = work_path(t.spark, "stream-windows")
+    for _ in log_feed.arrivals(t.edits, f"{where}/in", 3):
+        log_feed.follow_windowed_weeks(log_feed.arrived(t.edits, f"{where}/in"), f"{where}/out",
+                                       f"{where}/checkpoint")
+    return log_feed.windowed_weeks(t.spark, f"{where}/out").select("owner_id", "week_start", "edits")
+
+
 @_query
 def stream_week_edits(t):
     where = work_path(t.spark, "stream-weeks")

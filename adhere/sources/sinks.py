@@ -1,9 +1,14 @@
-"""Writing. Every writer makes a whole new folder; readers switch to it."""
+"""Writing. Writers make a whole new folder, and readers switch to it; only ``upsert_months`` changes a
+table in place, and of it the months its feed touches."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..operators.upserts import LOG_KEY, upsert
+from ..session import store
 
 
 def write_rows(df: DataFrame, path: str) -> None:
@@ -24,6 +29,49 @@ def write_logs(logs: DataFrame, path: str) -> None:
          .write.mode("errorifexists").partitionBy("log_month").parquet(path))
 
 
+def _by_month(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("log_month", F.date_format("log_date", "yyyy-MM")).hint(
+        "rebalance", "log_month").sortWithinPartitions("log_month", "owner_id", "log_date")
+
+
+def write_months(rows: DataFrame, path: str) -> None:
+    """A table of logs with whatever order columns it has, one folder per month."""
+    _by_month(rows).write.mode("errorifexists").partitionBy("log_month").parquet(path)
+
+
+def read_months(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("log_month", T.StringType())])).parquet(
+        path).drop("log_month")
+
+
+def upsert_months(feed: DataFrame, path: str, order: list[str], removed: str | None = None) -> list[str]:
+    """Upserts a feed of whole rows into a table of ``write_months``; returns the months it touched.
+
+    Only those months are read and written: their folders are replaced, all other files stay as they are. The
+    merged rows go to the shared folder first, as a table cannot be replaced while it is read; if the job fails
+    between, running it again with the same feed gives the same table. One job at a time may write a table.
+    The months' names come to the driver. ``removed`` names a tombstone flag of the feed. A month whose last
+    row is removed keeps one empty file. A feed without rows changes nothing.
+    """
+    spark = feed.sparkSession
+    dated = feed.where(F.col("log_date").isNotNull()).withColumn("log_month", F.date_format("log_date", "yyyy-MM"))
+    months = sorted(r.log_month for r in dated.select("log_month").distinct().collect())
+    if not months:
+        return []
+    columns = [c for c in feed.columns if c != removed]
+    fields = [f for f in feed.schema.fields if f.name != removed]
+    current = spark.read.schema(T.StructType([*fields, T.StructField("log_month", T.StringType())])).parquet(
+        path).where(F.col("log_month").isin(months)).select(*columns)
+    merged = store(upsert(current, feed.where(F.col("log_date").isNotNull()), LOG_KEY, order, removed), "merged-months")
+    # Replaces the folders of the months there are rows of; a month that lost all of its rows is emptied after it.
+    _by_month(merged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "log_month").parquet(path)
+    left = {r.m for r in merged.select(F.date_format("log_date", "yyyy-MM").alias("m")).distinct().collect()}
+    for month in set(months) - left:
+        merged.limit(0).write.mode("overwrite").parquet(f"{path}/log_month={month}")
+    return months
+
+
 def write_documents(df: DataFrame, path: str) -> None:
     """Nested documents as JSON lines; null fields are kept."""
     df.write.mode("errorifexists").option("ignoreNullFields", "false").json(path)

@@ -8,6 +8,7 @@ all deltas, in any order and with any split into batches.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -338,6 +339,60 @@ def live_weekly_counts(patches: DataFrame, lateness: str = "7 days") -> DataFram
             .select("owner_id", monday.alias("week_start"), "edits"))
 
 
+ON_TIME_SCHEMA = T.StructType([T.StructField("owner_id", T.LongType()), T.StructField("ts", T.TimestampNTZType())])
+
+
+def split_by_lateness(batch: DataFrame, behind: dt.datetime | None, lateness: str) -> DataFrame:
+    """Rows (owner_id, ts) with ``late``: their week had ended ``lateness`` before ``behind``, the newest
+    time of all earlier batches. Before the first batch nothing is late."""
+    rows = batch.select("owner_id", "ts")
+    if behind is None:
+        return rows.withColumn("late", F.lit(False))
+    week_end = F.date_add(D.week_start(F.to_date("ts")), 7).cast("timestamp_ntz")
+    mark = F.lit(behind).cast("timestamp_ntz") - F.expr(f"interval {lateness}")
+    return rows.withColumn("late", F.coalesce(week_end <= mark, F.lit(False)))
+
+
+def follow_windowed_weeks(patches: DataFrame, path: str, checkpoint: str, lateness: str = "7 days") -> None:
+    """Weekly counts by event-time windows of bounded state, and what comes too late for them.
+
+    A first stream parts each batch: edits whose week's window is closed are counted apart, in ``late``,
+    the others go on as files, and the newest time so far is kept. A second stream counts those files by windows
+    under a watermark. Its watermark is never ahead of the one the parting went by, however batches
+    are split, so it drops nothing. The streams run one after the other: a batch of the first that is replayed
+    overwrites files the second has not seen.
+    """
+    def part(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        behind = None
+        if batch_id:
+            behind = read_batches(spark, f"{path}/newest", NEWEST_SCHEMA).where(
+                F.col("batch") == batch_id - 1).first().newest
+        split = split_by_lateness(batch, behind, lateness).persist()
+        write_batch(split.where("NOT late").select("owner_id", "ts"), f"{path}/on-time", batch_id)
+        write_batch(week_counts(split.where("late")), f"{path}/late", batch_id)
+        newest = split.agg(F.greatest(F.max("ts"), F.lit(behind).cast("timestamp_ntz")).alias("newest"))
+        write_batch(newest, f"{path}/newest", batch_id)
+        split.unpersist()
+
+    run_available(patches, part, f"{checkpoint}/parting")
+    on_time = patches.sparkSession.readStream.schema(ON_TIME_SCHEMA).option(
+        "recursiveFileLookup", "true").parquet(f"{path}/on-time")
+    follow_live_weekly_counts(on_time, f"{path}/windows", f"{checkpoint}/windows", lateness)
+
+
+NEWEST_SCHEMA = T.StructType([T.StructField("newest", T.TimestampNTZType())])
+
+
+def windowed_weeks(spark: SparkSession, path: str) -> DataFrame:
+    """(owner_id, week_start, edits, late_edits): all edits of each week, and how many of them came late."""
+    zero = F.lit(0).cast("long")
+    windows = live_counts(spark, f"{path}/windows").withColumn("late_edits", zero)
+    late = current_weekly_counts(spark, f"{path}/late").withColumn("late_edits", F.col("edits"))
+    return windows.unionByName(late).groupBy("owner_id", "week_start").agg(
+        F.sum("edits").alias("edits"), F.sum("late_edits").alias("late_edits"))
+
+
 def follow_live_weekly_counts(patches: DataFrame, counts_path: str, checkpoint: str,
                               lateness: str = "7 days") -> None:
     def each(batch: DataFrame, batch_id: int) -> None:
