@@ -12,6 +12,7 @@ from ..functions import names as N
 from ..functions.rows import several_rows
 from ..sources.readers import recurring
 from .latest import latest_per_key
+from .lookups import lookup
 
 
 def of_codes(profiles: DataFrame, codes: DataFrame) -> DataFrame:
@@ -60,11 +61,12 @@ def resolve_requests(requests: DataFrame, profiles: DataFrame) -> DataFrame:
     A request that names no permission asks for the least one.
     """
     people = profiles.where(F.col("share_code").isNotNull()).select(
-        "share_code", F.col("owner_id").alias("viewer_id"), "username")
+        F.col("share_code").alias("known_code"), F.col("owner_id").alias("viewer_id"), "username")
     typed = requests.withColumns({
         "share_code": N.clean_code(F.col("code")),
         "permission": F.coalesce("permission", F.lit(DEFAULT_PERMISSION))})
-    found = typed.join(people, "share_code", "left")
+    # A code that many type, known or not, does not gather its requests in one task.
+    found = lookup(typed, people, "share_code", "known_code", "left")
     return found.withColumn(
         "outcome",
         F.when(F.col("share_code") == "", "blank")

@@ -120,8 +120,7 @@ def progress_by_day(profiles: DataFrame, activities: DataFrame, logs: DataFrame,
     shown = (F.when(kind == "weekly", at == F.col("week_start"))
              .when(kind == "monthly", at == F.col("month_start"))
              .otherwise((D.week_start(at) == F.col("week_start")) & (D.month_start(at) == F.col("month_start"))))
-    numbered = publish._in_parts(goals.join(people.select("owner_id"), "owner_id"), ["owner_id"],
-                                 ["created_at", "goal_id"], part_size)
+    numbered = publish._numbered_goals(goals.join(people.select("owner_id"), "owner_id"), part_size)
     actuals = G.goal_actuals(goals, activities, logs, horizon)
     goal_rows = spread(numbered).withColumn("period_start", F.when(
         F.col("period_type") == "weekly", F.col("week_start")).otherwise(F.col("month_start"))).join(

@@ -27,6 +27,7 @@ from ..model import Horizon
 from ..operators import adherence, goals as G, occurrences as O
 from ..operators.ranking import with_positions
 from ..operators.reflections import redacted
+from ..session import store
 
 PART_SIZE = 1000
 
@@ -45,13 +46,40 @@ def _in_parts(items: DataFrame, keys: list[str], order: list[str], part_size: in
         "part_count": F.ceil(F.col("_size") / part_size).cast("int")}).drop("_pos", "_size")
 
 
+def _short_and_long(rows: DataFrame, part_size: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of owners with at most ``part_size`` of them, and those of the others, if there are any.
+
+    Lists made of the former have one part, so nothing in them needs a number, a sort or a second
+    look; whether there are others is the one answer that comes to the driver.
+    """
+    many = rows.groupBy("owner_id").agg(F.count(F.lit(1)).alias("n")).where(
+        F.col("n") > part_size).select("owner_id")
+    if many.isEmpty():
+        return rows, None
+    many = store(many, "long-lists")
+    return rows.join(many, "owner_id", "left_anti"), rows.join(many, "owner_id", "left_semi")
+
+
+def _one_part(items: DataFrame) -> DataFrame:
+    return items.withColumns({"part_no": F.lit(0), "part_count": F.lit(1)})
+
+
 def _agenda_items(activities: DataFrame, logs: DataFrame, people: DataFrame,
                   horizon: Horizon, part_size: int) -> DataFrame:
-    """(owner_id, d, part_no, part_count, who, item): the item starts with its sort key."""
+    """(owner_id, d, who, item, part_no, part_count): the item starts with its sort key."""
     kept = activities.where(F.col("entry_date").isNull()
-                            | F.col("entry_date").between(horizon.start, horizon.end)) \
-        .join(people, "owner_id")
-    rows = O.agenda(kept, redacted(logs, "note"), horizon)
+                            | F.col("entry_date").between(horizon.start, horizon.end))
+    short, long = _short_and_long(kept, part_size)
+    items = _one_part(_listed(short, logs, people, horizon))
+    if long is None:
+        return items
+    return items.unionByName(_in_parts(
+        _listed(long, logs, people, horizon), ["owner_id", "d"],
+        ["item.sort_order", "item.created_at", "item.activity_id"], part_size))
+
+
+def _listed(activities: DataFrame, logs: DataFrame, people: DataFrame, horizon: Horizon) -> DataFrame:
+    rows = O.agenda(activities.join(people, "owner_id"), redacted(logs, "note"), horizon)
     shown = F.struct(
         "title", "category",
         C.hhmm(F.col("planned_start_min")).alias("planned_start"),
@@ -60,11 +88,15 @@ def _agenda_items(activities: DataFrame, logs: DataFrame, people: DataFrame,
         C.hhmm(F.col("actual_start_min")).alias("actual_start"),
         C.hhmm(F.col("actual_end_min")).alias("actual_end"),
         "note")
-    items = rows.select("owner_id", "d", F.struct("share_code", "owner_name").alias("who"),
-                        F.struct("sort_order", "created_at", "activity_id",
-                                 shown.alias("shown")).alias("item"))
-    return _in_parts(items, ["owner_id", "d"],
-                     ["item.sort_order", "item.created_at", "item.activity_id"], part_size)
+    return rows.select("owner_id", "d", F.struct("share_code", "owner_name").alias("who"),
+                       F.struct("sort_order", "created_at", "activity_id", shown.alias("shown")).alias("item"))
+
+
+def _numbered_goals(goals: DataFrame, part_size: int) -> DataFrame:
+    short, long = _short_and_long(goals, part_size)
+    if long is None:
+        return _one_part(short)
+    return _one_part(short).unionByName(_in_parts(long, ["owner_id"], ["created_at", "goal_id"], part_size))
 
 
 def _in_order(items: Column) -> Column:
@@ -142,9 +174,8 @@ def past_reflections(profiles: DataFrame, reflections: DataFrame, horizon: Horiz
 
 def _goal_items(goals: DataFrame, activities: DataFrame, logs: DataFrame,
                 people: DataFrame, as_of: dt.date, part_size: int) -> DataFrame:
-    shared = goals.join(people.select("owner_id", F.struct("share_code", "owner_name").alias("who")),
-                        "owner_id")
-    numbered = _in_parts(shared, ["owner_id"], ["created_at", "goal_id"], part_size)
+    numbered = _numbered_goals(goals, part_size).join(
+        people.select("owner_id", F.struct("share_code", "owner_name").alias("who")), "owner_id")
     shown = F.struct("title", F.col("period_type").alias("period"), "metric",
                      F.col("target").cast("double").alias("target"), "actual")
     return G.goals_at(numbered, activities, logs, as_of).select(
