@@ -22,10 +22,12 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +36,9 @@ from .common import stored, table
 
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of text that one chunk holds, more only where a piece is longer.
-CHUNK_CHARS = 1 << 22
+CHUNK_CHARS = 1 << 21
+#: Different pieces a partition remembers, about; a chunk may bring its own on top.
+KNOWN_PIECES = 1 << 18
 #: Pieces encoded in one call.
 CALL_PIECES = 1 << 13
 #: A blank between visible characters: no token of either side reaches over its left edge.
@@ -69,7 +73,7 @@ class Side:
     def ids(self, pieces: list[str]) -> list[list[int]]:
         raise NotImplementedError
 
-    def whole(self, ids: list[int], raw: bytes) -> bool:
+    def spells(self, ids: list[int], raw: bytes) -> bool:
         return b"".join(map(self.bytes_of.__getitem__, ids)) == raw
 
 
@@ -124,46 +128,65 @@ class Text:
     begun: bool = False
 
 
-class Encoded:
-    """The distinct pieces of some texts and the tokens of each on both sides."""
-
-    def __init__(self, sides: tuple[Side, Side], texts: list[list[str]]) -> None:
-        numbers: dict[str, int] = defaultdict()
-        numbers.default_factory = numbers.__len__
-        self.codes = [np.fromiter(map(numbers.__getitem__, t), np.int64, len(t)) for t in texts]
-        pieces = list(numbers)
-        self.good = np.ones(len(pieces), bool)
-        self.tokens = []  # per side: (ids, first place of each piece, their number)
-        for side in sides:
-            flat, lengths = [], []
-            for start in range(0, len(pieces), CALL_PIECES):
-                part = pieces[start:start + CALL_PIECES]
-                found = side.ids(part)
-                for k, (piece, ids) in enumerate(zip(part, found), start):
-                    if not side.whole(ids, b" " + piece.encode()):
-                        self.good[k] = False
-                lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
-                flat.append(np.fromiter((i for ids in found for i in ids), np.int32,
-                                        int(lengths[-1].sum())))
-            lengths = np.concatenate([np.zeros(0, np.int64), *lengths])
-            self.tokens.append((np.concatenate([np.zeros(0, np.int32), *flat]),
-                                np.cumsum(lengths) - lengths, lengths))
-
-    def whole(self, sides: tuple[Side, Side], text: int, pieces: list[str]) -> bool:
+class Pieces:
+    """The distinct pieces of a partition's texts and the tokens of each on both sides.
+
+    Pieces are known until there are ``KNOWN_PIECES`` of them, and then are learned anew.
+    """
+
+    def __init__(self, sides: tuple[Side, Side]) -> None:
+        self.sides = sides
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers: dict[str, int] = defaultdict()
+        self.numbers.default_factory = self.numbers.__len__
+        self.good = np.zeros(0, bool)
+        # Per side: ids, first place of each piece, their number.
+        self.tokens = [(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in self.sides]
+
+    def codes(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The numbers of each text's pieces; new pieces are encoded."""
+        if len(self.numbers) > KNOWN_PIECES:
+            self._forget()
+        known = len(self.numbers)
+        codes = [np.fromiter(map(self.numbers.__getitem__, t), np.int32, len(t)) for t in texts]
+        new = list(islice(self.numbers, known, None))
+        for start in range(0, len(new), CALL_PIECES):
+            self._learn(new[start:start + CALL_PIECES])
+        return codes
+
+    def _learn(self, pieces: list[str]) -> None:
+        raw = (" " + " ".join(pieces)).encode()
+        sizes = pc.binary_length(pa.array(pieces, pa.large_string())).to_numpy().astype(np.int64) + 1
+        good = np.ones(len(pieces), bool)
+        for k, side in enumerate(self.sides):
+            found = side.ids(pieces)
+            counts = np.fromiter(map(len, found), np.int64, len(found))
+            ids = np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum()))
+            at = np.concatenate([[0], np.cumsum(side.lengths[ids])])[np.concatenate([[0], np.cumsum(counts)])]
+            # All at once: equal bytes, and each piece ends where it should.
+            if not ((np.diff(at) == sizes).all() and side.spells(ids.tolist(), raw)):
+                good &= [side.spells(i, b" " + p.encode()) for p, i in zip(pieces, found)]
+            old_ids, old_first, old_counts = self.tokens[k]
+            self.tokens[k] = (np.concatenate([old_ids, ids]),
+                              np.concatenate([old_first, len(old_ids) + np.cumsum(counts) - counts]),
+                              np.concatenate([old_counts, counts]))
+        self.good = np.concatenate([self.good, good])
+
+    def spelled(self, codes: np.ndarray, pieces: list[str]) -> bool:
         """Whether the tokens' bytes are those of the text; only odd pieces need a look at them."""
-        codes = self.codes[text]
         if self.good[codes].all():
             return True
         raw = b"".join(b" " + p.encode() for p in pieces)
-        return all(side.whole(ids[_ragged(first[codes], n[codes])].tolist(), raw)
-                   for side, (ids, first, n) in zip(sides, self.tokens))
+        return all(side.spells(ids[_ragged(first[codes], n[codes])].tolist(), raw)
+                   for side, (ids, first, n) in zip(self.sides, self.tokens))
 
-    def stream(self, side: int, chosen: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, number of tokens of each chosen text) of one side."""
+    def stream(self, side: int, codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of tokens of each text) of one side."""
         ids, first, n = self.tokens[side]
-        codes = [self.codes[t] for t in chosen]
         counts = np.array([n[c].sum() for c in codes], np.int64)
-        at = np.concatenate([np.zeros(0, np.int64), *codes])
+        at = np.concatenate([np.zeros(0, np.int32), *codes])
         return ids[_ragged(first[at], n[at])], counts
 
 
@@ -182,33 +205,28 @@ def overlaps(a_start: np.ndarray, a_doc: np.ndarray, b_start: np.ndarray,
     return np.concatenate([np.arange(len(a)), of_b[later]]), np.concatenate([of_a, later])
 
 
-def _group_hashes(ids: np.ndarray, group: np.ndarray, place: np.ndarray, n: int,
-                  salt: int) -> np.ndarray:
+def _group_hashes(ids: np.ndarray, place: np.ndarray, starts: np.ndarray, salt: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = (ids.astype(np.uint64) + np.uint64(1) + (place.astype(np.uint64) << np.uint64(32))
              + np.uint64(salt) * MIX) * MIX
         h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
-        out = np.zeros(n, np.uint64)
-        if n:
-            out = np.add.reduceat(h, np.searchsorted(group, np.arange(n)))
-    return out
+        return np.add.reduceat(h, starts) if len(starts) else np.zeros(0, np.uint64)
 
 
-def _kinds(a_ids, a_group, b_ids, b_group, n) -> tuple[np.ndarray, np.ndarray, tuple, tuple]:
-    """Numbers of equal groups from 0, the first group of each number, both sides' bounds.
+def _kinds(a_ids, a_group, a_bounds, b_ids, b_group, b_bounds) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of equal groups from 0, and the first group of each number.
 
     Groups are put together by a hash, and every group is compared with the first of its number;
     a false match, if there ever is one, starts again with another hash.
     """
-    bounds = [(np.searchsorted(g, np.arange(n)), np.searchsorted(g, np.arange(n), side="right"))
-              for g in (a_group, b_group)]
+    bounds, n = (a_bounds, b_bounds), len(a_bounds[0])
     places = [np.arange(len(i)) - lo[g] for i, g, (lo, _) in zip(
         (a_ids, b_ids), (a_group, b_group), bounds)]
     salt = 1
     while True:
-        key = _group_hashes(a_ids, a_group, places[0], n, salt) \
-            + MIX * _group_hashes(b_ids, b_group, places[1], n, salt + 1)
+        key = _group_hashes(a_ids, places[0], a_bounds[0], salt) \
+            + MIX * _group_hashes(b_ids, places[1], b_bounds[0], salt + 1)
         kind, different = pd.factorize(key)
         first = np.zeros(len(different), np.int64)
         first[kind[::-1]] = np.arange(n)[::-1]
@@ -217,15 +235,15 @@ def _kinds(a_ids, a_group, b_ids, b_group, n) -> tuple[np.ndarray, np.ndarray, t
             (ids == ids[lo[twin[g]] + p]).all() for ids, g, p, (lo, _) in zip(
                 (a_ids, b_ids), (a_group, b_group), places, bounds))
         if same:
-            return kind, first, *bounds
+            return kind, first
         salt += 2
 
 
-def pack(chunk: int, sides: tuple[Side, Side], encoded: Encoded, parts: list[tuple[Text, int, bool]],
+def pack(chunk: int, known: Pieces, parts: list[tuple[Text, np.ndarray, bool]],
          none: list[Text]) -> pa.RecordBatch:
-    """One chunk: ``parts`` are (text, its number in ``encoded``, whether it ends here)."""
-    chosen = [at for _, at, _ in parts]
-    (a_ids, n_a), (b_ids, n_b) = (encoded.stream(s, chosen) for s in (0, 1))
+    """One chunk: ``parts`` are (text, numbers of its pieces, whether it ends here)."""
+    sides, chosen = known.sides, [codes for _, codes, _ in parts]
+    (a_ids, n_a), (b_ids, n_b) = (known.stream(s, chosen) for s in (0, 1))
     ends = [np.cumsum(side.lengths[ids]) for side, ids in zip(sides, (a_ids, b_ids))]
     starts = [e - side.lengths[ids] for e, side, ids in zip(ends, sides, (a_ids, b_ids))]
     docs = [np.repeat(np.arange(len(parts)), n) for n in (n_a, n_b)]
@@ -234,7 +252,9 @@ def pack(chunk: int, sides: tuple[Side, Side], encoded: Encoded, parts: list[tup
     cuts = [np.isin(ends[0], ends[1], assume_unique=True), np.isin(ends[1], ends[0], assume_unique=True)]
     group = [np.cumsum(c) - c for c in cuts]
     n = int(cuts[0].sum())
-    kind, first, a_bounds, b_bounds = _kinds(a_ids, group[0], b_ids, group[1], n)
+    ends_at = [np.flatnonzero(c) + 1 for c in cuts]
+    a_bounds, b_bounds = ((np.concatenate([[0], e])[:-1], e) for e in ends_at)
+    kind, first = _kinds(a_ids, group[0], a_bounds, b_ids, group[1], b_bounds)
     group_end = np.searchsorted(docs[0][cuts[0]], np.arange(len(parts)), side="right")
 
     names = [",".join(map(str, a_ids[a0:a1].tolist())) + "|" + ",".join(map(str, b_ids[b0:b1].tolist()))
@@ -294,6 +314,7 @@ def chunks(texts: Iterator[tuple[int | None, str | None]], sides: tuple[Side, Si
            chars: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
     """Chunks of bounded size; a text longer than one goes through several, in steps."""
     made = rows = 0
+    known = Pieces(sides)
     held: list[tuple[Text, list[str]]] = []
     none: list[Text] = []
     size = 0
@@ -302,14 +323,14 @@ def chunks(texts: Iterator[tuple[int | None, str | None]], sides: tuple[Side, Si
         return part << 33 | count
 
     def flush() -> pa.RecordBatch:
-        encoded = Encoded(sides, [p for _, p in held])
+        codes = known.codes([pieces for _, pieces in held])
         parts = []
-        for at, (text, pieces) in enumerate(held):
-            if encoded.whole(sides, at, pieces):
-                parts.append((text, at, True))
+        for (text, pieces), own in zip(held, codes):
+            if known.spelled(own, pieces):
+                parts.append((text, own, True))
             else:
                 none.append(text)
-        return pack(number(made), sides, encoded, parts, none)
+        return pack(number(made), known, parts, none)
 
     for doc_id, raw in texts:
         text = Text(number(rows), doc_id)
@@ -323,10 +344,9 @@ def chunks(texts: Iterator[tuple[int | None, str | None]], sides: tuple[Side, Si
         else:
             steps = list(_steps(CUT.split(raw), chars))
             # Whether it has tokens at all is known before the first link counts.
-            if all(Encoded(sides, [s]).whole(sides, 0, s) for s in steps):
+            if all(known.spelled(known.codes([s])[0], s) for s in steps):
                 for k, step in enumerate(steps):
-                    yield pack(number(made), sides, Encoded(sides, [step]),
-                               [(text, 0, k == len(steps) - 1)], [])
+                    yield pack(number(made), known, [(text, known.codes([step])[0], k == len(steps) - 1)], [])
                     made += 1
             else:
                 none.append(text)

@@ -130,8 +130,24 @@ def test_overlaps_equal_all_pairs(texts):
 def test_equal_groups_are_compared_beyond_their_hash(monkeypatch):
     # With a hash that says nothing at first, the comparison finds it out and takes the next.
     plain = A._group_hashes
-    monkeypatch.setattr(A, "_group_hashes", lambda i, g, p, n, salt: np.zeros(n, np.uint64) if salt < 3
-                        else plain(i, g, p, n, salt))
-    kind, first, *_ = A._kinds(np.array([1, 2, 1]), np.array([0, 1, 2]), np.array([7, 8, 9, 7]),
-                               np.array([0, 1, 1, 2]), 3)
+    monkeypatch.setattr(A, "_group_hashes", lambda i, p, starts, salt: np.zeros(len(starts), np.uint64) if salt < 3
+                        else plain(i, p, starts, salt))
+    kind, first = A._kinds(
+        np.array([1, 2, 1]), np.array([0, 1, 2]), (np.array([0, 1, 2]), np.array([1, 2, 3])),
+        np.array([7, 8, 9, 7]), np.array([0, 1, 1, 2]), (np.array([0, 1, 3]), np.array([1, 3, 4])))
     assert kind.tolist() == [0, 1, 0] and first.tolist() == [0, 1]
+
+
+def test_pieces_are_forgotten_and_learned_anew(sides, monkeypatch):
+    texts = [(i, f"w{i} common a▁b" if i % 9 == 0 else f"w{i} common words {i % 4}") for i in range(300)]
+    whole = list(A.chunks(iter(texts), sides, 0, 1 << 20))
+    monkeypatch.setattr(A, "KNOWN_PIECES", 20)
+    parts = list(A.chunks(iter(texts), sides, 0, 200))
+    assert len(whole) == 1 and len(parts) > 20
+
+    def seen(batches):
+        out = {}
+        for b in (b.to_pylist()[0] for b in batches):
+            out |= {d: (x, y, z) for d, x, y, z in zip(b["doc_id"], b["n_a"], b["n_b"], b["digest"])}
+        return out
+    assert seen(whole) == seen(parts) and seen(whole)[9] == (0, 0, "")
