@@ -128,7 +128,8 @@ def kept_documents(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """
     digests = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
                           text_digest(F.col("text")).alias("digest"))
-    new = stored(index.new_of(counted(digests)), "new-digests")
+    # Stored before the anti-join, which the optimizer would else move below the sums.
+    new = stored(index.new_of(stored(counted(digests), "batch-digests")), "new-digests")
     index.append(new)
     return one_row_each(docs, new.select(F.col("keep_id").alias("doc_id"), "digest"))
 
