@@ -54,6 +54,8 @@ class TableRules:
     enums: dict[str, tuple[str, ...]] = field(default_factory=dict)
     # column(s) here -> (table, column(s) there)
     references: tuple[tuple[tuple[str, ...], str, tuple[str, ...]], ...] = ()
+    # references that become null when their row is deleted; the others delete the row here as well
+    set_null: tuple[tuple[str, ...], ...] = ()
 
 
 _OWNER = (("owner_id",), "profiles", ("owner_id",))
@@ -65,7 +67,7 @@ TABLES: dict[str, TableRules] = {
         ACTIVITIES, ("activity_id",), (),
         ("owner_id", "title", "day_type", "category", "sort_order"),
         {"day_type": V.DAY_TYPES},
-        (_OWNER, (("goal_id",), "goals", ("goal_id",)))),
+        (_OWNER, (("goal_id",), "goals", ("goal_id",))), (("goal_id",),)),
     "logs": TableRules(
         LOGS, ("owner_id", "activity_id", "log_date"), (),
         ("owner_id", "activity_id", "log_date", "completed"), {},

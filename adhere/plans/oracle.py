@@ -460,6 +460,12 @@ _KEYS = {
     "logs": "concat_ws('|', owner_id, activity_id, strftime(log_date, '%Y-%m-%d'))",
     "reflections": "concat_ws('|', owner_id, period_type, strftime(period_date, '%Y-%m-%d'))",
     "shares": "concat_ws('|', owner_id, viewer_id)", "goals": "CAST(goal_id AS VARCHAR)"}
+_CLOSED = "owner_id IN (SELECT owner_id FROM closed)"
+_REMOVED = {name: _CLOSED for name in _KEYS} | {
+    "shares": f"{_CLOSED} OR viewer_id IN (SELECT owner_id FROM closed)",
+    "goals": f"{_CLOSED} OR target = 0",
+    "activities": f"{_CLOSED} OR title IN ('error', 'extra error')",
+    "logs": f"{_CLOSED} OR activity_id IN (SELECT activity_id FROM activities WHERE title IN ('error', 'extra error'))"}
 
 _STATEMENTS: dict[str, str] = {
     "week_adherence": f"SELECT *, {_pct('done', 'planned')} AS pct FROM weeks",
@@ -788,6 +794,11 @@ _STATEMENTS: dict[str, str] = {
         f"WHERE owner_id NOT IN (SELECT owner_id FROM closed)"
         + (" AND viewer_id NOT IN (SELECT owner_id FROM closed)" if name == "shares" else "")
         for name, key in _KEYS.items()),
+    "removals_by_reference": " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, {key} AS row_key, CASE WHEN {_REMOVED[name]} THEN 'removed' "
+        f"ELSE 'kept' END AS fate FROM {name}" for name, key in _KEYS.items()) + f"""
+        UNION ALL SELECT 'activities', {_KEYS['activities']}, 'unlinked' FROM activities
+        WHERE NOT ({_REMOVED['activities']}) AND goal_id IN (SELECT goal_id FROM goals WHERE {_REMOVED['goals']})""",
     "tables_round_trip": " UNION ALL ".join(
         f"SELECT '{name}' AS table_name, {key} AS row_key, "
         f"{'true' if name == 'activities' else 'false'} AS goal_lost FROM {name}"

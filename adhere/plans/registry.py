@@ -444,6 +444,17 @@ def owner_erasure(t):
     return reduce(DataFrame.unionByName, [_row_keys(df, name) for name, df in left.items()])
 
 
+@_query
+def removals_by_reference(t):
+    """Closed accounts, dropped activities and dropped goals removed at once, with all that refers to them."""
+    tables = {name: t.kept(name) if name in ("activities", "logs") else getattr(t, name) for name in TABLES}
+    left, record = removals.remove(tables, {
+        "profiles": t.closed_accounts, "activities": t.dropped_activities, "goals": t.dropped_goals})
+    kept = reduce(DataFrame.unionByName, [_row_keys(df, name, F.lit("kept").alias("fate")) for name, df in left.items()])
+    unlinked = record.where("fate = 'unlinked'").select("table_name", "row_key", F.lit("unlinked").alias("fate"))
+    return kept.unionByName(unlinked).unionByName(record.where("fate = 'removed'").drop("cause"))
+
+
 def _row_keys(df: DataFrame, name: str, *more: Column) -> DataFrame:
     return df.select(F.lit(name).alias("table_name"), F.concat_ws(
         "|", *[F.col(k).cast("string") for k in TABLES[name].key]).alias("row_key"), *more)

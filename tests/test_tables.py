@@ -252,3 +252,81 @@ def test_who_may_write(spark):
         == [(1, 1), (1, 2), (3, 3)]
     assert values(S.with_permission(edits, granted, own_only=True).where("permitted"), "owner_id") \
         == [(1,), (3,)]
+
+
+def _graph(spark):
+    from helpers import table as t
+    return {
+        "profiles": t(spark, "profiles", [dict(owner_id=i) for i in (1, 2, 3)]),
+        "goals": t(spark, "goals", [dict(goal_id=i, owner_id=o) for i, o in ((10, 1), (11, 1), (20, 2))]),
+        "activities": t(spark, "activities", [
+            dict(activity_id=a, owner_id=o, goal_id=g) for a, o, g in (
+                ("a", 1, 10), ("b", 1, None), ("c", 2, 20), ("d", 2, 10), ("e", 3, 99))]),
+        "logs": t(spark, "logs", [dict(owner_id=o, activity_id=a, log_date=D(2024, 1, 1))
+                                  for o, a in ((1, "a"), (2, "a"), (2, "c"), (3, "e"), (3, "zz"))]),
+        "reflections": t(spark, "reflections", [
+            dict(owner_id=o, period_type="daily", period_date=D(2024, 1, 1)) for o in (1, 3)]),
+        "shares": t(spark, "shares", [dict(owner_id=a, viewer_id=b) for a, b in ((1, 2), (2, 3), (3, 1))]),
+    }
+
+
+def _keys_of(spark, name, *keys):
+    from adhere.model import TABLES
+    fields = [f for f in TABLES[name].schema if f.name in TABLES[name].key]
+    return spark.createDataFrame([k if isinstance(k, tuple) else (k,) for k in keys], type(TABLES[name].schema)(fields))
+
+
+def _left(tables):
+    from adhere.model import TABLES
+    return {n: sorted(tuple(r[k] for k in TABLES[n].key) for r in df.collect()) for n, df in tables.items()}
+
+
+def test_removals_follow_the_references(spark):
+    from adhere.operators import removals as R
+    tables = _graph(spark)
+    left, record = R.remove(tables, {"profiles": _keys_of(spark, "profiles", 1, 1, 77), "goals": _keys_of(spark, "goals", 20)})
+    got = _left(left)
+    assert got["profiles"] == [(2,), (3,)] and got["goals"] == []
+    assert got["activities"] == [("c",), ("d",), ("e",)] and got["shares"] == [(2, 3)] and len(got["reflections"]) == 1
+    assert [k[:2] for k in got["logs"]] == [(2, "c"), (3, "e"), (3, "zz")]
+    assert {r.activity_id: r.goal_id for r in left["activities"].collect()} == {"c": None, "d": None, "e": 99}
+    rows = {(r.table_name, r.row_key): (r.fate, r.cause) for r in record.collect()}
+    assert rows["profiles", "1"] == ("removed", "given") and rows["goals", "10"] == ("removed", "owner_id -> profiles")
+    assert rows["goals", "20"] == ("removed", "given") and rows["activities", "d"] == ("unlinked", "goal_id")
+    assert rows["logs", "2|a|2024-01-01"] == ("removed", "activity_id -> activities")
+    assert rows["shares", "3|1"] == ("removed", "viewer_id -> profiles") and len(rows) == record.count() == 13
+    assert all(df.columns == tables[n].columns for n, df in left.items())
+
+
+def test_removals_equal_the_single_ones_and_leave_no_orphans(spark):
+    from adhere.operators import quality, removals as R
+    tables = _graph(spark)
+    gone = _keys_of(spark, "activities", "a", "c")
+    one = R.delete_activities(tables["activities"], tables["logs"], gone)
+    left, record = R.remove(tables, {"activities": gone})
+    assert _left(left) | {} == _left(tables) | _left({n: one[n] for n in ("activities", "logs")})
+    assert record.where("table_name = 'logs'").count() == one["removed_logs"].count() == 3
+    erased = R.erase_owners(tables, _keys_of(spark, "profiles", 2))
+    left, _ = R.remove(tables, {"profiles": _keys_of(spark, "profiles", 2)})
+    # A log of another owner on an erased owner's activity goes as well.
+    assert {n: v for n, v in _left(left).items() if n != "logs"} == {n: v for n, v in _left(erased).items() if n != "logs"}
+    before = {tuple(r) for r in quality.orphans(tables).collect()}
+    assert {tuple(r) for r in quality.orphans(left).collect()} <= before and len(before) == 2
+    same, none = R.remove(tables, {})
+    assert _left(same) == _left(tables) and none.count() == 0
+
+
+def test_tables_come_after_what_they_refer_to():
+    import pytest
+
+    from adhere.model import PROFILES, TABLES, TableRules
+    from adhere.operators import removals as R
+    order = R.dependency_order(TABLES)
+    assert sorted(order) == sorted(TABLES) and all(
+        order.index(t) < order.index(n) for n in TABLES for _, t, _ in TABLES[n].references)
+    ring = {"x": TableRules(PROFILES, ("owner_id",), references=((("a",), "y", ("b",)),)),
+            "y": TableRules(PROFILES, ("owner_id",), references=((("b",), "x", ("a",)),))}
+    with pytest.raises(ValueError, match="ring"):
+        R.dependency_order(ring, ring)
+    with pytest.raises(ValueError, match="goals"):
+        R.remove({}, {"goals": None})
