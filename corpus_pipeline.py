@@ -1,4 +1,8 @@
-"""From raw documents to token ids: five stages, each writing what the next one reads."""
+"""From raw documents to token ids: five stages, each writing what the next one reads.
+
+All stages take null ids, ids that repeat or stand for several texts, null, empty and very long texts, extra
+columns of any name, and empty tables, which give empty tables. All but the last return the columns they got.
+"""
 
 from __future__ import annotations
 
@@ -12,28 +16,45 @@ LEAST_LANGUAGE_SCORE = 0.2
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Goes: texts without a letter, and those far from every language learned here."""
+    """Goes: texts without a letter (null and empty ones), and those far from every language learned here.
+
+    Each row is judged by its own text, so repeated rows stay or go together. Without a document to learn
+    from, all go.
+    """
     return langid.accepted(docs, langid.learned(docs), LEAST_LANGUAGE_SCORE)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Goes: all of equal texts but the one with the largest id."""
+    """Goes: all of equal texts but the one with the largest id.
+
+    One row of each text stays, whatever ids repeat; under a null id only where there is no other.
+    """
     return exact_dedup.kept_documents(docs, exact_dedup.new_index(spark))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Goes: all of a group of near copies but the one with the smallest id."""
+    """Goes: all of a group of near copies but the one with the smallest id.
+
+    One row of each group stays; under a null id only where there is no other. Texts without a word are one group.
+    """
     return simhash.representatives(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target shares: documents repeat, stay, or go as the mix takes them."""
+    """Sources at their target shares: documents repeat, stay, or go as the mix takes them, always whole.
+
+    Null sources are one source. Documents without a word go. Rows that share an id and a number of words stand for the
+    mean of what is taken of them.
+    """
     taken = mixing.mix(docs, mixing.quality_weights(table(spark, sf_dir, "labels")))
     return mixing.mixed_documents(docs, taken)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, with digests of them and of what they decode to."""
+    """Token ids of every text, with digests of them and of what they decode to; a null text has none.
+
+    One row for each row, also for repeated ones.
+    """
     return bpe.encode_texts(docs, keep_ids=True)
 
 
