@@ -220,6 +220,17 @@ def schedules_by_code(t):
     return sharing.public_schedule(found, t.activities)
 
 
+@_query
+def schedules_from_code_table(t):
+    """The same from schedules stored in the order of their codes, with a filter on the codes asked for."""
+    path = f"{work_path(t.spark, 'by-code')}/schedules"
+    schedules = sharing.public_schedule(t.profiles, t.activities)
+    sinks.write_by_code(schedules, path)
+    stored = t.spark.read.schema(schedules.schema).parquet(path)
+    wanted = t.share_requests.select(N.clean_code(F.col("code")).alias("share_code"))
+    return stored.join(wanted, "share_code", "left_semi")
+
+
 @_query
 def share_lists(t):
     return sharing.share_lists(t.profiles, t.shares)

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from .. import fixed_values as V
 from ..functions.clock import parse_hhmm
+from ..functions.names import PAGE_BLANKS
 from ..model import TABLES, Horizon
 from ..operators.latest import latest_per_key
 
@@ -51,6 +52,16 @@ def read_logs(spark: SparkSession, path: str, horizon: Horizon | None = None,
         if newest_only else df
 
 
+def read_code(spark: SparkSession, path: str, schema: T.StructType, typed: str,
+              code: str = "share_code") -> DataFrame:
+    """The rows of one code, as typed, from a table of ``sinks.write_by_code``; no rows if nobody has it.
+
+    The cleaned code is a literal in the scan's filter, so only row groups that may hold it are read.
+    """
+    cleaned = typed.strip(PAGE_BLANKS).upper()
+    return spark.read.schema(schema).parquet(path).where(F.col(code) == F.lit(cleaned))
+
+
 def of_owner(df: DataFrame, owner_id) -> DataFrame:
     return df.where(F.col("owner_id") == owner_id)
 

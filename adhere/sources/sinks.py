@@ -72,6 +72,21 @@ def upsert_months(feed: DataFrame, path: str, order: list[str], removed: str | N
     return months
 
 
+def write_by_code(rows: DataFrame, path: str, code: str = "share_code", group_bytes: int = 8 << 20,
+                  codes_per_group: int = 10_000) -> None:
+    """Rows in the order of a code, for readers that ask for one (``readers.read_code``).
+
+    A range sort gives each file and row group a narrow span of codes, so their minima and maxima rule out all
+    groups but one or two; a Bloom filter per group rules out codes that nobody has. A code with very many
+    rows covers several groups, all of them its own.
+    """
+    (rows.repartitionByRange(code).sortWithinPartitions(code).write.mode("errorifexists")
+     .option("parquet.block.size", group_bytes)
+     .option(f"parquet.bloom.filter.enabled#{code}", "true")
+     .option(f"parquet.bloom.filter.expected.ndv#{code}", codes_per_group)
+     .parquet(path))
+
+
 def write_documents(df: DataFrame, path: str) -> None:
     """Nested documents as JSON lines; null fields are kept."""
     df.write.mode("errorifexists").option("ignoreNullFields", "false").json(path)

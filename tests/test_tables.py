@@ -330,3 +330,33 @@ def test_tables_come_after_what_they_refer_to():
         R.dependency_order(ring, ring)
     with pytest.raises(ValueError, match="goals"):
         R.remove({}, {"goals": None})
+
+
+def _rows_scanned(df):
+    """(rows found, rows the scan gave out before the filter)."""
+    found = df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    todo, scanned = [plan], 0
+    while todo:
+        node = todo.pop()
+        if "FileSourceScan" in node.getClass().getSimpleName():
+            scanned += node.metrics().apply("numOutputRows").value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return found, scanned
+
+
+def test_one_code_reads_one_row_group(spark, tmp_path):
+    from adhere.sources import readers, sinks
+    rows = spark.range(60_000).selectExpr("concat('C', lpad(id % 20000 * 2, 6, '0')) AS share_code", "id AS owner",
+                                          "repeat(md5(cast(id AS string)), 3) AS title")
+    path = str(tmp_path / "codes")
+    sinks.write_by_code(rows.repartition(3), path, group_bytes=256 << 10, codes_per_group=1000)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found, scanned = _rows_scanned(readers.read_code(spark, path, rows.schema, " c012346\t"))
+        assert sorted(r.owner for r in found) == [6173, 26173, 46173] and 3 <= scanned < 6000
+        # A code between two that exist is ruled out by the filter of its group, or costs one group.
+        nobody, scanned = _rows_scanned(readers.read_code(spark, path, rows.schema, "C012347"))
+        assert nobody == [] and scanned < 6000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
