@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import store
@@ -43,11 +44,16 @@ def with_positions(df: DataFrame, keys: list[str], order: list[Column],
         before += counts.get(p, 0)
     place = F.element_at(F.lit(starts), (part + 1).cast("int")) \
         + F.col("_at").bitwiseAND((1 << _PART_BITS) - 1)
-    rows = placed.withColumn("_place", place.cast("long")).drop("_at")
-    groups = rows.groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).agg(
-        F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_size"))
+    rows = placed.withColumns({"_place": place.cast("long"), "_part": part}).drop("_at")
+    # A row per group and partition, however large the group; of one group there is at most one in each.
+    runs = rows.groupBy("_part", *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).agg(
+        F.min("_place").alias("_begin"), F.count(F.lit(1)).alias("_rows"))
+    group = W.partitionBy(*[f"_key{i}" for i in range(len(keys))])
+    runs = runs.select(F.col("_part").alias("_run_part"), *[f"_key{i}" for i in range(len(keys))],
+                       F.min("_begin").over(group).alias("_first"), F.sum("_rows").over(group).alias("_size"))
+    # Rows meet their run, not their group: a large group stays spread over its partitions.
     same = reduce(lambda a, b: a & b, [
         F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)])
-    return rows.join(groups, same).select(
+    return rows.join(runs, same & (F.col("_part") == F.col("_run_part"))).select(
         *df.columns, (F.col("_place") - F.col("_first")).alias(name),
         *([F.col("_size").alias(size)] if size else []))
