@@ -36,20 +36,20 @@ from .common import stored, table
 
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of text that one chunk holds, more only where a piece is longer.
-CHUNK_CHARS = 1 << 21
+CHUNK_CHARS = 1 << 20
 #: Different pieces a partition remembers, about; a chunk may bring its own on top.
 KNOWN_PIECES = 1 << 18
 #: Pieces encoded in one call.
-CALL_PIECES = 1 << 13
+CALL_PIECES = 1 << 10
 #: A blank between visible characters: no token of either side reaches over its left edge.
 CUT = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 #: A chunk: its documents (or parts of them), the groups of each, and what the groups link.
-CHUNK = ("chunk long, row array<long>, doc_id array<long>, n_a array<int>, n_b array<int>, "
-         "digest array<string>, group_end array<int>, groups array<int>, link_end array<int>, "
-         "links array<int>, a array<int>, b array<int>, n array<long>")
+#: Long arrays of numbers are bytes of 32-bit integers, which Spark passes on as they are.
+CHUNK = ("chunk long, row array<long>, doc_id array<long>, n_a binary, n_b binary, digest array<string>, "
+         "group_end binary, groups binary, link_end binary, links binary, a array<int>, b array<int>, n array<long>")
 ANSWER = "row long, doc_id long, " + ", ".join(f"{c} long" for c in COLUMNS) + ", groups_sha256 string"
 
 
@@ -289,12 +289,13 @@ def pack(chunk: int, known: Pieces, parts: list[tuple[Text, np.ndarray, bool]],
         "a": keys >> 32, "b": keys & 0xFFFFFFFF, "n": counts}
     schema = arrow_schema(CHUNK)
     return pa.RecordBatch.from_arrays(
-        [pa.array([values[f.name]], f.type) for f in schema], schema=schema)
+        [pa.array([np.asarray(values[f.name], np.int32).tobytes() if f.type == pa.binary() else values[f.name]],
+                  f.type) for f in schema], schema=schema)
 
 
 def arrow_schema(ddl: str) -> pa.Schema:
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    kinds |= {f"array<{k}>": pa.list_(v) for k, v in kinds.items()}
+    kinds |= {f"array<{k}>": pa.list_(v) for k, v in kinds.items()} | {"binary": pa.binary()}
     return pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in ddl.split(", "))])
 
 
@@ -363,8 +364,15 @@ def _answers(key: tuple, chunk: pa.Table, counts: pa.Table) -> pa.Table:
     schema = arrow_schema(ANSWER)
     if not chunk.num_rows:
         return schema.empty_table()
-    get = {c: chunk.column(c).combine_chunks().flatten() for c in chunk.column_names if c != "chunk"}
-    number = {c: v.to_numpy(zero_copy_only=False) for c, v in get.items() if c not in ("doc_id", "digest")}
+    get, number = {}, {}
+    for c in chunk.column_names[1:]:
+        value = chunk.column(c).combine_chunks()
+        if pa.types.is_binary(value.type):
+            number[c] = np.frombuffer(value[0].as_buffer(), np.int32)
+        else:
+            get[c] = value.flatten()
+            if c not in ("doc_id", "digest"):
+                number[c] = get[c].to_numpy(zero_copy_only=False)
     own = number["a"].astype(np.int64) << 32 | number["b"]
     asked = counts.column("a").to_numpy().astype(np.int64) << 32 | counts.column("b").to_numpy()
     order = np.argsort(asked)
