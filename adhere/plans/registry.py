@@ -609,11 +609,16 @@ def sql_public_schedule(t):
 
 @_query
 def sql_public_day(t):
-    """The day page behind every typed code, for the date it was typed."""
+    """The day page behind every typed code, for the date it was typed.
+
+    Calls are told apart by the columns they take: with the date in one of its own a page is made, and sent,
+    once per code and date, not once per moment.
+    """
     spark = _with_functions(t)
     return spark.sql("""
         SELECT r.seq, to_json(struct(p.*), map('ignoreNullFields', 'false')) AS document
-        FROM {asked} r, LATERAL get_public_day(r.code, CAST(r.ts AS DATE)) p""", asked=t.share_requests)
+        FROM {asked} r, LATERAL get_public_day(r.code, r.d) p""",
+        asked=t.share_requests.select("seq", "code", F.to_date("ts").alias("d")))
 
 
 @_query

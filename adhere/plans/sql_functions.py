@@ -94,6 +94,13 @@ def _period(edge: str) -> str:
     return f"CASE g.period_type WHEN 'weekly' THEN {week} ELSE {month} END"
 
 
+def _texts(period_type: str) -> str:
+    """Shown texts of one kind of reflection. They join finished lists: beside the rows of a list, a text
+    would be shuffled and sorted once for each of its items."""
+    return (f"(SELECT owner_id, period_date, {_strip('content')} AS text FROM {{p}}reflections "
+            f"WHERE period_type = '{period_type}')")
+
+
 _FUNCTIONS = {
     "strip_private(t STRING)": ("STRING", _strip("t")),
     "clean_code(code STRING)": ("STRING", _code("code")),
@@ -116,15 +123,12 @@ _FUNCTIONS = {
     "get_public_day(code STRING, d DATE)": (
         f"TABLE(owner_name STRING, date STRING, activities ARRAY<{_ITEM}>, week_start STRING, "
         "week_reflection STRING, month_start STRING, month_reflection STRING)", f"""
-        SELECT o.owner_name, date_format(o.day, 'yyyy-MM-dd'), {_in_order(_SHOWN)},
-               date_format({_WEEK}, 'yyyy-MM-dd'), {_strip('w.content')},
-               date_format({_MONTH}, 'yyyy-MM-dd'), {_strip('m.content')}
-        FROM {_agenda(_DAY_OWNER)}
-        LEFT JOIN {{p}}reflections w ON w.owner_id = o.owner_id AND w.period_type = 'weekly'
-          AND w.period_date = {_WEEK}
-        LEFT JOIN {{p}}reflections m ON m.owner_id = o.owner_id AND m.period_type = 'monthly'
-          AND m.period_date = {_MONTH}
-        GROUP BY o.owner_id, o.owner_name, o.day, w.content, m.content"""),
+        SELECT o.owner_name, date_format(o.day, 'yyyy-MM-dd'), o.items,
+               date_format({_WEEK}, 'yyyy-MM-dd'), w.text, date_format({_MONTH}, 'yyyy-MM-dd'), m.text
+        FROM (SELECT o.owner_id, o.owner_name, o.day, {_in_order(_SHOWN)} AS items
+              FROM {_agenda(_DAY_OWNER)} GROUP BY o.owner_id, o.owner_name, o.day) o
+        LEFT JOIN {_texts('weekly')} w ON w.owner_id = o.owner_id AND w.period_date = {_WEEK}
+        LEFT JOIN {_texts('monthly')} m ON m.owner_id = o.owner_id AND m.period_date = {_MONTH}"""),
     "get_public_progress(code STRING, today DATE)": (
         f"TABLE(owner_name STRING, today ARRAY<{_ITEM}>, week STRUCT<done: BIGINT, planned: BIGINT>, "
         "month STRUCT<done: BIGINT, planned: BIGINT>, "

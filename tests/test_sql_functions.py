@@ -1,10 +1,12 @@
 """The SQL functions on small tables; their queries beside SQL are in test_queries."""
 
 import datetime as dt
+import re
 
 import pytest
 from helpers import D, table
 
+from adhere.plans import registry
 from adhere.plans import sql_functions as S
 
 
@@ -108,6 +110,18 @@ def test_plans_read_the_asked_owner_without_python(spark, tmp_path, sql):
     assert one(sql, "SELECT owner_name FROM get_public_day('c00007', DATE '2024-01-10')").owner_name == "u7"
 
 
+def test_texts_stay_out_of_lists_and_pages_are_made_once_a_day(spark, sql):
+    asked = "(VALUES ('AAAAAA', DATE '2024-01-10'), ('BBBBBB', DATE '2024-01-10')) AS q(code, d)"
+    calls = sql(f"SELECT * FROM {asked}, LATERAL get_public_day(q.code, q.d) p")
+    every = registry.queries()["sql_public_day"](spark, "/root/testdata/sf0.001")
+    for df in (calls, every):
+        keys = re.findall(r"Aggregate\(keys=\[([^\]]*)\], functions=\[(?:partial_)?collect_list",
+                          df._jdf.queryExecution().executedPlan().toString())
+        assert keys and not any("content" in k for k in keys)
+    grouped = re.findall(r"HashAggregate\(keys=\[(code#[^\]]*)\]", every._jdf.queryExecution().executedPlan().toString())
+    assert grouped and not any("ts#" in k for k in grouped)
+
+
 def test_missing_tables(spark):
     with pytest.raises(ValueError, match="goals"):
         S.register(spark, {n: table(spark, n, []) for n in S.VIEWS if n != "goals"})
