@@ -55,19 +55,41 @@ def _done(logs: DataFrame, h: Horizon) -> DataFrame:
     return logs.where(F.col("completed") & F.col("log_date").between(h.start, h.end))
 
 
+def _on_days(plans: DataFrame, parts: list[DataFrame], sums: list[str], horizon: Horizon) -> DataFrame:
+    """Every owner of ``plans`` on every day of the horizon, with the ``sums`` of that day's rows in ``parts``.
+
+    An owner's days with rows (at most those of the horizon) are packed beside its plan before days are
+    expanded, so the expanded rows are neither hashed, sorted nor shuffled here. The packed rows are a small part of
+    them; with their number of partitions left to their size, a few tasks would expand all. Owners without a plan
+    row are left out. Rows of an owner stay in one partition.
+    """
+    parts_wanted = int(plans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_day = reduce(DataFrame.unionByName, parts).groupBy("owner_id", "d").agg(
+        *[F.sum(c).alias(c) for c in sums])
+    stacked = plans.withColumn("_known", F.lit(True)).unionByName(
+        by_day.select("owner_id", F.struct("d", F.struct(*sums).alias("sums")).alias("_day")), allowMissingColumns=True)
+    packed = stacked.repartition(parts_wanted, "owner_id").groupBy("owner_id").agg(
+        *[F.max(c).alias(c) for c in ("weekday_n", "weekend_n", "_known")],
+        F.map_from_entries(F.collect_list("_day")).alias("_days")).where("_known")
+    days = packed.select("owner_id", "weekday_n", "weekend_n", "_days", F.explode(
+        D.days_between(F.lit(horizon.start), F.lit(horizon.end))).alias("d"))
+    own = F.try_element_at("_days", F.col("d"))
+    on_day = F.when(D.day_type(F.col("d")) == "weekend", F.col("weekend_n")).otherwise(F.col("weekday_n"))
+    return days.select("owner_id", "d", on_day.alias("_on_day"), *[
+        F.coalesce(own[c], F.lit(0).cast("long")).alias(c) for c in sums])
+
+
 def calendar_days(profiles: DataFrame, activities: DataFrame, logs: DataFrame,
                   horizon: Horizon) -> DataFrame:
     """Planned and done of every owner on every day of the horizon."""
-    days = plan_counts(profiles, activities).select(
-        "owner_id", F.explode(D.days_between(F.lit(horizon.start), F.lit(horizon.end)))
-        .alias("d"), "weekday_n", "weekend_n")
-    on_day = F.when(D.day_type(F.col("d")) == "weekend", F.col("weekend_n")) \
-        .otherwise(F.col("weekday_n"))
-    out = _added_up([
-        _rows(days, "d", F.col("d"), on_day, 0, True),
-        _rows(one_offs(activities, horizon), "d", F.col("entry_date"), 1, 0, False),
-        _rows(_done(logs, horizon), "d", F.col("log_date"), 0, 1, False)], "d")
-    return out.withColumns({
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    out = _on_days(plan_counts(profiles, activities), [
+        one_offs(activities, horizon).select(
+            "owner_id", F.col("entry_date").alias("d"), one.alias("planned"), none.alias("done")),
+        _done(logs, horizon).select(
+            "owner_id", F.col("log_date").alias("d"), none.alias("planned"), one.alias("done"))],
+        ["planned", "done"], horizon)
+    return out.select("owner_id", "d", (F.col("_on_day") + F.col("planned")).alias("planned"), "done").withColumns({
         "day_type": D.day_type(F.col("d")),
         "level": P.heat_level(F.col("done"), F.col("planned"))})
 
@@ -126,27 +148,18 @@ def day_tally(profiles: DataFrame, activities: DataFrame, logs: DataFrame,
     Only logs on the day's agenda count, unlike the calendar, which counts
     every completed log of the day.
     """
-    days = plan_counts(profiles, activities).select(
-        "owner_id", F.explode(D.days_between(F.lit(horizon.start), F.lit(horizon.end)))
-        .alias("d"), "weekday_n", "weekend_n")
-    zero, none = F.lit(0).cast("long"), F.lit(False)
-    on_day = F.when(D.day_type(F.col("d")) == "weekend", F.col("weekend_n")) \
-        .otherwise(F.col("weekday_n"))
+    zero = F.lit(0).cast("long")
     kept = planned_logs(activities, logs, horizon)
     parts = [
-        days.select("owner_id", "d", on_day.alias("total"), zero.alias("done"),
-                    zero.alias("minutes"), F.lit(True).alias("_known")),
         one_offs(activities, horizon).select(
             "owner_id", F.col("entry_date").alias("d"), F.lit(1).cast("long").alias("total"),
-            zero.alias("done"), zero.alias("minutes"), none.alias("_known")),
+            zero.alias("done"), zero.alias("minutes")),
         kept.select("owner_id", F.col("log_date").alias("d"), zero.alias("total"),
                     F.coalesce("completed", F.lit(False)).cast("long").alias("done"),
                     C.span_minutes(F.col("actual_start_min"), F.col("actual_end_min"))
-                    .alias("minutes"), none.alias("_known"))]
-    out = (reduce(DataFrame.unionByName, parts).groupBy("owner_id", "d")
-           .agg(F.sum("total").alias("total"), F.sum("done").alias("done"),
-                F.sum("minutes").alias("minutes"), F.max("_known").alias("_known"))
-           .where("_known").drop("_known"))
+                    .alias("minutes"))]
+    out = _on_days(plan_counts(profiles, activities), parts, ["total", "done", "minutes"], horizon).select(
+        "owner_id", "d", (F.col("_on_day") + F.col("total")).alias("total"), "done", "minutes")
     tally = F.concat(F.col("done").cast("string"), F.lit("/"), F.col("total").cast("string"),
                      F.lit(" done"))
     if as_of is None:

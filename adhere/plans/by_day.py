@@ -81,11 +81,12 @@ def goals_by_day(goals: DataFrame, activities: DataFrame, logs: DataFrame, horiz
 def totals_to_date(profiles: DataFrame, activities: DataFrame, logs: DataFrame, horizon: Horizon) -> DataFrame:
     """Planned and done of every owner by the end of every day, since its week and its month began.
 
-    One exchange by owner serves both running sums; an owner has one row a day there.
+    The calendar keeps an owner's days in one partition, which serves both running sums; an owner has one row a
+    day there.
     """
     days = adherence.calendar_days(profiles, activities, logs, _wide(horizon)).select(
         "owner_id", "d", "planned", "done", D.week_start(F.col("d")).alias("week_start"),
-        D.month_start(F.col("d")).alias("month_start")).repartition("owner_id")
+        D.month_start(F.col("d")).alias("month_start"))
     out = days
     for name in ("week", "month"):
         period = W.partitionBy("owner_id", f"{name}_start")

@@ -152,3 +152,13 @@ def test_horizon_rejects_reversed_dates():
     except ValueError:
         return
     raise AssertionError("accepted")
+
+
+def test_expanded_days_are_neither_hashed_nor_shuffled(spark):
+    span = Horizon(D(2024, 1, 1), D(2024, 1, 31))
+    tables = people(spark, 3), routine(spark, 1), no_logs(spark)
+    grid = A.month_grid(A.calendar_days(*tables, span))
+    for df in (A.calendar_days(*tables, span), A.day_tally(*tables, span), grid):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        above = plan[:plan.index("Generate explode(")]
+        assert "Exchange" not in above and (df is grid or "Aggregate" not in above)
