@@ -142,21 +142,47 @@ def _day_heads(people: DataFrame, reflections: DataFrame, horizon: Horizon) -> D
 def public_days(profiles: DataFrame, activities: DataFrame, logs: DataFrame,
                 reflections: DataFrame, horizon: Horizon,
                 part_size: int = PART_SIZE) -> DataFrame:
-    """A document for every owner with a code and every day of the horizon."""
+    """A document for every owner with a code and every day of the horizon.
+
+    Pieces meet once per owner and month, where each text stands once; days are expanded after it.
+    """
     people = _people(profiles)
-    merged = _merged(
-        [_day_heads(people, reflections, horizon),
-         _agenda_items(activities, logs, people, horizon, part_size)],
-        ["owner_id", "d", "part_no"],
-        {"who": F.max("who"), "part_count": F.coalesce(F.max("part_count"), F.lit(1)),
-         "head": F.max("head"), "activities": _in_order(F.col("item"))})
-    return merged.select(
-        "owner_id", F.col("who.share_code"), "d", "part_no", "part_count", F.struct(
-            F.col("who.owner_name"), D.iso_date(F.col("d")).alias("date"), "activities",
-            D.iso_date(F.col("head.week_start")).alias("week_start"),
-            F.col("head.week_reflection"),
-            D.iso_date(F.col("head.month_start")).alias("month_start"),
-            F.col("head.month_reflection")).alias("document"))
+    first, last = F.lit(horizon.start), F.lit(horizon.end)
+    who, zero, at = F.struct("share_code", "owner_name").alias("who"), F.lit(0).alias("part_no"), F.col("period_date")
+    months = D.months_touching(first, last)
+    texts = reflections.join(people.select("owner_id"), "owner_id", "left_semi").select(
+        "owner_id", zero, "period_type", "period_date", hide_blocks(F.col("content")).alias("text"))
+    weekly = texts.where(F.col("period_type") == "weekly").select(
+        "owner_id", zero, F.struct(at.alias("week_start"), "text").alias("weekly"),
+        F.explode(D.months_touching(at, F.date_add(at, 6))).alias("month_start"))
+    merged = _merged([
+        people.select("owner_id", zero, who, F.explode(months).alias("month_start")),
+        texts.where((F.col("period_type") == "monthly") & (at == D.month_start(at))).select(
+            "owner_id", zero, at.alias("month_start"), F.col("text").alias("month_reflection")),
+        weekly,
+        _agenda_items(activities, logs, people, horizon, part_size).select(
+            "owner_id", "part_no", "who", D.month_start(F.col("d")).alias("month_start"),
+            F.struct("d", "item", "part_count").alias("today"))],
+        ["owner_id", "month_start", "part_no"],
+        {"who": F.max("who"), "items": F.collect_list("today"), "weeklies": F.collect_list("weekly"),
+         "month_reflection": F.max("month_reflection")})
+    d, month = F.col("d"), F.col("month_start")
+    # Texts of months outside the horizon stand alone, without an owner's name.
+    rows = merged.where(F.col("who").isNotNull()).withColumn("d", F.explode(
+        D.days_between(F.greatest(month, first), F.least(D.month_end(month), last))))
+    rows = rows.withColumn("own", F.filter("items", lambda x: x["d"] == F.col("d"))).where(
+        (F.col("part_no") == 0) | (F.size("own") > 0))
+    week = D.week_start(d)
+    week_text = F.array_max(F.transform(
+        F.filter("weeklies", lambda x: x["week_start"] == week), lambda x: x["text"]))
+    items = F.transform(F.array_sort(F.transform("own", lambda x: x["item"])), lambda e: e["shown"])
+    head = F.col("part_no") == 0
+    return rows.select(
+        "owner_id", F.col("who.share_code"), "d", "part_no",
+        F.coalesce(F.array_max(F.transform("own", lambda x: x["part_count"])), F.lit(1)).alias("part_count"), F.struct(
+            F.col("who.owner_name"), D.iso_date(d).alias("date"), items.alias("activities"),
+            F.when(head, D.iso_date(week)).alias("week_start"), week_text.alias("week_reflection"),
+            F.when(head, D.iso_date(month)).alias("month_start"), "month_reflection").alias("document"))
 
 
 def past_reflections(profiles: DataFrame, reflections: DataFrame, horizon: Horizon,

@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 
 from helpers import D, table, values
@@ -159,3 +160,20 @@ def test_owner_without_code_has_no_document(spark):
     people = _people(spark, 1).withColumn("share_code", F.lit(None).cast("string"))
     assert P.public_days(people, acts, logs, texts, DAY).isEmpty()
     assert P.public_progress(people, acts, logs, goals, texts, D(2024, 1, 3)).isEmpty()
+
+
+def test_days_are_expanded_after_the_pieces_meet(spark):
+    people, none, texts = _people(spark, 2), table(spark, "logs", []), table(spark, "reflections", [
+        dict(owner_id=0, period_type="weekly", period_date=D(2024, 1, 29), content="week"),
+        dict(owner_id=0, period_type="weekly", period_date=D(2024, 1, 30), content="no Monday"),
+        dict(owner_id=0, period_type="monthly", period_date=D(2024, 2, 1), content="month"),
+        dict(owner_id=7, period_type="monthly", period_date=D(2024, 2, 1), content="nobody's")])
+    docs = P.public_days(people, table(spark, "activities", []), none, texts, Horizon(D(2024, 1, 30), D(2024, 2, 6)))
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode(" in plan[:plan.index("Exchange")]
+    owners = sorted({r.owner_id for r in people.collect()})
+    got = {(r.owner_id, r.d): r.document for r in docs.collect()}
+    assert sorted(got) == [(o, D(2024, 1, 30) + dt.timedelta(days=k)) for o in owners for k in range(8)]
+    for (owner, d), doc in got.items():
+        assert doc.week_reflection == ("week" if owner == 0 and d < D(2024, 2, 5) else None)
+        assert doc.month_reflection == ("month" if owner == 0 and d >= D(2024, 2, 1) else None)
