@@ -33,14 +33,11 @@ def spans(horizon: Horizon) -> list[tuple[dt.date, dt.date, dt.date, dt.date]]:
     return [(*key, days[0], days[-1]) for key, days in found.items()]
 
 
-def _spans(horizon: Horizon, of: Column | None = None) -> Column:
-    """All spans as an array of structs, or those that show the day ``of`` in their week or month."""
-    all_ = F.array(*[F.struct(F.lit(w).alias("week_start"), F.lit(m).alias("month_start"),
+def _spans(horizon: Horizon) -> Column:
+    """All spans as an array of structs."""
+    return F.array(*[F.struct(F.lit(w).alias("week_start"), F.lit(m).alias("month_start"),
                               F.lit(a).alias("first"), F.lit(b).alias("last"))
                      for w, m, a, b in spans(horizon)])
-    if of is None:
-        return all_
-    return F.filter(all_, lambda s: (s["week_start"] == D.week_start(of)) | (s["month_start"] == D.month_start(of)))
 
 
 def _wide(h: Horizon) -> Horizon:
@@ -109,18 +106,16 @@ def progress_by_day(profiles: DataFrame, activities: DataFrame, logs: DataFrame,
     zero = F.lit(0).alias("part_no")
     keys = ["owner_id", "part_no", "week_start", "month_start"]
 
-    def spread(df: DataFrame, of: Column | None = None) -> DataFrame:
-        """Rows once for each span that shows them."""
-        return df.withColumn("span", F.explode(_spans(horizon, of))).select(
+    def spread(df: DataFrame) -> DataFrame:
+        """Rows once for each span."""
+        return df.withColumn("span", F.explode(_spans(horizon))).select(
             "*", "span.week_start", "span.month_start").drop("span")
 
+    wide, at, kind = _wide(horizon), F.col("period_date"), F.col("period_type")
     texts = reflections.join(people.select("owner_id"), "owner_id", "left_semi").where(
-        F.col("period_date") == D.period_start(F.col("period_type"), F.col("period_date"))).select(
-        "owner_id", zero, "period_type", "period_date", hide_blocks(F.col("content")).alias("text"))
-    at, kind = F.col("period_date"), F.col("period_type")
-    shown = (F.when(kind == "weekly", at == F.col("week_start"))
-             .when(kind == "monthly", at == F.col("month_start"))
-             .otherwise((D.week_start(at) == F.col("week_start")) & (D.month_start(at) == F.col("month_start"))))
+        (at == D.period_start(kind, at)) & at.between(wide.start, wide.end)).groupBy("owner_id").agg(*[
+            F.collect_list(F.when(kind == p, F.struct(at.alias("d"), hide_blocks(F.col("content")).alias("text")))).alias(name)
+            for p, name in (("weekly", "_weeklies"), ("monthly", "_monthlies"), ("daily", "dailies"))])
     numbered = publish._numbered_goals(goals.join(people.select("owner_id"), "owner_id"), part_size)
     actuals = G.goal_actuals(goals, activities, logs, horizon)
     goal_rows = spread(numbered).withColumn("period_start", F.when(
@@ -135,19 +130,31 @@ def progress_by_day(profiles: DataFrame, activities: DataFrame, logs: DataFrame,
         F.struct("d", "item", "part_count").alias("today"))
     pieces = [
         spread(people.select("owner_id", who, zero)), items,
-        spread(adherence.calendar_days(people, activities, logs, _wide(horizon)).select(
-            "owner_id", zero, F.struct("d", "planned", "done").alias("day")), F.col("day.d")),
         goal_rows.select(*keys, F.col("part_count").alias("goal_parts"),
-                         F.struct("created_at", "goal_id", goal.alias("shown")).alias("goal")),
-        spread(texts, at).where(shown).select(*keys, *[
-            F.when(kind == p, F.col("text")).alias(f"{p}_text") for p in ("weekly", "monthly")],
-            F.when(kind == "daily", F.struct(at.alias("d"), "text")).alias("daily"))]
+                         F.struct("created_at", "goal_id", goal.alias("shown")).alias("goal"))]
     merged = publish._merged(pieces, keys, {
-        "who": F.max("who"), "items": F.collect_list("today"), "days": F.array_sort(F.collect_list("day")),
-        "goals": publish._in_order(F.col("goal")), "goal_parts": F.max("goal_parts"),
-        "weekly": F.max("weekly_text"), "monthly": F.max("monthly_text"), "dailies": F.collect_list("daily")})
-    # The name stands on part 0; parts further on take it from the owner.
-    merged = merged.drop("who").join(people.select("owner_id", who), "owner_id")
+        "who": F.max("who"), "items": F.collect_list("today"),
+        "goals": publish._in_order(F.col("goal")), "goal_parts": F.max("goal_parts")})
+    # The name stands on part 0; parts further on take it from the owner. An owner's days and texts come beside it,
+    # packed once; as rows of every span that shows them they would be most of what is shuffled.
+    days = adherence.calendar_days(people, activities, logs, wide).groupBy("owner_id").agg(
+        F.array_sort(F.collect_list(F.struct("d", "planned", "done"))).alias("days"))
+    owners = people.select("owner_id", who).join(days, "owner_id").join(texts, "owner_id", "left")
+    merged = merged.drop("who").join(owners, "owner_id")
+    on_first = F.col("part_no") == 0
+    none = F.lit(None).cast("string")
+
+    def text_at(name: str, start: str) -> Column:
+        """The text of a period, on part 0; the greatest if there are several, null if there is none."""
+        return F.when(on_first, F.array_max(F.transform(
+            F.filter(name, lambda x: x["d"] == F.col(start)), lambda x: x["text"]))).otherwise(none)
+
+    merged = merged.withColumns({
+        "days": F.when(on_first, F.col("days")).otherwise(F.slice("days", 1, 0)),
+        "weekly": text_at("_weeklies", "week_start"), "monthly": text_at("_monthlies", "month_start"),
+        "dailies": F.when(on_first, F.filter("dailies", lambda x: (D.week_start(x["d"]) == F.col("week_start"))
+                                             & (D.month_start(x["d"]) == F.col("month_start"))))}
+    ).drop("_weeklies", "_monthlies")
 
     week, month = F.col("week_start"), F.col("month_start")
 

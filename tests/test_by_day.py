@@ -101,3 +101,11 @@ def test_empty_tables(tables):
     bare = by_day.progress_by_day(tables["profiles"], none["activities"], none["logs"], none["goals"],
                                   none["reflections"], HORIZON).collect()
     assert len(bare) == 3 * 16 and all(r.document.goals == [] and r.document.week.planned == 0 for r in bare)
+
+
+def test_days_and_texts_are_packed_once_per_owner(tables):
+    t = tables
+    docs = by_day.progress_by_day(t["profiles"], t["activities"], t["logs"], t["goals"], t["reflections"], HORIZON)
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    merged = [line for line in plan.splitlines() if "collect_list(today#" in line]
+    assert merged and not any("_text#" in line or "collect_list(day" in line for line in merged)
