@@ -611,13 +611,33 @@ def sql_public_schedule(t):
 def sql_public_day(t):
     """The day page behind every typed code, for the date it was typed.
 
-    Calls are told apart by the columns they take: with the date in one of its own a page is made, and sent,
-    once per code and date, not once per moment.
+    A list is made once per code and date and carries its calls, in packs of at most a million numbers. The days of a
+    week or a month show the same text, so it is asked for once, with their first day, and meets the lists by code:
+    beside a list it would travel once per date. What a call does not select is not worked out.
     """
     spark = _with_functions(t)
     return spark.sql("""
-        SELECT r.seq, to_json(struct(p.*), map('ignoreNullFields', 'false')) AS document
-        FROM {asked} r, LATERAL get_public_day(r.code, r.d) p""",
+        WITH days AS (
+            SELECT r.code, r.calls, p.owner_name, p.date, p.activities, p.week_start, p.month_start
+            FROM (SELECT code, d, collect_list(struct(seq)) AS calls FROM {asked} GROUP BY code, d, seq DIV 1000000) r,
+                 LATERAL get_public_day(r.code, r.d) p),
+        weeks AS (
+            SELECT r.code, collect_list(struct(p.owner_name, p.week_start, p.week_reflection)) AS texts
+            FROM (SELECT DISTINCT code, trunc(d, 'week') AS d FROM {asked}) r, LATERAL get_public_day(r.code, r.d) p
+            WHERE p.week_reflection IS NOT NULL GROUP BY r.code),
+        months AS (
+            SELECT r.code, collect_list(struct(p.owner_name, p.month_start, p.month_reflection)) AS texts
+            FROM (SELECT DISTINCT code, trunc(d, 'month') AS d FROM {asked}) r, LATERAL get_public_day(r.code, r.d) p
+            WHERE p.month_reflection IS NOT NULL GROUP BY r.code),
+        pages AS (
+            SELECT d.calls, to_json(struct(
+                d.owner_name, d.date, d.activities, d.week_start,
+                get(filter(w.texts, x -> x.owner_name <=> d.owner_name AND x.week_start = d.week_start), 0).week_reflection,
+                d.month_start,
+                get(filter(m.texts, x -> x.owner_name <=> d.owner_name AND x.month_start = d.month_start), 0).month_reflection
+                ), map('ignoreNullFields', 'false')) AS document
+            FROM days d LEFT JOIN weeks w ON w.code = d.code LEFT JOIN months m ON m.code = d.code)
+        SELECT c.seq, document FROM pages LATERAL VIEW inline(calls) c AS seq""",
         asked=t.share_requests.select("seq", "code", F.to_date("ts").alias("d")))
 
 

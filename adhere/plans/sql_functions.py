@@ -94,11 +94,16 @@ def _period(edge: str) -> str:
     return f"CASE g.period_type WHEN 'weekly' THEN {week} ELSE {month} END"
 
 
-def _texts(period_type: str) -> str:
-    """Shown texts of one kind of reflection. They join finished lists: beside the rows of a list, a text
-    would be shuffled and sorted once for each of its items."""
-    return (f"(SELECT owner_id, period_date, {_strip('content')} AS text FROM {{p}}reflections "
-            f"WHERE period_type = '{period_type}')")
+def _texts(period_type: str, start: str) -> str:
+    """A left join of the shown texts of one kind of reflection, as ``period_type``. They join finished lists: beside
+    the rows of a list, a text would be shuffled and sorted once for each of its items. The kind is part of the join's
+    key, though it is one value: so the key is that of the table, whose rows stay where its making has dealt them, and
+    a call that does not select the text joins nothing. Days that are null have no text either way."""
+    return f"""LEFT JOIN (SELECT owner_id, period_type, period_date, {_strip('content')} AS text
+          FROM {{p}}reflections WHERE period_type = '{period_type}') {period_type}
+          ON {period_type}.owner_id = o.owner_id
+          AND {period_type}.period_type = CASE WHEN o.day IS NOT NULL THEN '{period_type}' END
+          AND {period_type}.period_date = {start}"""
 
 
 _FUNCTIONS = {
@@ -124,11 +129,11 @@ _FUNCTIONS = {
         f"TABLE(owner_name STRING, date STRING, activities ARRAY<{_ITEM}>, week_start STRING, "
         "week_reflection STRING, month_start STRING, month_reflection STRING)", f"""
         SELECT o.owner_name, date_format(o.day, 'yyyy-MM-dd'), o.items,
-               date_format({_WEEK}, 'yyyy-MM-dd'), w.text, date_format({_MONTH}, 'yyyy-MM-dd'), m.text
+               date_format({_WEEK}, 'yyyy-MM-dd'), weekly.text, date_format({_MONTH}, 'yyyy-MM-dd'), monthly.text
         FROM (SELECT o.owner_id, o.owner_name, o.day, {_in_order(_SHOWN)} AS items
               FROM {_agenda(_DAY_OWNER)} GROUP BY o.owner_id, o.owner_name, o.day) o
-        LEFT JOIN {_texts('weekly')} w ON w.owner_id = o.owner_id AND w.period_date = {_WEEK}
-        LEFT JOIN {_texts('monthly')} m ON m.owner_id = o.owner_id AND m.period_date = {_MONTH}"""),
+        {_texts('weekly', _WEEK)}
+        {_texts('monthly', _MONTH)}"""),
     "get_public_progress(code STRING, today DATE)": (
         f"TABLE(owner_name STRING, today ARRAY<{_ITEM}>, week STRUCT<done: BIGINT, planned: BIGINT>, "
         "month STRUCT<done: BIGINT, planned: BIGINT>, "

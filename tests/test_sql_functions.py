@@ -1,6 +1,7 @@
 """The SQL functions on small tables; their queries beside SQL are in test_queries."""
 
 import datetime as dt
+import json
 import re
 
 import pytest
@@ -8,6 +9,7 @@ from helpers import D, table
 
 from adhere.plans import registry
 from adhere.plans import sql_functions as S
+from adhere.sources.driver_tables import DriverTables
 
 
 @pytest.fixture(scope="module")
@@ -122,6 +124,62 @@ def test_texts_stay_out_of_lists_and_pages_are_made_once_a_day(spark, sql):
     assert grouped and not any("ts#" in k for k in grouped)
 
 
+@pytest.fixture(scope="module")
+def typed(spark, tmp_path_factory):
+    """Given tables whose calls fall into two months, and a session that sends no table to all tasks."""
+    folder = str(tmp_path_factory.mktemp("typed"))
+
+    def moment(month, day):
+        return dt.datetime(2024, month, day, 9, 30)
+
+    customers = [(1, "A#1"), (1, "B#1"), (2, "C#2"), (3, None), (5, "E#5"), (5, "E#5")]
+    events = [(4, moment(1, 16), 1, "click", 30.0), (8, moment(1, 18), 1, "view", 250.0), (8, moment(1, 18), 1, "view", 250.0),
+              (12, moment(1, 16), 1, "click", 5.0), (3000016, moment(1, 16), 1, "view", 5.0), (20, moment(1, 23), 1, "click", 9.0),
+              (24, moment(1, 30), 2, "click", 30.0), (28, moment(2, 1), 2, "click", 30.0), (5, moment(1, 31), 1, "view", 21.0),
+              (6, moment(1, 9), 1, "click", 7.0), (32, None, 2, "click", 3.0), (36, moment(1, 3), 5, "signup", 3.0),
+              (7, moment(1, 9), 1, "error", 7.0), (40, moment(1, 9), 9, "click", 7.0), (None, moment(1, 9), 1, "click", 7.0)]
+    documents = [(doc, f"{doc} is its number") for doc in range(6, 36)]
+    for name, rows, schema in (
+            ("customer", [(*r, 1, 1.0, "BUILDING") for r in customers],
+             "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"),
+            ("events", [(*r, None) for r in events],
+             "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"),
+            ("documents", [(*r, "en", "web", 9) for r in documents],
+             "doc_id long, text string, lang string, source string, n_chars long")):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield folder
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_no_exchange_takes_lists_and_texts(spark, typed):
+    df = registry.queries()["sql_public_day"](spark, typed)
+    plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    taken = [set(re.findall(r"(\w+)#", x)) for x in re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)]
+    lists, texts = {"items", "activities"}, {"text", "texts", "week_reflection", "month_reflection"}
+    assert any(x & lists for x in taken) and any(x & texts for x in taken)
+    assert not any(x & lists and x & texts for x in taken)
+
+
+def test_pages_of_a_table_of_calls_are_those_of_single_calls(spark, typed):
+    pages = sorted(map(tuple, registry.queries()["sql_public_day"](spark, typed).collect()))
+    calls = DriverTables(spark, typed).share_requests.collect()
+    single = {(code, d): [r.document for r in spark.sql(
+        "SELECT to_json(struct(p.*), map('ignoreNullFields', 'false')) AS document FROM get_public_day(:code, CAST(:d AS DATE)) p",
+        {"code": code, "d": d}).collect()] for code, d in {(c.code, c.ts and c.ts.date()) for c in calls}}
+    assert pages == sorted((c.seq, document) for c in calls for document in single[c.code, c.ts and c.ts.date()])
+    days = [(seq, json.loads(document)) for seq, document in pages]
+    texts = {(seq, day["date"], *(text and int(text.split()[0]) for text in (day["week_reflection"], day["month_reflection"])))
+             for seq, day in days}
+    assert texts == {
+        (4, "2024-01-16", 7, 11), (12, "2024-01-16", 7, 11), (8, "2024-01-18", 7, 11), (3000016, "2024-01-16", 7, 11),
+        (20, "2024-01-23", 10, 11), (24, "2024-01-30", 13, 17), (28, "2024-02-01", 13, None), (5, "2024-01-31", 13, 17),
+        (6, "2024-01-09", 19, 23), (32, None, None, None), (36, "2024-01-03", 31, 35)}
+    names = [(seq, day["owner_name"]) for seq, day in days]
+    assert names.count((8, "A#1")) == names.count((8, "B#1")) == 2 and names.count((36, "e5")) == 1
+
+
 def test_missing_tables(spark):
     with pytest.raises(ValueError, match="goals"):
         S.register(spark, {n: table(spark, n, []) for n in S.VIEWS if n != "goals"})
